@@ -61,11 +61,15 @@ def freeze_schema(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.select(*[col(c) if c in df.columns else F.lit(0.0).alias(c) for c in columns])
 
 
+def require_same_columns(found: Sequence[str], wanted: Sequence[str]) -> None:
+    if set(found) != set(wanted):
+        extra, lost = set(found) - set(wanted), set(wanted) - set(found)
+        raise ValueError(f"input columns differ: missing {sorted(lost)}, unexpected {sorted(extra)}")
+
+
 def inference_frame(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Model inputs with missing values as 0; the column sets must be equal."""
-    if set(df.columns) != set(columns):
-        extra, lost = set(df.columns) - set(columns), set(columns) - set(df.columns)
-        raise ValueError(f"input columns differ: missing {sorted(lost)}, unexpected {sorted(extra)}")
+    require_same_columns(df.columns, columns)
     return nan_to_null(df).select(*[col(c) for c in columns]).na.fill(0)
 
 
