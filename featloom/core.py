@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -93,17 +94,28 @@ def checked_broadcast(df: DataFrame, limit: int = SMALL_SIDE_ROWS) -> DataFrame:
     return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The shared folder the session names; a local session without one gets its own."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared is not None:
+        return shared
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a shared folder")
+    shared = tempfile.mkdtemp(prefix="featloom-")
+    spark.conf.set("spark.checkpoint.dir", shared)
+    return shared
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh path below the shared folder."""
+    return "/".join([shared_folder(spark).rstrip("/"), "featloom", f"{name}-{uuid.uuid4().hex}"])
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Materialise `df` in the shared checkpoint folder the session names."""
-    spark = df.sparkSession
-    context = spark.sparkContext
+    """Materialise `df` in the shared checkpoint folder."""
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        if shared is None:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a shared folder")
-            shared = tempfile.mkdtemp(prefix="featloom-checkpoint-")
-        context.setCheckpointDir(shared)
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 

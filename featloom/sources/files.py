@@ -77,10 +77,9 @@ RUN_RECORD = T.StructType.fromDDL(
 )
 
 
-def read_run_records(spark: SparkSession, root: str, filename: str = "result.json") -> DataFrame:
-    """All run records below `root`, one row per record file."""
-    glob = path_join(root, "seed_*", "run_*", filename)
-    return spark.read.schema(RUN_RECORD).option("multiLine", True).json(glob)
+def read_run_records(spark: SparkSession, root: str, glob: str = "seed_*/run_*/result.json", lines: bool = False) -> DataFrame:
+    """All run records below `root`: one document per file, or JSON lines."""
+    return spark.read.schema(RUN_RECORD).option("multiLine", not lines).json(path_join(root, glob))
 
 
 def file_digests(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
