@@ -38,7 +38,9 @@ LINES = """WITH t AS (SELECT CASE WHEN l_linenumber <> 7 THEN l_quantity END AS
 def _register(name: str, measure: str, sql: str | None, digits: int = 6) -> None:
     @query(name, None if sql is None else LINES + sql)
     def run(spark, d):
-        got = profile.measures(lines(spark, d), TARGET, [measure], families=FAMILIES)
+        # the shape measures infer the column families from the data
+        families = None if measure in ("CAT_TO_NUM", "NUM_TO_CAT", "NR_ATTR", "NR_CAT", "NR_NUM") else FAMILIES
+        got = profile.measures(lines(spark, d), TARGET, [measure], families=families)
         return shaped(got.withColumnRenamed("column", "attribute"), digits)
 
 

@@ -366,6 +366,7 @@ class TableProfile:
         self._overrides = overrides
         self._families = families
         self._limit = limit
+        self._names: tuple[str, ...] = ()
         self.attributes = [c for c in df.columns if c != target]
 
     # ---- jobs
@@ -400,20 +401,21 @@ class TableProfile:
 
     @cached_property
     def moments(self) -> dict[str, dict]:
-        aggs = []
-        for i, c in enumerate(self.num):
-            v = clean(col(c))
+        """The moments the chosen measures need, in one aggregate."""
+
+        def made(v: Column) -> dict[str, Column]:
             positive = F.when(v > 0, v)
-            aggs += [
-                F.count(v).alias(f"n{i}"), F.min(v).alias(f"min{i}"), F.max(v).alias(f"max{i}"), F.avg(v).alias(f"mean{i}"),
-                F.stddev_samp(v).alias(f"sd{i}"), F.var_samp(v).alias(f"var{i}"), F.skewness(v).alias(f"skew{i}"),
-                F.kurtosis(v).alias(f"kurt{i}"), F.avg(F.ln(positive)).alias(f"log{i}"),
-                F.sum(1 / positive).alias(f"rec{i}"), F.count(positive).alias(f"pos{i}"),
-            ]
+            return {
+                "n": F.count(v), "min": F.min(v), "max": F.max(v), "mean": F.avg(v), "sd": F.stddev_samp(v),
+                "var": F.var_samp(v), "skew": F.skewness(v), "kurt": F.kurtosis(v), "log": F.avg(F.ln(positive)),
+                "rec": F.sum(1 / positive), "pos": F.count(positive),
+            }
+
+        keys = sorted({k for name in self._names for k in _FROM_MOMENTS.get(name, ())})
+        aggs = [made(clean(col(c)))[k].alias(f"{k}{i}") for i, c in enumerate(self.num) for k in keys]
         if not aggs:
             return {}
         got = self.df.agg(*aggs).first()
-        keys = ["n", "min", "max", "mean", "sd", "var", "skew", "kurt", "log", "rec", "pos"]
         return {c: {k: got[f"{k}{i}"] for k in keys} for i, c in enumerate(self.num)}
 
     @cached_property
@@ -489,6 +491,9 @@ class TableProfile:
     # ---- rows
     def rows(self, names: Sequence[str] | None = None) -> list[Row3]:
         chosen = list(names) if names is not None else [*SIMPLE, *STATISTICAL, *INFORMATION]
+        if not set(chosen) <= set(self._names):
+            self._names = tuple(chosen)
+            self.__dict__.pop("moments", None)
         out: list[Row3] = []
         for name in chosen:
             if name in NEEDS_TARGET and self.target is None:
@@ -506,7 +511,8 @@ class TableProfile:
         return [(c, value(c)) for c in self.num] or [(None, 0.0)]
 
     def _measure(self, name: str) -> list[tuple[str | None, float | None]]:
-        d, num, cat = len(self.attributes), self.num if name not in ("NR_ATTR",) else [], self.cat if name not in ("NR_ATTR",) else []
+        num, cat = self.num, self.cat
+        d = len(self.attributes)
         one = lambda v: [(None, v)]
         m = self.moments if name in _FROM_MOMENTS else {}
         match name:
@@ -630,8 +636,19 @@ class TableProfile:
         raise ValueError(f"unknown measure: {name}")
 
 
+# the moments each measure is made of
 _FROM_MOMENTS = {
-    "G_MEAN", "H_MEAN", "KURTOSIS", "SKEWNESS", "MAX", "MEAN", "MIN", "SD", "VAR", "RANGE", "NR_NORM",
+    "G_MEAN": ("log", "pos"),
+    "H_MEAN": ("pos", "rec"),
+    "KURTOSIS": ("n", "kurt"),
+    "SKEWNESS": ("n", "skew"),
+    "MAX": ("max",),
+    "MEAN": ("mean",),
+    "MIN": ("min",),
+    "SD": ("sd",),
+    "VAR": ("var",),
+    "RANGE": ("n", "min", "max"),
+    "NR_NORM": ("n", "skew", "kurt"),
 }
 
 
