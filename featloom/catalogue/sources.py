@@ -48,7 +48,7 @@ def a5(spark, d):
 
 def run_records(spark, d):
     """Run records from the events: one run per user, one condition per event type."""
-    per = table(spark, d, "events").groupBy("user_id", "event_type").agg(F.avg("value").alias("v"), F.count("*").alias("n"))
+    per = table(spark, d, "events").groupBy("user_id", "event_type").agg(F.round(F.avg("value"), 4).alias("v"), F.count("*").alias("n"))
     ok = F.col("v") >= 18
     condition = F.struct(
         F.when(ok, "succeeded").otherwise("failed").alias("status"),
@@ -70,7 +70,7 @@ def run_records(spark, d):
 
 
 RUN_ROWS = """
-WITH per AS (SELECT user_id, event_type AS condition, avg(value) AS v, count(*) AS n FROM events GROUP BY ALL),
+WITH per AS (SELECT user_id, event_type AS condition, round(avg(value), 4) AS v, count(*) AS n FROM events GROUP BY ALL),
 runs AS (SELECT user_id % 5 AS split_seed, user_id AS repetition, condition,
   CASE WHEN v >= 18 THEN 'succeeded' ELSE 'failed' END AS status,
   CASE WHEN v < 18 THEN CASE WHEN n > 13 THEN 'fit' ELSE 'output' END END AS stage,

@@ -117,8 +117,7 @@ def _short_series(df: DataFrame, column: str, order_by: Sequence[str], groups: l
         pdf[column] = _dct(pdf[column].to_numpy(dtype=float))
         return pdf
 
-    keyed = groups if groups else [F.lit(0)]
-    return df.groupBy(*keyed).applyInPandas(transform, schema)
+    return df.groupBy(*groups).applyInPandas(transform, schema)
 
 
 def _long_series(df: DataFrame, column: str, order_by: Sequence[str], n: int) -> DataFrame:

@@ -186,7 +186,10 @@ def dummies(df: DataFrame, columns: Sequence[str], drop_first: bool = True, fill
     for c in df.columns:
         if c in columns:
             continue
-        out.append(F.coalesce(clean(col(c)), F.lit(means[c])).alias(c) if means.get(c) is not None else col(c))
+        if means.get(c) is None:
+            out.append(col(c))
+        else:
+            out.append(F.coalesce(clean_if_float(df, c), F.lit(means[c]).cast(df.schema[c].dataType)).alias(c))
     for c in columns:
         values = [v for v in cats[c] if v is not None]
         out += [
