@@ -41,7 +41,8 @@ def plan_texts(spark, d):
 
 
 def _plans(spark, d):
-    return parse.parse_plans(plan_texts(spark, d))
+    # parsed once, read by several branches
+    return parse.parse_plans(plan_texts(spark, d)).drop("text").persist()
 
 
 _CHOSEN = """WITH t AS (SELECT p_partkey, p_size, CASE p_size % 5 WHEN 0 THEN 'size' WHEN 1 THEN 'kind' WHEN 2 THEN 'absent' WHEN 3 THEN 'p_partkey' ELSE 'price' END AS c,

@@ -111,10 +111,13 @@ def parse_plans(df: DataFrame, text: str = "text") -> DataFrame:
     tagged = F.regexp_extract_all(col(text), F.lit(_TAGGED), F.lit(1))
     texts = F.when(F.size(tagged) > 0, tagged).otherwise(F.array(col(text)))
 
+    def attempt(t: Column) -> Column:
+        doc = F.transform(F.array(t), lambda x: F.from_json(x, schema, options))
+        return F.get(F.filter(doc, lambda x: F.coalesce(_valid(x), F.lit(False))), 0)
+
     def parsed(t: Column) -> Column:
-        tries = F.array(t, clean_json_text(t))
-        docs = F.transform(tries, lambda x: F.from_json(x, schema, options))
-        return F.get(F.filter(docs, lambda d: F.coalesce(_valid(d), F.lit(False))), 0)
+        # the cleaned text is only parsed when the first attempt fails
+        return F.coalesce(attempt(t), attempt(clean_json_text(t)))
 
     found = F.get(F.filter(F.transform(texts, parsed), lambda d: d.isNotNull()), 0)
     with_plan = df.withColumn("plan", found)
@@ -207,12 +210,17 @@ def column_catalogue(df: DataFrame) -> DataFrame:
 def validate_plans(
     operations: DataFrame, heads: DataFrame, catalogue: DataFrame, context: ValidationContext, plan_id: str
 ) -> DataFrame:
-    """All distinct issues (plan, reason_code, category, column, method)."""
+    """All distinct issues (plan, reason_code, category, column, method).
+
+    The methods of a (plan, category, column) meet in one row, so the
+    operations are read and shuffled once.
+    """
     none = F.lit(None).cast("string")
-    c, m, cat = F.col("column"), F.col("method"), F.col("category")
+    c, cat = F.col("column"), F.col("category")
+    grouped = operations.groupBy(col(plan_id).alias("plan"), "category", "column").agg(F.collect_list("method").alias("_methods"))
     # one row per table column
     known = F.broadcast(catalogue.select(F.col("column").alias("_c"), "numeric"))
-    joined = operations.join(known, c == F.col("_c"), "left")
+    joined = grouped.join(known, c == F.col("_c"), "left")
     present, sampling = F.col("_c").isNotNull(), cat == "sampling"
     regression = F.lit(context.task_type.upper() == "REGRESSION")
 
@@ -227,22 +235,27 @@ def validate_plans(
         "sentinel_protected": present & ~sampling & among(context.sentinels),
         "sampling_target_mismatch": present & sampling & (c != context.target),
         "sampling_regression": present & sampling & regression,
-        "numeric_operation_on_non_numeric": present
-        & cat.isin("missing_values", "transformation")
-        & m.isin(NUMERIC_METHODS)
-        & ~F.col("numeric"),
         "unsupported_extraction": present & (cat == "extraction"),
     }
-    reasons = F.array_compact(F.array(*[F.when(test, F.lit(code)) for code, test in checks.items()]))
-    plan = col(plan_id).alias("plan")
-    per_step = joined.select(plan, F.explode(reasons).alias("reason_code"), cat, c, m)
-    by_method = operations.groupBy(col(plan_id).alias("plan"), "category", "column", "method").agg(F.count("*").alias("k"))
-    repeated = by_method.where("k > 1").select("plan", F.lit("repeated_operation").alias("reason_code"), cat, c, m)
-    by_column = by_method.groupBy("plan", "category", "column").agg(F.sum("k").alias("k"), F.count("*").alias("d"))
-    several = by_column.where("k > 1").select(
-        "plan",
-        F.when(F.col("d") > 1, "conflicting_operation").otherwise("repeated_operation").alias("reason_code"),
-        cat, c, none.alias("method"),
+    scaling = present & cat.isin("missing_values", "transformation") & ~F.coalesce(F.col("numeric"), F.lit(True))
+
+    def issue(test: Column, code: Column | str, method: Column) -> Column:
+        name = F.lit(code) if isinstance(code, str) else code
+        return F.when(test, F.struct(name.alias("code"), method.alias("method")))
+
+    def of_method(m: Column) -> Column:
+        repeats = F.size(F.filter("_methods", lambda x: x == m)) > 1
+        found = [issue(test, code, m) for code, test in checks.items()]
+        found.append(issue(scaling & m.isin(NUMERIC_METHODS), "numeric_operation_on_non_numeric", m))
+        found.append(issue(repeats, "repeated_operation", m))
+        return F.array_compact(F.array(*found))
+
+    distinct = F.array_distinct("_methods")
+    several = F.when(F.size(distinct) > 1, "conflicting_operation").otherwise("repeated_operation")
+    of_column = F.array_compact(F.array(issue(F.size("_methods") > 1, several, none)))
+    issues = F.concat(F.flatten(F.transform(distinct, of_method)), of_column)
+    per_step = joined.select("plan", "category", "column", F.explode(issues).alias("_i")).select(
+        "plan", F.col("_i.code").alias("reason_code"), "category", "column", F.col("_i.method").alias("method")
     )
     types = {r["column"]: r["numeric"] for r in catalogue.collect()}
     bad_type = context.task_type.upper() == "REGRESSION" and types.get(context.target) is False
@@ -256,10 +269,10 @@ def validate_plans(
             ),
         )
     )
-    per_plan = heads.select(plan, F.explode(head_codes).alias("x")).select(
+    per_plan = heads.select(col(plan_id).alias("plan"), F.explode(head_codes).alias("x")).select(
         "plan", F.col("x.code").alias("reason_code"), none.alias("category"), F.col("x.column").alias("column"), none.alias("method")
     )
-    return per_plan.unionByName(per_step).unionByName(repeated).unionByName(several).distinct()
+    return per_plan.unionByName(per_step)
 
 
 # --------------------------------------------------------------- one plan
