@@ -70,7 +70,7 @@ def dataset_columns(df: DataFrame) -> DataFrame:
 
 
 # fixed values: fields of a run record and of one condition in it
-RUN_RECORD = T.StructType.fromDDL(
+RUN_RECORD = (
     "split_seed long, repetition long, status string, conditions map<string, struct<"
     "status: string, stage: string, reason: string, phase: string, error: string, "
     "accuracy: double, f1: double, auroc: double, pr_auc: double, operations: array<string>>>"
