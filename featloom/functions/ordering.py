@@ -20,6 +20,7 @@ SMALL_ROWS = 2_000_000
 _SKETCH = 10_000
 _HASH_BITS = 60
 _BUCKET_BITS = 16
+_LITERAL_STRATA = 32
 
 
 # ---------------------------------------------------------------- quantiles
@@ -93,15 +94,23 @@ def order_statistics(
     answers = {t: state[t]["low"] for t in tasks if fixed(t)}
     rest = [t for t in tasks if t not in answers and 0 <= t[1] < totals[t[0]]]
     if rest:
-        ids = {i: t for i, t in enumerate(rest)}
+        # ranks with the same bracket share one copy of its rows
+        shared: dict[tuple, list[tuple[str, int]]] = {}
+        for t in rest:
+            shared.setdefault((t[0], state[t]["low"], state[t]["high"]), []).append(t)
+        groups = list(shared.values())
         wanted = F.create_map(
-            *[x for i, t in ids.items() for x in (F.lit(i), F.lit(t[1] - state[t]["below"]))]
+            *[
+                x
+                for i, ts in enumerate(groups)
+                for x in (F.lit(i), F.array(*[F.lit(t[1] - state[t]["below"]).cast("long") for t in ts]))
+            ]
         )
         candidates = F.filter(
             F.array(
                 *[
-                    F.struct(F.lit(i).alias("task"), F.when(inside(t), col(t[0])).alias("value"))
-                    for i, t in ids.items()
+                    F.struct(F.lit(i).alias("task"), F.when(inside(ts[0]), col(ts[0][0])).alias("value"))
+                    for i, ts in enumerate(groups)
                 ]
             ),
             lambda x: x["value"].isNotNull(),
@@ -112,14 +121,13 @@ def order_statistics(
             .count()
         )
         w = Window.partitionBy("task").orderBy("value")
-        hits = (
-            weights.withColumn("upto", F.sum("count").over(w))
-            .withColumn("want", wanted[F.col("task")])
-            .where((F.col("upto") > F.col("want")) & (F.col("upto") - F.col("count") <= F.col("want")))
-            .select("task", "value")
-            .collect()
-        )
-        answers.update({ids[r["task"]]: r["value"] for r in hits})
+        running = weights.withColumn("upto", F.sum("count").over(w))
+        start = F.col("upto") - F.col("count")
+        hit = F.filter(wanted[F.col("task")], lambda k: (k >= start) & (k < F.col("upto")))
+        for r in running.select("task", "value", F.explode(hit).alias("rank")).collect():
+            for t in groups[r["task"]]:
+                if t[1] - state[t]["below"] == r["rank"]:
+                    answers[t] = r["value"]
     return answers
 
 
@@ -235,7 +243,8 @@ def hash_cuts(
     )
     names = [f"_s{i}" for i in range(len(strata))]
     bucket = F.shiftright("_h", _HASH_BITS - _BUCKET_BITS)
-    counts = base.groupBy(*names, bucket.alias("_b")).count()
+    # at most 2^16 rows per stratum, read twice below
+    counts = base.groupBy(*names, bucket.alias("_b")).count().persist()
     w = Window.partitionBy(*names).orderBy("_b")
     running = counts.withColumn("_upto", F.sum("count").over(w))
     sizes = small_rows(running.groupBy(*names).agg(F.max("_upto").alias("_n")))
@@ -267,6 +276,7 @@ def hash_cuts(
         hits = inside.withColumn("_rn", F.row_number().over(spot)).where(F.col("_rn") == F.col("_need"))
         for r in hits.collect():
             cuts[tuple(r[n] for n in names)]["cuts"][r["_j"]] = (r["_h"], r["_key"])
+    counts.unpersist()
     return [{"stratum": k, **v} for k, v in cuts.items()]
 
 
@@ -277,6 +287,34 @@ def _all(conditions: Sequence[Column]) -> Column:
     return out
 
 
+def cut_number(df: DataFrame, key: str, seed: int | str, parts: Sequence[dict], strata: Sequence[str], name: str) -> DataFrame:
+    """Add the number of the first cut a row lies within (the last number beyond all).
+
+    A few strata become literals; many become a join with one row per stratum,
+    whose count `hash_cuts` has bounded.
+    """
+    strata = list(strata)
+    cut_count = max((j + 1 for p in parts for j in p["cuts"]), default=0)
+    if len(parts) <= _LITERAL_STRATA:
+        out = F.lit(cut_count)
+        for part in parts:
+            number = F.lit(cut_count)
+            for j in sorted(part["cuts"], reverse=True):
+                number = F.when(within_cut(key, seed, part["cuts"][j]), F.lit(j)).otherwise(number)
+            here = _all([F.lit(True), *[col(s).eqNullSafe(F.lit(v)) for s, v in zip(strata, part["stratum"], strict=True)]])
+            out = F.when(here, number).otherwise(out)
+        return df.withColumn(name, out)
+    kinds = [f"_x{i} {df.schema[s].dataType.simpleString()}" for i, s in enumerate(strata)]
+    key_kind = df.schema[key].dataType.simpleString()
+    rows = [(*p["stratum"], [(j, *p["cuts"][j]) for j in sorted(p["cuts"])]) for p in parts]
+    side = rows_frame(df.sparkSession, rows, ", ".join([*kinds, f"_cuts array<struct<j: int, h: long, k: {key_kind}>>"]))
+    match = _all([col(s).eqNullSafe(F.col(f"_x{i}")) for i, s in enumerate(strata)])
+    h = hash_order(key, seed)
+    first = F.get(F.filter("_cuts", lambda c: (h < c["h"]) | ((h == c["h"]) & (col(key) <= c["k"]))), 0)["j"]
+    joined = df.join(F.broadcast(side), match, "left")
+    return joined.select(*[col(c) for c in df.columns], F.coalesce(first, F.lit(cut_count)).alias(name))
+
+
 def within_cut(key: str, seed: int | str, cut: tuple | None) -> Column:
     """True for rows at or before a cut of `hash_cuts`."""
     if cut is None:

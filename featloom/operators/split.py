@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from featloom.core import col, numeric_columns, require_columns, rows_frame
-from featloom.functions.ordering import hash_cuts, order_statistics, quantiles, within_cut
+from featloom.functions.ordering import cut_number, hash_cuts, order_statistics, quantiles
 
 
 @dataclass(frozen=True)
@@ -39,15 +39,12 @@ def _check_fraction(fraction: float) -> None:
 
 def _first_rows(
     df: DataFrame, key: str, seed: int | str, quota: Callable[[int], int], strata: Sequence[str] = ()
-) -> Column:
-    """Condition for the first quota(n) rows of each stratum in hash order."""
-    condition = F.lit(False)
-    for part in hash_cuts(df, key, seed, lambda n: [quota(n)], strata):
-        here = within_cut(key, seed, part["cuts"].get(0))
-        for name, value in zip(strata, part["stratum"], strict=True):
-            here = here & col(name).eqNullSafe(F.lit(value))
-        condition = condition | here
-    return condition
+) -> tuple[DataFrame, DataFrame]:
+    """The first quota(n) rows of each stratum in hash order, and the rest."""
+    parts = hash_cuts(df, key, seed, lambda n: [quota(n)], strata)
+    numbered = cut_number(df, key, seed, parts, strata, "_side")
+    first = (F.col("_side") == 0) if any(p["cuts"] for p in parts) else F.lit(False)
+    return numbered.where(first).drop("_side"), numbered.where(~first).drop("_side")
 
 
 def random_split(
@@ -55,8 +52,8 @@ def random_split(
 ) -> tuple[DataFrame, DataFrame]:
     """Exact-size shuffled split; the test part has ceil(n * test_size) rows."""
     _check_fraction(test_size)
-    test = _first_rows(df, key, seed, lambda n: math.ceil(n * test_size))
-    return df.where(~test), df.where(test)
+    test, train = _first_rows(df, key, seed, lambda n: math.ceil(n * test_size))
+    return train, test
 
 
 def stratified_split(
@@ -67,15 +64,15 @@ def stratified_split(
         return random_split(df, key, test_size, seed)
     _check_fraction(test_size)
     require_columns(df, [target])
-    test = _first_rows(df, key, seed, lambda n: round(n * test_size), [target])
-    return df.where(~test), df.where(test)
+    test, train = _first_rows(df, key, seed, lambda n: round(n * test_size), [target])
+    return train, test
 
 
 def fraction_sample(df: DataFrame, key: str, fraction: float, seed: int = 42) -> DataFrame:
     """Exact-size sample of round(n * fraction) rows."""
     if not 0 <= fraction <= 1:
         raise ValueError("fraction must be in [0, 1]")
-    return df.where(_first_rows(df, key, seed, lambda n: round(n * fraction)))
+    return _first_rows(df, key, seed, lambda n: round(n * fraction))[0]
 
 
 def stratified_folds(
@@ -84,16 +81,9 @@ def stratified_folds(
     """Add a fold number; fold sizes within a class differ by at most one row."""
     if folds < 2:
         raise ValueError("at least two folds are required")
-    number = F.lit(None).cast("int")
-    chains: list[tuple[Column, Column]] = []
-    for part in hash_cuts(df, key, seed, lambda n: [n * i // folds for i in range(1, folds)], [target]):
-        fold = F.lit(folds - 1)
-        for i in reversed(range(folds - 1)):
-            fold = F.when(within_cut(key, seed, part["cuts"].get(i)), F.lit(i)).otherwise(fold)
-        chains.append((col(target).eqNullSafe(F.lit(part["stratum"][0])), fold))
-    for matches, fold in chains:
-        number = F.when(matches, fold).otherwise(number)
-    return df.withColumn(name, number)
+    # fold i ends at row n * (i + 1) / folds of its class
+    parts = hash_cuts(df, key, seed, lambda n: [n * i // folds for i in range(1, folds)], [target])
+    return cut_number(df, key, seed, parts, [target], name)
 
 
 def outcome_partitions(

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from featloom.operators import relate
-from featloom.operators.split import chronological_partitions, outcome_partitions, random_split, stratified_folds
+from featloom.operators.split import chronological_partitions, outcome_partitions, random_split, stratified_folds, stratified_split
 
 
 def entity_set(spark):
@@ -96,3 +96,13 @@ def test_splits_do_not_depend_on_partitioning(spark):
     assert {r["id"] for r in a} == {r["id"] for r in b} and len(a) == 100
     sizes = stratified_folds(df, "id", "y", 5).groupBy("y", "fold").count().agg(F.min("count"), F.max("count")).first()
     assert sizes[1] - sizes[0] <= 1
+
+
+def test_many_strata_are_joined_not_spelled_out(spark):
+    df = spark.range(2000).withColumn("y", F.col("id") % 100)
+    few = stratified_folds(df.where("y < 10"), "id", "y", 4)
+    many = stratified_folds(df, "id", "y", 4)
+    assert many.where("y < 10").exceptAll(few).isEmpty() and many.where("fold is null").isEmpty()
+    assert {r["count"] for r in many.groupBy("y", "fold").count().collect()} == {5}
+    train, test = stratified_split(df, "id", "y", 0.25)
+    assert test.count() == 500 and train.count() == 1500
