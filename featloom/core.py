@@ -122,3 +122,9 @@ def checkpointed(df: DataFrame) -> DataFrame:
 def rows_frame(spark: SparkSession, rows: Sequence, schema: str) -> DataFrame:
     """Frame over a few driver-side scalars (fit results, metric rows)."""
     return spark.createDataFrame(list(rows), schema)
+
+
+def beside(df: DataFrame, other: DataFrame) -> DataFrame:
+    """Add the columns of the single-row frame `other` as literals."""
+    row = other.first()
+    return df.select("*", *[F.lit(row[f.name]).cast(f.dataType).alias(f.name) for f in other.schema.fields])

@@ -251,23 +251,26 @@ def hash_cuts(
     if sizes is None:
         raise ValueError("too many strata to split by")
     cuts = {tuple(r[n] for n in names): {"n": r["_n"], "cuts": {}} for r in sizes}
-    asked = [
-        (*stratum, j, int(quota))
-        for stratum, v in cuts.items()
-        for j, quota in enumerate(quotas(v["n"]))
-        if quota > 0
-    ]
-    if asked:
-        # both broadcast sides hold one row per stratum and quota
+    asked = {
+        stratum: [(j, int(quota)) for j, quota in enumerate(quotas(v["n"])) if quota > 0] for stratum, v in cuts.items()
+    }
+    if any(asked.values()):
+        # both broadcast sides hold at most one row per stratum and quota
         spark = df.sparkSession
         kinds = [f"{n}x {base.schema[n].dataType.simpleString()}" for n in names]
-        asks = rows_frame(spark, asked, ", ".join([*kinds, "_j int", "_q long"]))
         same = [F.col(n).eqNullSafe(F.col(f"{n}x")) for n in names]
         start = F.col("_upto") - F.col("count")
-        reached = [start < F.col("_q"), F.col("_q") <= F.col("_upto")]
+        if names:
+            rows = [(*stratum, wanted) for stratum, wanted in asked.items()]
+            side = rows_frame(spark, rows, ", ".join([*kinds, "_asks array<struct<j: int, q: long>>"]))
+            joined = running.join(F.broadcast(side), _all(same))
+        else:
+            pairs = [F.struct(F.lit(j).alias("j"), F.lit(q).cast("long").alias("q")) for j, q in asked[()]]
+            joined = running.withColumn("_asks", F.array(*pairs))
+        reached = F.filter("_asks", lambda x: (start < x["q"]) & (x["q"] <= F.col("_upto")))
         ends = (
-            running.join(F.broadcast(asks), _all(same + reached))
-            .select(*[f"{n}x" for n in names], F.col("_b").alias("_bx"), "_j", (F.col("_q") - start).alias("_need"))
+            joined.select(*[F.col(n).alias(f"{n}x") for n in names], F.col("_b").alias("_bx"), start.alias("_start"), F.explode(reached).alias("_a"))
+            .select(*[f"{n}x" for n in names], "_bx", F.col("_a.j").alias("_j"), (F.col("_a.q") - F.col("_start")).alias("_need"))
             .collect()
         )
         ends_df = rows_frame(spark, ends, ", ".join([*kinds, "_bx long", "_j int", "_need long"]))

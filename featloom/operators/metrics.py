@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from featloom.core import clean, col, rows_frame, safe_divide
+from featloom.core import beside, clean, col, rows_frame, safe_divide
 from featloom.functions.ordering import SMALL_ROWS, quantiles, range_tagged, running_sums
 from featloom.operators.prepare import bin_index
 from featloom.operators.profile import value_counts
@@ -88,10 +88,7 @@ def classification_metrics(df: DataFrame, truth: str, prediction: str, probabili
         return labels.select(
             "*", none.alias("auroc"), none.alias("pr_auc"), none.alias("brier"), F.lit("unavailable").alias("probability_reason")
         )
-    ranks = ranking_metrics(df, truth, probability)
-    # both sides are single rows
-    one = F.lit(1).alias("_k")
-    return labels.select("*", one).join(F.broadcast(ranks.select("*", one)), "_k").drop("_k")
+    return beside(labels, ranking_metrics(df, truth, probability))
 
 
 def rmse(df: DataFrame, truth: str, prediction: str) -> DataFrame:
@@ -211,13 +208,8 @@ def reproducibility(df: DataFrame, run: str, features: str, f1: str) -> DataFram
         F.coalesce(F.var_samp(F.size(F.array_distinct(col(features)))), F.lit(0.0)).alias("feature_space_variance"),
         F.coalesce(F.var_samp(clean(col(f1))), F.lit(0.0)).alias("performance_variance_f1"),
     )
-    jaccard = mean_jaccard(df, run, features)
-    one = F.lit(1).alias("_k")
-    # both sides are single rows
-    both = jaccard.select(F.col("mean_jaccard").alias("action_consistency_jaccard"), one).join(
-        F.broadcast(spread.select("*", one)), "_k"
-    )
-    return both.drop("_k")
+    jaccard = mean_jaccard(df, run, features).select(F.col("mean_jaccard").alias("action_consistency_jaccard"))
+    return beside(jaccard, spread)
 
 
 def aggregate_report(df: DataFrame, group: str, metrics: Sequence[str]) -> DataFrame:
@@ -361,7 +353,4 @@ def run_summary(runs: DataFrame, run: str, operations: str = "operations") -> Da
         F.count_if(F.col("status") != "succeeded").alias("failed_runs"), *means, *sds,
     )
     jaccard = mean_jaccard(good, run, operations, empty_union=1.0, single=None)
-    one = F.lit(1).alias("_k")
-    # both sides are single rows
-    side = F.broadcast(jaccard.select(F.col("mean_jaccard").alias("operation_jaccard"), one))
-    return counts.select("*", one).join(side, "_k").drop("_k")
+    return beside(counts, jaccard.select(F.col("mean_jaccard").alias("operation_jaccard")))

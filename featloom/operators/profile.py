@@ -272,18 +272,19 @@ def profile_document(df: DataFrame, target: str | None = None, measures_too: boo
         return [c for c, t in families.items() if t == kind]
 
     kind = families.get(target) if target else None
-    shares = class_distribution(df, target) if kind == CATEGORICAL else None
+    # one entry per class of the target
+    shares = (
+        [tuple(r) for r in class_distribution(df, target).select("class", "count", "share").orderBy("class").collect()]
+        if kind == CATEGORICAL
+        else None
+    )
     doc = rows_frame(
         spark,
-        [(rows, len(df.columns), df.columns, named(NUMERIC), named(CATEGORICAL), named(DATETIME), target, kind)],
+        [(rows, len(df.columns), df.columns, named(NUMERIC), named(CATEGORICAL), named(DATETIME), target, kind, shares)],
         "rows long, columns int, column_names array<string>, numeric array<string>, categorical array<string>, "
-        "datetime array<string>, target string, target_type string",
+        "datetime array<string>, target string, target_type string, "
+        "class_distribution array<struct<class: string, count: long, share: double>>",
     )
-    if shares is not None:
-        # one entry per class of the target
-        entries = F.sort_array(F.collect_list(F.struct("class", "count", "share")))
-        classes = shares.agg(entries.alias("class_distribution"))
-        doc = doc.withColumn("_k", F.lit(1)).join(F.broadcast(classes.withColumn("_k", F.lit(1))), "_k").drop("_k")
     if measures_too:
         scalars = [(n, c, v) for n, c, v in TableProfile(df, target).rows()]
         doc = doc.withColumn(
