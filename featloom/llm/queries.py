@@ -1,6 +1,6 @@
 """All queries of this subpackage."""
 
-from featloom.llm import decontaminate, passages  # noqa: F401
+from featloom.llm import decontaminate, neardup, passages  # noqa: F401
 from featloom.llm.base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
