@@ -222,6 +222,15 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
 
 
+def without_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
+    """The documents with the smallest id of their component; rows without an id stay."""
+    found = near_duplicates(docs, key, text, width, percent)
+    dropped = stored(found.where("NOT kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__dropped")).distinct(), "dropped")
+    if dropped.count() <= SENT_IDS:
+        dropped = F.broadcast(dropped)
+    return docs.join(dropped, col(key) == F.col("__dropped"), "left_anti")
+
+
 @query("op9_near_duplicates")
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(picked(table(spark, folder, "documents"), "doc_id", "text"), width=2)
