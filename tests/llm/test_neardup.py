@@ -1,0 +1,108 @@
+"""Near duplicates against comparing all pairs."""
+
+import random
+import re
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from featloom.llm import neardup
+from featloom.llm.base import QUERIES
+
+
+def shingles(text, width):
+    words = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+    if not words:
+        return frozenset()
+    width = min(width, len(words))
+    return frozenset(tuple(words[i : i + width]) for i in range(len(words) - width + 1))
+
+
+def brute(rows, width):
+    own = [(i, shingles(t, width)) for i, t in rows]
+    up = {i: i for i, _ in own}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a in range(len(own)):
+        for b in range(a):
+            x, y = own[a][1], own[b][1]
+            both = len(x & y)
+            if x and y and 100 * both >= 80 * (len(x) + len(y) - both):
+                p, q = root(own[a][0]), root(own[b][0])
+                up[max(p, q)] = min(p, q)
+    return {i: (len(s), root(i)) for i, s in own}
+
+
+def test_classes_equal_brute_force(spark):
+    rng = random.Random(3)
+    vocabulary = [f"w{i}" for i in range(300)]
+    rows = []
+    for g in range(12):
+        base = rng.choices(vocabulary, k=rng.choice([1, 2, 5, 30, 120]))
+        for _ in range(rng.choice([1, 3, 25])):
+            words = list(base)
+            for _ in range(rng.randrange(0, 1 + len(words) // 12)):
+                words[rng.randrange(len(words))] = rng.choice(vocabulary)
+            rows.append((1000 + len(rows), " ".join(words).upper() if rng.random() < 0.2 else "\t".join(words)))
+    rows += [(1, None), (2, ""), (3, " \n"), (4, rows[0][1]), (1000, rows[0][1])]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").withColumn("component_id", F.lit("clash")).repartition(3)
+    for width in (2, 5):
+        want = brute([r for r in rows[:-1]], width)
+        got = neardup.near_duplicates(frame, width=width).collect()
+        assert len(got) == len(rows)
+        for r in got:
+            size, component = want[r["doc_id"]]
+            assert (r["n_shingles"], r["component_id"], r["kept"]) == (size, component, component == r["doc_id"])
+    left = neardup.without_near_duplicates(frame, width=2)
+    assert left.columns == frame.columns
+    assert {r["doc_id"] for r in left.collect()} == {i for i, (_, c) in brute(rows[:-1], 2).items() if c == i}
+
+
+def test_null_ids_and_empty_tables(spark):
+    rows = spark.createDataFrame([(None, "a b c"), (5, "a b c"), (6, "a b c")], "doc_id long, text string")
+    got = {(r["doc_id"], r["component_id"], r["kept"]) for r in neardup.near_duplicates(rows).collect()}
+    assert got == {(None, None, False), (5, 5, True), (6, 5, False)}
+    assert {r["doc_id"] for r in neardup.without_near_duplicates(rows).collect()} == {None, 5}
+    assert neardup.near_duplicates(rows.limit(0)).count() == 0
+
+
+def test_chains_and_hubs_are_linked(spark):
+    """Neighbours in a chain are similar, its ends are not; members of a hub are similar to the hub only."""
+    words = [f"c{i}" for i in range(200)]
+    chain = [(i, " ".join(words[3 * i : 3 * i + 60])) for i in range(40)]
+    hub = [f"h{i}" for i in range(100)]
+    spokes = [(100 + k, " ".join(hub[:k] + [f"s{k}_{j}" for j in range(5)] + hub[k + 5 :])) for k in range(0, 90, 6)] + [(999, " ".join(hub))]
+    want = brute(chain + spokes, 2)
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(spark.createDataFrame(chain + spokes, "doc_id long, text string"), width=2).collect()}
+    assert got == {i: c for i, (_, c) in want.items()} and got[39] == 0
+
+
+def test_blocks_find_pairs_beyond_one_block(spark, monkeypatch):
+    """Small blocks: a bucket is dealt by size class and to several blocks, and no pair is lost."""
+    monkeypatch.setattr(neardup, "BLOCK", 4)
+    rng = np.random.default_rng(1)
+    bands = rng.integers(0, 1 << 40, (30, 6))
+    bands[:, :2] = [7, 9]
+    sizes = rng.integers(50, 140, 30)
+    rows = [(7, i, int(sizes[i]), i % 5, [int(x) for x in bands[i]], 30) for i in range(30)]
+    frame = spark.createDataFrame(rows, "bucket long, node long, n long, component long, bands array<long>, size long")
+    got = [(r["node"], r["leader"]) for r in neardup._block_pairs(frame, 80).collect()]
+    want = {(i, j) for i in range(30) for j in range(i) if i % 5 != j % 5 and 100 * min(sizes[i], sizes[j]) >= 80 * max(sizes[i], sizes[j])}
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_components_of_a_path(spark):
+    links = spark.createDataFrame([(i + 1, i) for i in range(50)] + [(101, 100)], "node long, leader long")
+    assert {(r["node"], r["component"]) for r in neardup.components(links).collect()} == {(i, 0) for i in range(51)} | {(100, 100), (101, 100)}
+
+
+def test_query_equals_brute_force(spark):
+    folder = "/root/testdata/sf0.001"
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{folder}/documents.parquet").collect()]
+    want = brute(rows, 2)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in QUERIES["op9_near_duplicates"](spark, folder).collect()}
+    assert got == want

@@ -1,0 +1,179 @@
+"""Nearest neighbours, HTML extraction, chat formatting and mixing."""
+
+import hashlib
+import random
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from featloom.llm import chat, html, mixture, vectors
+from featloom.llm.base import QUERIES
+
+
+def exact(rows, asked, k):
+    ids = np.array([i for i, _ in rows])
+    x = np.array([v for _, v in rows], dtype=np.float64)
+    out = {}
+    for i, v in rows:
+        if asked(i):
+            d = np.sqrt(((x - np.array(v)) ** 2).sum(1))
+            order = [j for j in np.lexsort((ids, d)) if ids[j] != i][:k]
+            out[i] = [(int(ids[j]), float(d[j])) for j in order]
+    return out
+
+
+def test_neighbours_and_recall(spark):
+    rng = np.random.default_rng(2)
+    centre = rng.normal(size=(20, 16))
+    rows = [(i, [float(np.float32(c)) for c in centre[i % 20] + rng.normal(size=16) * 0.4]) for i in range(3000)]
+    # A third of a thousand rows is one vector, queries among them.
+    rows += [(10_000 + i, rows[0][1]) for i in range(500)]
+    bad = [(20_000, None), (20_100, [0.0] * 16), (20_200, [float("nan")] * 16), (20_300, [None] * 16), (20_400, [1.0] * 3), (20_500, [float("inf")] * 16)]
+    frame = spark.createDataFrame(rows + bad, "vec_id long, embedding array<float>").withColumn("leaf", F.lit("clash")).repartition(4)
+    got = {}
+    for r in vectors.nearest_neighbours(frame, F.col("vec_id") % 100 == 0, leaf_rows=40).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    want = exact(rows, lambda i: i % 100 == 0, 10)
+    assert set(got) == set(want)
+    met = []
+    for i, near in want.items():
+        found = sorted(got[i])
+        assert [r for r, _, _ in found] == list(range(1, 11)) and i not in [v for _, v, _ in found]
+        assert [(s, v) for _, v, s in found] == sorted((s, v) for _, v, s in found)
+        met.append(len({v for _, v, _ in found} & {v for v, _ in near}) / 10)
+        x = dict(rows)
+        assert all(abs(s - np.sqrt(((np.array(x[i]) - np.array(x[v])) ** 2).sum())) < 1e-12 for _, v, s in found)
+    assert np.mean(met) >= 0.9
+    assert [v for _, v, _ in sorted(got[10_000])] == [0, *range(10_001, 10_010)] and [v for _, v, _ in sorted(got[0])] == list(range(10_000, 10_010))
+
+
+def test_few_and_no_vectors(spark):
+    few = spark.createDataFrame([(0, [1.0, 0.0]), (100, [0.0, 1.0]), (7, [1.0, 1.0]), (7, [1.0, 1.0])], "vec_id long, embedding array<double>")
+    got = [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in vectors.nearest_neighbours(few, F.col("vec_id") % 100 == 0).collect()]
+    assert sorted(got) == [(0, 1, 7, 1.0), (0, 2, 100, 2**0.5), (100, 1, 7, 1.0), (100, 2, 0, 2**0.5)]
+    assert vectors.nearest_neighbours(few.where("vec_id = 0"), F.col("vec_id") % 100 == 0).count() == 0
+    assert vectors.nearest_neighbours(few.limit(0), F.col("vec_id") % 100 == 0).count() == 0
+    assert vectors.nearest_neighbours(few.where("vec_id = 7"), F.col("vec_id") % 100 == 0).count() == 0
+
+
+def page(i, body):
+    return f"""<!DOCTYPE html><html><head><meta charset=utf-8><title>T{i}</title><style>p{{margin:0}}</style><script>if (a<b) document.write("<p>no</p>")</script></head>
+<body class="home page-{i}"><header><h1>Site</h1></header><nav><ul><li><a href=/a>Home {i}<li><a href=/b>News</a></ul></nav><!-- <p>hidden</p> -->
+<div class="cookie-notice">We use cookies {i}</div>{body}<div id="sidebar"><p>Popular {i}</p></div><div class='user-comments'><p>First! {i}</p></div>
+<form><label>Mail</label><input name=q value="x>y"><button>Go</button></form><footer>&copy; Site {i}</footer></body></html>"""
+
+
+def test_extraction_by_wrapper(spark):
+    word = random.Random(1)
+    bodies = {i: [" ".join(word.choices(["alpha", "beta", "gamma &amp; delta", "ε", "zeta&nbsp;eta"], k=12)) + f" {i}" for _ in range(i % 4 + 1)] for i in range(24)}
+    rows = [(i, f"http://Host.example/{i}", page(i, "<article><h2>Title " + str(i) + "</h2><p>Read our magazine\n every day<p>" + "</p><p>".join(b) + "</article>")) for i, b in bodies.items()]
+    # On another host the same without an article element, and an unclosed element.
+    rows += [(100 + i, f"http://other.example/{i}", page(i, "<div class=text><p>" + "</p><p><b>".join(b) + "<br>end</div>")) for i, b in bodies.items()]
+    rows += [(300, None, "just <b>text</b> &lt;here&gt;"), (301, "http://x/", None), (302, "http://x/", ""), (303, "nohost", "<p>a<p>b"), (0, rows[0][1], rows[0][2])]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("clash")).repartition(3)
+    out = html.main_texts(frame)
+    got = {r["page_id"]: r["text"] for r in out.collect()}
+    assert out.count() == len(rows)
+    import html as names
+
+    for i, b in bodies.items():
+        plain = [" ".join(names.unescape(x).split()) for x in b]
+        assert got[i] == "\n".join([f"Title {i}", *plain])
+        assert got[100 + i] == "\n".join([*plain[:-1], plain[-1] + " end"])
+    assert (got[300], got[301], got[302], got[303]) == ("just text <here>", "", "", "a\nb")
+    assert html.main_texts(frame.limit(0)).count() == 0
+
+
+def test_copies_of_a_page_are_no_template(spark):
+    """Texts that recur only because a page is repeated stay."""
+    rows = [(i, "http://h/", page(1, "<article><p>the one article of this host</p></article>")) for i in range(12)]
+    got = html.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r["text"] for r in got} == {"the one article of this host"}
+
+
+def test_tree_matching_keeps_order():
+    def slot(key, *kids):
+        out = html.Slot(key)
+        out.kids = list(kids)
+        return out
+
+    a = slot("div", slot("h1"), slot("p", slot("i")), slot("ul"), slot("p"))
+    b = slot("div", slot("p", slot("i")), slot("ul"), slot("table"), slot("p"))
+    assert html.matched(a, b) == 5 and html.aligned(a.kids, b.kids) == [(1, 0), (2, 1), (3, 3)] and html.matched(a, slot("p")) == 0
+
+
+def test_html_query(spark):
+    rows = QUERIES["op8_html_text"](spark, "/root/testdata/sf0.001").collect()
+    assert rows and all(r["n_chars"] == len(r["text"]) and r["text"] for r in rows)
+
+
+PARTS = chat.PARTS
+
+
+def test_chat_round_trip(spark):
+    hard = ["", "\\", "\\\\<|end|>", "<|turn|>user<|says|>x<|end|>", "</s>[INST] ok [/INST]", "<\\|", "a\nb\\n", "<<SYS>>é😀<</SYS>>", "[\\INST]", "|>", "<<||"]
+    rng = random.Random(6)
+    rows = []
+    for c in range(12):
+        rows += [(c, t, rng.choice(["user", "assistant", "<|end|>", None]), rng.choice([*hard, None])) for t in rng.sample(range(-5, 400), rng.randrange(1, 90))]
+    rows += [(50, 3, "assistant", "b"), (50, 3, "assistant", "a"), (50, None, "user", "first"), (50, 3, "assistant", "a"), (None, 1, "user", "lost"), (51, 0, "assistant", "x" * 300_000)]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)
+    out = chat.formatted(frame.withColumn("mask", F.lit(1)).withColumn("parts", chat.text_part(F.col("text"))))
+    read = out.withColumn("turns", chat.turns_of(F.col("formatted"))).withColumn("loss", chat.masked_text(F.col("formatted"), F.col("mask")))
+    got = {r["conv_id"]: r for r in read.collect()}
+    want = {}
+    for c, t, role, text in sorted(rows, key=lambda r: (str(r[0]), r[1] is not None, r[1] or 0, r[2] or "", r[3] or "")):
+        want.setdefault(c, []).append((role or "", text or ""))
+    assert set(got) == set(want)
+    for c, turns in want.items():
+        assert [(t["role"], t["text"]) for t in got[c]["turns"]] == turns
+        assert got[c]["loss"] == "".join(t for r, t in turns if r == "assistant") and len(got[c]["mask"]) == sum(r == "assistant" for r, _ in turns)
+    assert out.limit(0).count() == 0 and chat.formatted(frame.limit(0).withColumn("parts", chat.text_part(F.col("text")))).count() == 0
+
+
+def test_parts_become_placeholders(spark):
+    parts = [("text", "see <|image|>", None, None, None, None, None), ("image", None, "a.png", 900, 448, None, None), ("text", "and", None, None, None, None, None), ("audio", None, "b.wav", None, None, 2.5, None),
+             ("document", None, "c.pdf", None, None, None, 3), ("video", None, "d", None, None, None, None), ("image", None, "e.png", None, None, None, None)]
+    frame = spark.createDataFrame([(1, 0, "user", parts), (1, 1, "assistant", [("text", "fine", None, None, None, None, None)]), (1, 2, "user", None)], f"conv_id long, turn long, role string, parts {PARTS}")
+    r = chat.formatted(frame).first()
+    assert r["formatted"] == "<|turn|>user<|says|>see <\\|image|><|image|>and<|audio|><|document|><|attachment|><|image|><|end|><|turn|>assistant<|says|>fine<|end|><|turn|>user<|says|><|end|>"
+    assert [(a["turn"], a["type"], a["ref"], a["tokens"]) for a in r["attachments"]] == [(0, "image", "a.png", 768), (0, "audio", "b.wav", 63), (0, "document", "c.pdf", 3072), (0, "video", "d", 0), (0, "image", "e.png", 0)]
+    assert r["expanded_tokens"] == 768 + 63 + 3072 and [r["formatted"][m["start"] : m["stop"]] for m in r["mask"]] == ["fine"]
+
+
+def test_chat_query_is_right(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet").collect()
+    got = {r["conv_id"]: r for r in QUERIES["op10_chat_format"](spark, "/root/testdata/sf0.001").collect()}
+    assert set(got) == {r["conv_id"] for r in rows} | {-1}
+    said = "</s>[INST] ok [/INST]"
+    assert got[-1]["n_turns"] == 2 and got[-1]["loss_chars"] == len(said) and got[-1]["loss_sha256"] == hashlib.sha256(said.encode()).hexdigest()
+
+
+def test_rates_meet_the_targets(spark):
+    rng = random.Random(3)
+    cells = [(a, b, c, rng.randrange(20, 400)) for a in "abc" for b in "xy" for c in "pq"]
+    share = sum(n for *_, c, n in cells if c == "q") / sum(n for *_, n in cells)
+    cells = spark.createDataFrame(cells, "source string, lang string, topic string, tokens long")
+    total_tokens = cells.agg(F.sum("tokens")).first()[0]
+    targets = {"source": {"a": 0.5, "b": 0.3, "zz": 0.2}, "lang": {"x": 0.4, "y": 0.6}, "topic": 1.0}
+    out = mixture.raked(cells, targets, rounds=60).collect()
+    total = sum(r["weight"] for r in out)
+    by = lambda d, v: sum(r["weight"] for r in out if r[d] == v) / total
+    assert total == pytest.approx(1) and by("lang", "x") == pytest.approx(0.4, abs=1e-6) and by("topic", "q") == pytest.approx(share, abs=1e-6)
+    # The unlisted source gets nothing, since the listed shares sum to one; the level without tokens is left out.
+    assert [by("source", s) for s in "abc"] == pytest.approx([0.625, 0.375, 0], abs=1e-6)
+    rated = mixture.calibrated(mixture.raked(cells, targets), 0.4).collect()
+    assert sum(r["probability"] * r["tokens"] for r in rated) == pytest.approx(0.4 * total_tokens) and max(r["probability"] for r in rated) <= 1
+
+
+def test_mixture_defined_cases(spark):
+    docs = [(i, "word " * (i % 7 + 1), ["s0", "s1", None][i % 3], ["en", None][i % 2]) for i in range(400)] + [(900, None, "s0", "en"), (901, " \n", "s0", "en"), (5, "word " * 6, "s2", "en")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, source string, lang string").withColumn("tokens", F.lit("clash"))
+    rows = mixture.weighed(frame, budget=0.5).collect()
+    assert len(rows) == len(docs) and not any(r["__taken"] for r in rows if r["doc_id"] >= 900)
+    taken = sum(r["__tokens"] for r in rows if r["__taken"])
+    assert 0.4 < taken / sum(r["__tokens"] for r in rows) < 0.6
+    sample = mixture.mixed_sample(frame, budget=0.5)
+    assert sample.columns == frame.columns and sample.count() == sum(r["__taken"] for r in rows)
+    assert mixture.mixed_sample(frame.limit(0)).count() == 0 and mixture.mixed_sample(frame.where("doc_id >= 900")).count() == 0

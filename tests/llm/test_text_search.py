@@ -1,0 +1,134 @@
+"""Benchmark decontamination and substring dedup against brute force."""
+
+import hashlib
+import random
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from featloom.llm import decontaminate, passages
+from featloom.llm.base import QUERIES
+
+WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
+
+
+def lowered(text):
+    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+
+
+def windows_hit(text, items):
+    words = WORD.findall(lowered(text))
+    hit, found = set(), set()
+    for name, body in items:
+        own = WORD.findall(lowered(body))
+        n = min(len(own), 13)
+        if not n:
+            continue
+        runs = {tuple(own[i : i + n]) for i in range(len(own) - n + 1)}
+        for i in range(len(words) - n + 1):
+            if tuple(words[i : i + n]) in runs:
+                hit.update(range(i, i + n))
+                found.add(str(name))
+    return words, hit, sorted(found)
+
+
+@pytest.fixture(scope="module")
+def search_case():
+    rng = random.Random(5)
+    vocabulary = ["a", "b", "c", "Dé", "e1", "naïve"]
+    items = [(i, " ".join(rng.choices(vocabulary, k=rng.choice([1, 3, 12, 13, 14, 40])))) for i in range(12)]
+    items = [(i, t) for i, t in items if len(t.split()) > 1] + [(50, None), (51, " .. "), (52, items[3][1]), (7, items[5][1])]
+    docs = []
+    for i in range(60):
+        parts = [" ".join(rng.choices(vocabulary, k=rng.randrange(30)))]
+        if rng.random() < 0.7:
+            words = (rng.choice(items)[1] or "").split()
+            at = rng.randrange(len(words) + 1)
+            parts.append(", ".join(words[at:] if rng.random() < 0.5 else words).upper() if rng.random() < 0.2 else " ".join(words[at:]))
+        parts.append(" ".join(rng.choices(vocabulary, k=rng.randrange(60))))
+        docs.append((i, "-".join(parts)))
+    return [*docs, (100, None), (101, ""), (102, "!!"), (0, docs[0][1])], items
+
+
+@pytest.mark.parametrize("shard_words", [1_000_000, 20])
+def test_decontamination_equals_brute_force(spark, search_case, shard_words):
+    docs, items = search_case
+    frame = spark.createDataFrame(docs, "doc_id long, text string").withColumn("n_words", F.lit("clash")).withColumn("spans", F.lit(1))
+    found = decontaminate.matched_spans(frame, spark.createDataFrame(items, "item_id long, text string"), shard_words=shard_words)
+    rows = found.collect()
+    assert len(rows) == len(docs)
+    by = {d: t for d, t in docs}
+    for r in rows:
+        words, hit, names = windows_hit(by[r["doc_id"]], items)
+        assert r["n_words"] == "clash" and r["__n_words"] == len(words)
+        covered = {j for s in r["__spans"] for j in range(s["first"], s["last"] + 1)}
+        assert covered == hit and sorted(set(r["__items"])) == names
+        for s in r["__spans"]:
+            assert WORD.findall(lowered(by[r["doc_id"]][s["start"] : s["stop"]])) == words[s["first"] : s["last"] + 1]
+
+
+def test_decontaminated_documents(spark):
+    item = " ".join(f"w{i}" for i in range(20))
+    long = " ".join(f"x{i}" for i in range(1000))
+    docs = spark.createDataFrame([(1, item, None), (2, f"{long} {item} end", "k"), (3, long, "k"), (4, None, "k")], "doc_id long, text string, other string")
+    out = {r["doc_id"]: r for r in decontaminate.decontaminated(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()}
+    assert set(out) == {2, 3, 4} and out[2]["text"] == f"{long}  end" and out[3]["text"] == long and out[4]["text"] is None
+    none = decontaminate.decontaminated(docs, spark.createDataFrame([], "item_id long, text string"))
+    assert none.count() == 4 and none.columns == docs.columns
+    assert decontaminate.decontaminated(docs.limit(0), spark.createDataFrame([(1, item)], "item_id long, text string")).count() == 0
+
+
+def brute_units(text, least):
+    """Sentences by hand: a unit starts at a line or at a long sentence and takes the short ones behind it."""
+    out, at = [], 0
+    for line in re.findall(r"[^\n]*\n|[^\n]+", text or ""):
+        pieces = [p for p in re.split(r"(?<=[.!?])([ \t]+)", line)]
+        joined = [pieces[i] + (pieces[i + 1] if i + 1 < len(pieces) else "") for i in range(0, len(pieces), 2)]
+        groups = []
+        for p in [p for p in joined if p]:
+            if not groups or len(p.split()) >= least:
+                groups.append([at, p])
+            else:
+                groups[-1][1] += p
+            at += len(p)
+        out += [(start, start + len(body), " ".join(lowered(body).split())) for start, body in groups if len(body.split()) >= least]
+    return out
+
+
+def test_repeated_units_equal_brute_force(spark):
+    rng = random.Random(8)
+    sentences = [" ".join(rng.choices(["ab", "Cd", "ef", "é", "g7"], k=rng.choice([1, 2, 6, 7, 9]))) + rng.choice([".", "!", "?"]) for _ in range(30)]
+    docs = [(i, "".join(rng.choice(sentences) + rng.choice([" ", "  ", "\n", "\n\n"]) for _ in range(rng.randrange(1, 12)))) for i in range(40)]
+    docs += [(90, None), (91, ""), (92, "\n \n"), (5, docs[5][1])]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").withColumn("start", F.lit("clash"))
+    first, want = {}, set()
+    for d, t in sorted(set(docs), key=lambda x: x[0]):
+        for start, stop, body in brute_units(t, 6):
+            at = first.setdefault(hashlib.md5(body.encode()).digest(), (d, start))
+            if at != (d, start):
+                want.add((d, start, stop, *at))
+    got = {(r["key"], r["start"], r["stop"], r["kept_key"], r["kept_start"]) for r in passages.repeated_units(frame).collect()}
+    assert got == want and len(want) > 20
+    left = passages.without_repeats(frame, spans="cuts")
+    assert left.count() == len(docs)
+    for r in left.collect():
+        text = dict(docs)[r["doc_id"]]
+        cuts = sorted(w[1:3] for w in want if w[0] == r["doc_id"])
+        assert [(c["start"], c["stop"]) for c in r["cuts"]] == cuts and r["start"] == "clash"
+        for a, b in reversed(cuts):
+            text = text[:a] + text[b:]
+        assert r["text"] == text
+
+
+def test_passage_inside_a_line_goes(spark):
+    passage = "One long sentence that many other documents hold too. Short one. Another long sentence follows the short one here."
+    docs = spark.createDataFrame([(i, f"Own words number {i} start this document here. {passage}") for i in range(5)], "doc_id long, text string")
+    out = {r["doc_id"]: r["text"] for r in passages.without_repeats(docs).collect()}
+    assert out[0].endswith(passage) and all("long sentence" not in out[i] and f"number {i}" in out[i] for i in range(1, 5))
+    assert passages.repeated_units(docs.limit(0)).count() == 0
+
+
+def test_queries_have_the_contract_columns(spark):
+    out = QUERIES["op4_decontaminate"](spark, "/root/testdata/sf0.001")
+    assert dict(out.dtypes) == {"doc_id": "bigint", "n_words": "bigint", "n_hit": "bigint", "n_items": "bigint", "items_sha256": "string", "contaminated": "boolean"}
