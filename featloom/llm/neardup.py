@@ -10,8 +10,9 @@ Steps, all of them Spark jobs whose tables lie in the shared folder:
 1. sets: per document the number of shingles, a 128-bit digest of the set and one hash per band;
 2. equal sets become one node, so a group of copies costs one row from here on;
 3. per band bucket the smallest node leads; each other member is compared with its leader only (a star, no pairs);
-4. nodes of one bucket that are still in different components are compared in blocks inside tasks; a block emits the
-   links it needs to join components, never pairs, and a pair is compared only in the first bucket it shares;
+4. a bucket that still holds several components names the largest of them its hub; the nodes of all buckets of a hub meet
+   once, in blocks inside tasks, where pairs of different components are compared; a block emits the links that join
+   components, never pairs;
 5. links are closed to components by minimum labels with pointer jumping.
 
 Defined cases: null, empty and blank texts have no shingles and link with nothing; a text of fewer words than a shingle is
@@ -35,8 +36,8 @@ from featloom.llm.base import WordHashes, encoded, mixed, picked, query, stored,
 
 CIRCLE = 1 << 20
 BANDS, ROWS = 40, 6
-#: Members of a bucket that meet in one block; more are dealt to several blocks.
-BLOCK = 200
+#: Nodes of a hub that meet in one block, and bands that a pair must share there to be compared in full.
+BLOCK, AGREE = 1_024, 1
 #: Ids sent to every task instead of a shuffle of the texts; 8 bytes each.
 SENT_IDS = 500_000
 
@@ -144,48 +145,52 @@ def components(links: DataFrame, a: str = "node", b: str = "leader") -> DataFram
 
 
 def _block_links(rows: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links that join different components inside buckets; rows: bucket, node, n, component, bands, size of the bucket."""
-    parts = F.ceil(F.col("size") / BLOCK).cast("int")
-    mine = F.pmod(F.xxhash64("node"), parts).cast("int")
-    other = F.explode(F.sequence(F.lit(0), parts - 1)).alias("other")
-    dealt = rows.withColumn("mine", mine).select("*", other)
-    dealt = dealt.withColumn("low", F.least("mine", "other")).withColumn("high", F.greatest("mine", "other"))
+    """Links that join different components; rows: hub, node, n, component, bands (each node once for a hub).
+
+    All nodes of a hub meet in blocks of `BLOCK`, every pair in one block. A pair of different components that agrees in
+    `AGREE` bands is compared in full inside the block; only the links that join components leave it.
+    """
+    held = stored(rows.groupBy("hub").agg(F.count(F.lit(1)).alias("held")), "held")
+    parts = F.ceil(F.col("held") / BLOCK).cast("int")
+    dealt = rows.join(held, "hub").withColumn("mine", F.pmod(F.xxhash64("node"), parts).cast("int"))
+    dealt = dealt.select("*", F.explode(F.sequence(F.lit(0), parts - 1)).alias("other")).withColumn("low", F.least("mine", "other")).withColumn("high", F.greatest("mine", "other"))
 
     def compare(block: pd.DataFrame) -> pd.DataFrame:
-        bucket, low, high = int(block["bucket"].iat[0]), int(block["low"].iat[0]), int(block["high"].iat[0])
-        block = block.sort_values("n", kind="stable")
-        nodes, sizes, part = block["node"].to_numpy(), block["n"].to_numpy(), block["mine"].to_numpy()
-        bands = np.stack([np.asarray(x) for x in block["bands"]])
-        roots = {int(c): int(c) for c in block["component"]}
+        block = block.sort_values("node").reset_index(drop=True)
+        nodes, sizes, part, home = (block[c].to_numpy() for c in ("node", "n", "mine", "component"))
+        split = bool((block["low"] != block["high"]).iat[0])
+        bands = np.stack([np.asarray(x) for x in block["bands"]]).astype(np.uint32)
+        outside = home != block["hub"].to_numpy()
+        up = {int(c): int(c) for c in home}
+        shingles, sets, links = ShingleSets(width), {}, []
+        bodies = list(block["text"])
 
         def root(c: int) -> int:
-            while roots[c] != c:
-                roots[c] = roots[roots[c]]
-                c = roots[c]
+            while up[c] != c:
+                up[c] = up[up[c]]
+                c = up[c]
             return c
 
-        shingles, sets, links = ShingleSets(width), {}, []
-        home, bodies = [int(c) for c in block["component"]], list(block["text"])
-        for i in range(len(nodes)):
-            ahead = np.arange(i + 1, np.searchsorted(100 * sizes, 100 * sizes[i] * 100 / percent, side="right"))
-            if low != high:
-                ahead = ahead[part[ahead] != part[i]]
-            if not len(ahead):
-                continue
-            same = bands[ahead] == bands[i]
-            first = bands[i][same.argmax(axis=1)]
-            for j in ahead[first == bucket]:
-                if root(home[i]) == root(home[j]):
-                    continue
-                for k in (i, j):
-                    if k not in sets:
-                        sets[k] = shingles.of(bodies[k])
-                if _linked(sets[i], sets[j], percent):
-                    links.append((nodes[i], nodes[j]))
-                    roots[root(home[i])] = root(home[j])
+        def of(k: int) -> np.ndarray:
+            if k not in sets:
+                sets[k] = shingles.of(bodies[k])
+            return sets[k]
+
+        for i in np.flatnonzero(outside):
+            near = (home != home[i]) & (100 * np.minimum(sizes, sizes[i]) >= percent * np.maximum(sizes, sizes[i]))
+            # Two nodes outside the hub meet when the later one is at hand.
+            near[i:] &= ~outside[i:]
+            if split:
+                near &= part != part[i]
+            ahead = np.flatnonzero(near)
+            ahead = ahead[(bands[ahead] == bands[i]).sum(axis=1) >= AGREE]
+            for j in ahead.tolist():
+                if root(int(home[i])) != root(int(home[j])) and _linked(of(i), of(j), percent):
+                    links.append((int(nodes[i]), int(nodes[j])))
+                    up[root(int(home[i]))] = root(int(home[j]))
         return pd.DataFrame(links, columns=["node", "leader"], dtype="int64")
 
-    return dealt.join(texts, "node").groupBy("bucket", "low", "high").applyInPandas(compare, "node long, leader long")
+    return dealt.join(texts, "node").groupBy("hub", "low", "high").applyInPandas(compare, "node long, leader long")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
@@ -210,8 +215,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
 
     labelled = members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     labelled = stored(labelled.select("bucket", "node", "n", "component", "size"), "labelled")
-    open_ = labelled.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a != b").select("bucket")
-    rest = labelled.join(stored(open_, "open"), "bucket").join(classes.select("node", "bands").dropDuplicates(["node"]), "node")
+    sizes = labelled.select("node", "component").distinct().groupBy("component").agg(F.count(F.lit(1)).alias("k"))
+    ranked = labelled.join(sizes, "component").groupBy("bucket").agg(F.max(F.struct("k", "component")).alias("top"), F.min("component").alias("a"), F.max("component").alias("b"))
+    hubs = stored(ranked.where("a != b").select("bucket", F.col("top.component").alias("hub")), "hubs")
+    rest = stored(labelled.join(hubs, "bucket").select("hub", "node", "n", "component").distinct(), "rest")
+    rest = rest.join(classes.select("node", "bands").dropDuplicates(["node"]), "node")
     more = stored(_block_links(rest, texts, width, percent).distinct(), "more")
     if not more.isEmpty():
         labels = components(links.union(more))
