@@ -17,29 +17,43 @@ from featloom.operators.profile import value_counts
 
 
 # ---------------------------------------------------------- classification
+BINARY_ONLY = ("f1", "precision", "recall", "specificity")
+
+
 def class_metrics(df: DataFrame, truth: str, prediction: str) -> DataFrame:
-    """Label metrics with class 1 as positive; zero denominators give 0."""
+    """Label metrics over any classes, from one count per (truth, prediction) pair.
+
+    Accuracy is the share of equal labels and balanced accuracy the mean recall
+    over the classes of the truth. The metrics of `BINARY_ONLY` see 1 as the
+    positive class; they are NULL as soon as a label other than 0 and 1 occurs.
+    Zero denominators give 0.
+    """
     t, p = col(truth), col(prediction)
-    counts = df.agg(
-        F.count("*").alias("n"),
-        F.count_if((t == 1) & (p == 1)).alias("tp"),
-        F.count_if((t == 0) & (p == 0)).alias("tn"),
-        F.count_if((t == 0) & (p == 1)).alias("fp"),
-        F.count_if((t == 1) & (p == 0)).alias("fn"),
+    pairs = df.groupBy(t.alias("t"), p.alias("p")).agg(F.count("*").alias("n"))
+    # Classes, not rows, from here on.
+    binary = F.lit(True)
+    for side in ("t", "p"):
+        number = F.col(side).cast("string").try_cast("double")
+        binary = binary & (F.col(side).isNull() | F.coalesce(number.isin(0.0, 1.0), F.lit(False)))
+    one = {side: F.coalesce(F.col(side).cast("string").try_cast("double") == 1, F.lit(False)) for side in ("t", "p")}
+    zero = {side: F.coalesce(F.col(side).cast("string").try_cast("double") == 0, F.lit(False)) for side in ("t", "p")}
+    number = lambda side: F.col(side).cast("string").try_cast("double")
+    same = F.coalesce(number("t") == number("p"), F.col("t").cast("string").eqNullSafe(F.col("p").cast("string")))
+    count = lambda where: F.coalesce(F.sum(F.when(where, F.col("n"))), F.lit(0))
+    recalls = pairs.where("t IS NOT NULL").groupBy("t").agg((count(same) / F.sum("n")).alias("r")).agg(F.avg("r").alias("balanced_accuracy"))
+    counts = pairs.agg(
+        F.sum("n").alias("n"), count(same).alias("same"), F.bool_and(binary).alias("binary"), count(one["t"] & one["p"]).alias("tp"),
+        count(zero["t"] & zero["p"]).alias("tn"), count(zero["t"] & one["p"]).alias("fp"), count(one["t"] & zero["p"]).alias("fn"),
     )
     tp, tn, fp, fn = (F.col(c) for c in ("tp", "tn", "fp", "fn"))
-    recall, specificity = safe_divide(tp, tp + fn), safe_divide(tn, tn + fp)
-    # balanced accuracy averages over the classes that occur in the truth
-    balanced = (
-        F.when(tp + fn == 0, specificity).when(tn + fp == 0, recall).otherwise((recall + specificity) / 2)
-    )
-    return counts.select(
-        safe_divide(tp + tn, F.col("n"), None).alias("accuracy"),
-        balanced.alias("balanced_accuracy"),
-        safe_divide(2 * tp, 2 * tp + fp + fn).alias("f1"),
-        safe_divide(tp, tp + fp).alias("precision"),
-        recall.alias("recall"),
-        specificity.alias("specificity"),
+    two = {
+        "f1": safe_divide(2 * tp, 2 * tp + fp + fn), "precision": safe_divide(tp, tp + fp),
+        "recall": safe_divide(tp, tp + fn), "specificity": safe_divide(tn, tn + fp),
+    }
+    labels = beside(counts, recalls)
+    return labels.select(
+        safe_divide(F.col("same"), F.col("n"), None).alias("accuracy"), F.coalesce("balanced_accuracy", F.lit(0.0)).alias("balanced_accuracy"),
+        *[F.when(F.col("binary"), two[m]).alias(m) for m in BINARY_ONLY],
     )
 
 
@@ -81,7 +95,7 @@ def ranking_metrics(df: DataFrame, truth: str, score: str, limit: int = SMALL_RO
 def classification_metrics(df: DataFrame, truth: str, prediction: str, probability: str | None = None) -> DataFrame:
     """One row with label metrics and, given a probability, ranking metrics."""
     if df.isEmpty():
-        raise ValueError("truth and prediction must have equal non-zero length")
+        raise ValueError("there are no rows to score")
     labels = class_metrics(df, truth, prediction)
     if probability is None:
         none = F.lit(None).cast("double")
@@ -102,7 +116,10 @@ SCORERS = ["accuracy", "f1", "neg_root_mean_squared_error"]
 
 def scorer(name: str, df: DataFrame, truth: str, prediction: str) -> float:
     if name in ("accuracy", "f1", "precision", "recall", "balanced_accuracy"):
-        return float(class_metrics(df, truth, prediction).first()[name])
+        value = class_metrics(df, truth, prediction).first()[name]
+        if value is None:
+            raise ValueError(f"{name} needs the labels 0 and 1; use accuracy or balanced_accuracy")
+        return float(value)
     if name == "neg_root_mean_squared_error":
         return -float(rmse(df, truth, prediction).first()["rmse"])
     raise ValueError(f"unknown scorer: {name}")

@@ -1,9 +1,10 @@
 """Fitted preparation: learn on training rows, replay on any rows.
 
-Fitting collects only scalars and bounded category lists. Steps on different
-columns are fitted together, so a plan costs a few aggregates per dependency
-level and not one per step. A fitted preparation is a projection: it needs no
-shuffle and also applies to streaming frames.
+Fitting collects scalars and, for one 0/1 column per category, the categories.
+Steps on different columns are fitted together, so a plan costs a few aggregates
+per dependency level and not one per step. A fitted preparation is a projection,
+with a join on a frozen map for each index of categories; it never reads the
+training rows again and also applies to streaming frames.
 """
 
 from __future__ import annotations
@@ -19,16 +20,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from featloom.core import checked_broadcast, clean, col, is_numeric, nan_to_null, numeric_columns, require_columns, rows_frame
+from featloom.core import checked_broadcast, checkpointed, clean, col, is_numeric, nan_to_null, numeric_columns, require_columns, rows_frame
 from featloom.functions.columns import negative_as_missing, zero_as_missing
 from featloom.functions.ordering import SMALL_ROWS, global_row_number, quantiles
 from featloom.operators.gram import gram
 from featloom.operators.ordered import backward_fill, discrete_cosine, forward_fill
 from featloom.plans.plan import Plan
 
-MAX_CATEGORIES = 2_000
-_LITERAL_MAP = 64
-
 # ------------------------------------------------------------ small methods
 
 
@@ -207,20 +205,14 @@ def _counts(df: DataFrame, exprs: dict[str, Column]) -> DataFrame:
     return long.groupBy(F.col("x.i").alias("i"), F.col("x.v").alias("v")).count()
 
 
-def _category_lists(df: DataFrame, exprs: dict[str, Column], types: dict[str, T.DataType], cap: int) -> dict[str, list[str | None]]:
-    """Sorted values per expression (NULL last); more than `cap` is an error."""
+def _category_lists(df: DataFrame, exprs: dict[str, Column], types: dict[str, T.DataType]) -> dict[str, list[str | None]]:
+    """Sorted values per expression (NULL last): each becomes a column, so the driver needs them all."""
     if not exprs:
         return {}
     names = list(exprs)
-    rows = _counts(df, exprs).select("i", "v").limit(cap * len(names) + 1).collect()
     found: dict[str, list] = {n: [] for n in names}
-    for r in rows:
+    for r in _counts(df, exprs).select("i", "v").toLocalIterator():
         found[names[r["i"]]].append(r["v"])
-    for n, values in found.items():
-        if len(values) > cap:
-            raise ValueError(f"more than {cap} categories in column {n}")
-    if len(rows) > cap * len(names):
-        raise ValueError(f"more than {cap} categories in columns {names}")
     out = {}
     for n, values in found.items():
         key: Callable = (lambda v: float(v)) if is_numeric(types[n]) else (lambda v: v)
@@ -228,8 +220,8 @@ def _category_lists(df: DataFrame, exprs: dict[str, Column], types: dict[str, T.
     return out
 
 
-def _categories(df: DataFrame, columns: Sequence[str], cap: int = MAX_CATEGORIES) -> dict[str, list[str | None]]:
-    return _category_lists(df, {c: col(c) for c in columns}, {c: df.schema[c].dataType for c in columns}, cap)
+def _categories(df: DataFrame, columns: Sequence[str]) -> dict[str, list[str | None]]:
+    return _category_lists(df, {c: col(c) for c in columns}, {c: df.schema[c].dataType for c in columns})
 
 
 def _modes(df: DataFrame, exprs: dict[str, Column], types: dict[str, T.DataType]) -> dict[str, Any]:
@@ -263,118 +255,153 @@ def string_index(df: DataFrame, column: str, mapping: DataFrame | None = None, u
 
 
 # --------------------------------------------------------- fitted pipeline
+class Working:
+    """A frame with the current expression and type of every predictor; other columns ride along."""
+
+    def __init__(self, df: DataFrame, predictors: Sequence[str], others: Sequence[str] = ()) -> None:
+        self.frame = nan_to_null(df)
+        self.others = list(others)
+        self.exprs = {c: col(c) for c in predictors}
+        self.types = {c: self.frame.schema[c].dataType for c in predictors}
+
+    def put(self, name: str, expr: Column, kind: T.DataType) -> None:
+        self.exprs[name], self.types[name] = expr, kind
+
+    def join(self, name: str, change: Callable[[DataFrame], DataFrame]) -> None:
+        """Evaluate all expressions, then let `change` rewrite the named column by a join."""
+        flat = self.frame.select(*[col(c) for c in self.others], *[e.alias(c) for c, e in self.exprs.items()])
+        self.frame = change(flat)
+        for c in self.exprs:
+            self.put(c, col(c), self.frame.schema[c].dataType)
+
+
 @dataclass
 class Operation:
-    category: str
+    """One fitted step of one column."""
+
     method: str
     column: str
-    params: dict[str, Any] = field(default_factory=dict)
-    mapping: DataFrame | None = None
+    category = ""
 
+    def run(self, on: Working) -> None:
+        raise NotImplementedError
 
-class _State:
-    """Current expression and type of every predictor while compiling."""
 
-    def __init__(self, df: DataFrame, predictors: Sequence[str]) -> None:
-        frame = nan_to_null(df)
-        self.exprs = {c: col(c) for c in predictors}
-        self.types = {c: frame.schema[c].dataType for c in predictors}
-
-    def apply(self, op: Operation) -> None:
-        c, p = self.exprs[op.column], op.params
-        kind = self.types[op.column]
-        if op.category == "impute":
-            value = F.lit(p["value"])
-            if op.method in ("MEAN", "MEDIAN") or p.get("double"):
-                c, kind = c.cast("double"), T.DoubleType()
-            else:
-                value = value.cast(kind)
-            self._set(op.column, F.coalesce(c, value), kind)
-        elif op.category == "replace_zero":
-            self._set(op.column, zero_as_missing(c), kind)
-        elif op.category == "replace_negative":
-            self._set(op.column, negative_as_missing(c), kind)
-        elif op.category == "numeric":
-            v = c.cast("double")
-            if op.method == "BINARIZE":
-                scaled = (v > 0).cast("double")
-            else:
-                scaled = (v - F.lit(p["shift"])) / F.lit(p["scale"])
-            self._set(op.column, scaled, T.DoubleType())
-        elif op.category == "one_hot":
-            made = {}
-            for v in p["values"]:
-                hit = c.isNull() if v is None else (c.cast("string") == F.lit(v))
-                made[f"{op.column}_{'nan' if v is None else v}"] = F.coalesce(hit, F.lit(False)).cast("double")
-            self._replace(op.column, made)
-        elif op.category == "string_index":
-            pairs = [x for v, i in p["index"].items() for x in (F.lit(v), F.lit(i))]
-            known = F.create_map(*pairs)[c.cast("string")] if pairs else F.lit(None).cast("int")
-            self._set(op.column, F.coalesce(known, F.lit(-1)), T.IntegerType())
-
-    def _set(self, name: str, expr: Column, kind: T.DataType) -> None:
-        self.exprs[name], self.types[name] = expr, kind
+@dataclass
+class Fill(Operation):
+    """A constant for NULL; `number` turns the column into doubles."""
+
+    value: Any
+    number: bool = False
+    category = "impute"
+
+    def run(self, on: Working) -> None:
+        kind = T.DoubleType() if self.number else on.types[self.column]
+        on.put(self.column, F.coalesce(on.exprs[self.column].cast(kind), F.lit(self.value).cast(kind)), kind)
+
+
+@dataclass
+class Blank(Operation):
+    """NULL for values that stand for a missing one."""
+
+    def __post_init__(self) -> None:
+        self.category, self.rule = {
+            "ZERO_AS_MISSING_VALUE": ("replace_zero", zero_as_missing), "NEGATIVE_AS_MISSING_VALUE": ("replace_negative", negative_as_missing),
+        }[self.method]
+
+    def run(self, on: Working) -> None:
+        on.put(self.column, self.rule(on.exprs[self.column]), on.types[self.column])
+
+
+@dataclass
+class Rescale(Operation):
+    """(x - shift) / scale."""
+
+    shift: float
+    scale: float
+    category = "numeric"
+
+    def run(self, on: Working) -> None:
+        on.put(self.column, (on.exprs[self.column].cast("double") - F.lit(self.shift)) / F.lit(self.scale), T.DoubleType())
+
+
+@dataclass
+class Positive(Operation):
+    """1 above zero, else 0."""
 
-    def _replace(self, name: str, made: dict[str, Column]) -> None:
-        """Drop a column and append its replacements at the end."""
-        del self.exprs[name], self.types[name]
-        for n, e in made.items():
-            self.exprs[n], self.types[n] = e, T.DoubleType()
+    category = "numeric"
 
+    def run(self, on: Working) -> None:
+        on.put(self.column, (on.exprs[self.column].cast("double") > 0).cast("double"), T.DoubleType())
 
+
+@dataclass
+class Indicators(Operation):
+    """A 0/1 column per category, at the end, in place of the column."""
+
+    values: list[str | None]
+    category = "one_hot"
+
+    def names(self) -> list[str]:
+        return [f"{self.column}_{'nan' if v is None else v}" for v in self.values]
+
+    def run(self, on: Working) -> None:
+        source = on.exprs.pop(self.column)
+        del on.types[self.column]
+        for name, v in zip(self.names(), self.values, strict=True):
+            hit = source.isNull() if v is None else source.cast("string") == F.lit(v)
+            on.put(name, F.coalesce(hit, F.lit(False)).cast("double"), T.DoubleType())
+
+
+@dataclass
+class Rank(Operation):
+    """The frequency rank of a category, -1 if it was not seen; `mapping` is frozen at fit."""
+
+    mapping: DataFrame
+    category = "string_index"
+
+    def run(self, on: Working) -> None:
+        kind = on.types[self.column]
+        if not isinstance(kind, T.StringType):
+            on.put(self.column, on.exprs[self.column].cast("string"), T.StringType())
+        on.join(self.column, lambda df: string_index(df, self.column, self.mapping))
+
+
+@dataclass
 class FittedPreparation:
-    """Ordered operations, frozen output columns and a manifest."""
-
-    def __init__(
-        self, target: str, operations: list[Operation], output_columns: list[str], manifest: dict[str, Any], *,
-        strict: bool = True, sampling_methods: Sequence[str] = (), edges: list[float] | None = None,
-        labels: list | None = None, passthrough: Sequence[str] = (), rename: dict[str, str] | None = None,
-    ) -> None:
-        self.target = target
-        self.operations = operations
-        self.output_columns = output_columns
-        self.manifest = manifest
-        self.strict = strict
-        self.sampling_methods = list(sampling_methods)
-        self.edges = edges
-        self.labels = labels
-        self.passthrough = list(passthrough)
-        self.rename = rename or {}
+    """Fitted operations in order, and the columns they leave."""
+
+    target: str
+    operations: list[Operation]
+    output_columns: list[str]
+    manifest: dict[str, Any]
+    strict: bool = True
+    sampling_methods: list[str] = field(default_factory=list)
+    edges: list[float] | None = None
+    labels: list | None = None
+    passthrough: list[str] = field(default_factory=list)
+    rename: dict[str, str] = field(default_factory=dict)
 
     def transform(self, df: DataFrame) -> DataFrame:
         """Passthrough columns, frozen features and, if present, the target."""
-        kept = [c for c in self.passthrough if c in df.columns]
-        has_target = self.target in df.columns
-        frame = nan_to_null(df)
-        state = _State(frame, [c for c in df.columns if c not in (*kept, self.target)])
+        others = [c for c in (*self.passthrough, self.target) if c in df.columns]
+        on = Working(df, [c for c in df.columns if c not in others], others)
         for op in self.operations:
-            if op.column not in state.exprs:
-                if self.strict:
-                    raise ValueError(f"missing input column: {op.column}")
-                continue
-            if op.mapping is not None:
-                frame, state = self._join_index(frame, state, op, [*kept, *([self.target] if has_target else [])])
-            else:
-                state.apply(op)
-        names = {v: k for k, v in self.rename.items()}
-        features = []
-        for c in self.output_columns:
-            source = names.get(c, c)
-            features.append((state.exprs[source] if source in state.exprs else F.lit(0.0)).alias(c))
-        target = []
-        if has_target:
-            y = col(self.target)
-            if self.edges is not None:
-                y = _labelled(bin_index(y.cast("double"), self.edges), self.labels)
-            target = [y.alias(self.target)]
-        return frame.select(*[col(c) for c in kept], *features, *target)
-
-    @staticmethod
-    def _join_index(frame: DataFrame, state: _State, op: Operation, keep: Sequence[str]):
-        """Index with many values: a join on the fitted map instead of a literal."""
-        now = frame.select(*[col(c) for c in keep], *[e.alias(c) for c, e in state.exprs.items()])
-        indexed = string_index(now, op.column, op.mapping)
-        return indexed, _State(indexed, list(state.exprs))
+            if op.column in on.exprs:
+                op.run(on)
+            elif self.strict:
+                raise ValueError(f"missing input column: {op.column}")
+        source = {shown: made for made, shown in self.rename.items()}
+        features = [on.exprs.get(source.get(c, c), F.lit(0.0)).alias(c) for c in self.output_columns]
+        return on.frame.select(*[col(c) for c in others if c != self.target], *features, *self._answer(others))
+
+    def _answer(self, present: Sequence[str]) -> list[Column]:
+        if self.target not in present:
+            return []
+        y = col(self.target)
+        if self.edges is not None:
+            y = _labelled(bin_index(y.cast("double"), self.edges), self.labels)
+        return [y.alias(self.target)]
 
     def features(self, df: DataFrame) -> list[str]:
         return list(self.output_columns)
@@ -383,8 +410,7 @@ class FittedPreparation:
         """Transformed training rows with classes balanced by the plan's samplers."""
         from featloom.operators.sampling import oversample
 
-        if self.target not in df.columns:
-            raise ValueError("training data must contain the target column")
+        require_columns(df, [self.target])
         out = self.transform(df)
         for method in self.sampling_methods:
             out = oversample(out, self.target, self.output_columns, method, key=key, seed=seed)
@@ -394,16 +420,22 @@ class FittedPreparation:
         return rows_frame(df.sparkSession, [(json.dumps(self.manifest, default=str),)], "manifest string")
 
 
+# What a fitted step needs to know of its column.
+NEEDS = {
+    ("missing_values", "MEAN"): "mean", ("missing_values", "MEDIAN"): "median", ("missing_values", "MODE"): "mode",
+    ("missing_values", "ZERO_AS_MISSING_VALUE"): None, ("missing_values", "NEGATIVE_AS_MISSING_VALUE"): None,
+    ("transformation", "STANDARDIZE"): "spread", ("transformation", "MIN_MAX_SCALE"): "spread", ("transformation", "BINARIZE"): None,
+    ("encoding", "ONE_HOT_ENCODE"): "values", ("encoding", "STRING_INDEX"): "ranks",
+}
+ANY_TYPE = {("missing_values", "MODE"), ("encoding", "ONE_HOT_ENCODE"), ("encoding", "STRING_INDEX")}
+
+
 class Preparation:
     """Compiles a plan to fitted operations."""
 
-    def __init__(
-        self, strict: bool = True, order: Sequence[str] = ("missing_values", "transformation", "encoding"),
-        max_categories: int = MAX_CATEGORIES,
-    ) -> None:
+    def __init__(self, strict: bool = True, order: Sequence[str] = ("missing_values", "transformation", "encoding")) -> None:
         self.strict = strict
         self.order = tuple(order)
-        self.max_categories = max_categories
 
     def fit(
         self, train: DataFrame, plan: Plan, target: str | None = None, *, masks: dict | None = None,
@@ -411,200 +443,153 @@ class Preparation:
         passthrough: Sequence[str] = (),
     ) -> FittedPreparation:
         target = target or plan.target
-        if target not in train.columns:
-            raise ValueError(f"target column not found: {target}")
-        if masks:
-            plan = plan.keep(masks)
+        require_columns(train, [target])
         if plan.target != target:
-            raise ValueError(f"recommendation target {plan.target!r} does not match {target!r}")
-        steps = [
-            (category, step.column, method)
-            for category in self.order for step in getattr(plan, category) for method in step.methods
-        ]
+            raise ValueError(f"the plan's target {plan.target} does not match {target}")
+        plan = plan.keep(masks) if masks else plan
         if self.strict and any(s.methods for s in plan.extraction):
-            names = [m for s in plan.extraction for m in s.methods]
-            raise ValueError("fitted extraction is not supported: " + ", ".join(names))
-        frame = nan_to_null(train)
+            raise ValueError("extraction has no fitted form; apply it with apply_plan")
         predictors = [c for c in train.columns if c != target and c not in passthrough]
-        rows = frame.count()
-        state = _State(frame, predictors)
-        operations = self._fit_steps(frame, state, steps, rows)
+        steps = [(c, s.column, m) for c in self.order for s in getattr(plan, c) for m in s.methods]
+        rows = train.count()
+        operations = self._fit_steps(Working(train, predictors), steps, rows)
+        # The order of the output follows the plan.
+        after = Working(train, predictors)
+        for op in operations:
+            op.run(after)
         samplers = [m for s in plan.sampling for m in s.methods]
         edges, labels = None, None
         if target_quantiles is not None:
-            edges, labels = self._fit_target(frame, target, target_quantiles, target_labels, rows)
+            edges, labels = fit_target_bins(nan_to_null(train), target, target_quantiles, target_labels, rows)
         if samplers:
-            operations += self._fit_sampling_inputs(frame, state, rows)
-        columns = list(state.exprs)
+            operations = operations + self._fit_sampling_inputs(after, rows)
+        columns = list(after.exprs)
+        # fixed values: keys of the manifest
         manifest = {
-            "training_rows": rows,
-            "target_column": target,
-            "output_columns": columns,
+            "training_rows": rows, "target_column": target, "output_columns": columns,
             "operations": [{"category": o.category, "method": o.method, "column": o.column} for o in operations],
-            "sampling_methods": samplers,
-            "target_bin_edges": edges,
-            "target_labels": labels,
+            "sampling_methods": samplers, "target_bin_edges": edges, "target_labels": labels,
         }
         return FittedPreparation(
             target, operations, columns, manifest, strict=self.strict, sampling_methods=samplers, edges=edges,
-            labels=labels, passthrough=passthrough,
+            labels=labels, passthrough=list(passthrough),
         )
 
-    # A level holds the next unfitted step of every column, so all steps of a
-    # level are independent and share their aggregates.
-    def _fit_steps(self, frame: DataFrame, state: _State, steps: list, rows: int) -> list[Operation]:
-        queues: dict[str, list[int]] = {}
+    def _fit_steps(self, on: Working, steps: list, rows: int) -> list[Operation]:
+        """Fit in rounds: each takes the next step of every column, so all steps of a round share their aggregates."""
+        waiting: dict[str, list[int]] = {}
         for i, (_, column, _) in enumerate(steps):
-            queues.setdefault(column, []).append(i)
+            waiting.setdefault(column, []).append(i)
         done: dict[int, Operation] = {}
-        # columns made by an encoder join the queue order after their source
-        while any(queues.values()):
-            level = [q.pop(0) for q in queues.values() if q]
-            live = []
-            for i in level:
-                if steps[i][1] not in state.exprs:
-                    if self.strict:
-                        raise ValueError(f"recommendation references missing column: {steps[i][1]}")
-                    continue
-                live.append(i)
-            for i, op in zip(live, self._fit_level(frame, state, [steps[i] for i in live], rows), strict=True):
-                state_has = op.column in state.exprs
-                if state_has and op.mapping is None:
-                    state.apply(op)
-                elif op.mapping is not None:
-                    # the rank itself is only needed downstream as a number
-                    state._set(op.column, F.lit(-1), T.IntegerType())
-                done[i] = op
-        ordered = [done[i] for i in sorted(done)]
-        # output order follows the plan order of the encoders
-        final = _State(frame, [c for c in frame.columns if c in _inputs(state, ordered, frame)])
-        for op in ordered:
-            if op.mapping is None:
-                final.apply(op)
-            else:
-                final._set(op.column, F.lit(-1), T.IntegerType())
-        state.exprs, state.types = final.exprs, final.types
-        return ordered
-
-    def _fit_level(self, frame: DataFrame, state: _State, steps: list, rows: int) -> list[Operation]:
-        means, medians, modes, scales, hots, indexes = {}, {}, {}, {}, {}, {}
+        while any(waiting.values()):
+            turn = [queue.pop(0) for queue in waiting.values() if queue]
+            absent = [steps[i][1] for i in turn if steps[i][1] not in on.exprs]
+            if absent and self.strict:
+                raise ValueError(f"missing column for a step: {absent}")
+            turn = [i for i in turn if steps[i][1] in on.exprs]
+            fitted = self.fit_round(on, [steps[i] for i in turn], rows)
+            done.update(zip(turn, fitted, strict=True))
+            for op in fitted:
+                op.run(on)
+        return [done[i] for i in sorted(done)]
+
+    def fit_round(self, on: Working, steps: list, rows: int) -> list[Operation]:
+        wanted: dict[str, dict[str, Column]] = {}
         for category, column, method in steps:
-            c = state.exprs[column]
-            if category == "missing_values":
-                if method in ("MEAN", "MEDIAN", "MODE"):
-                    {"MEAN": means, "MEDIAN": medians, "MODE": modes}[method][column] = c
-                elif method not in ("ZERO_AS_MISSING_VALUE", "NEGATIVE_AS_MISSING_VALUE"):
-                    raise ValueError(f"fitted cleaning is not supported: {method}")
-                if method != "MODE" and not is_numeric(state.types[column]):
-                    raise ValueError(f"{method} requires a numeric column: {column}")
-            elif category == "transformation":
-                if method not in ("STANDARDIZE", "MIN_MAX_SCALE", "BINARIZE"):
-                    raise ValueError(f"fitted transformation is not supported: {method}")
-                if not is_numeric(state.types[column]):
-                    raise ValueError(f"{method} requires a numeric column: {column}")
-                scales[column] = c
-            elif category == "encoding":
-                if method == "ONE_HOT_ENCODE":
-                    hots[column] = c
-                elif method == "STRING_INDEX":
-                    indexes[column] = c
-                else:
-                    raise ValueError(f"fitted encoding is not supported: {method}")
-        facts: dict[str, tuple] = {}
-        aggs = [F.avg(clean(c)).alias(f"a{i}") for i, c in enumerate(means.values())]
-        for i, c in enumerate(scales.values()):
-            v = clean(c)
-            aggs += [F.avg(v).alias(f"m{i}"), F.stddev_pop(v).alias(f"s{i}"), F.min(v).alias(f"lo{i}"), F.max(v).alias(f"hi{i}")]
+            if (category, method) not in NEEDS:
+                raise ValueError(f"{category}/{method} is not supported in a fitted plan")
+            if (category, method) not in ANY_TYPE and not is_numeric(on.types[column]):
+                raise ValueError(f"{method} requires a numeric column: {column}")
+            wanted.setdefault(NEEDS[category, method], {})[column] = on.exprs[column]
+        facts = self._facts(on, wanted, rows)
+        return [self._operation(on, *s, facts) for s in steps]
+
+    @staticmethod
+    def _facts(on: Working, wanted: dict[str, dict[str, Column]], rows: int) -> dict[tuple[str, str], Any]:
+        """(need, column) -> fact; means and spreads come from one aggregate."""
+        aggs, places = [], []
+        for need in ("mean", "spread"):
+            for c, e in wanted.get(need, {}).items():
+                v = clean(e)
+                aggs.append(F.struct(F.avg(v).alias("mean"), F.stddev_pop(v).alias("sd"), F.min(v).alias("lo"), F.max(v).alias("hi")).alias(f"x{len(aggs)}"))
+                places.append((need, c))
+        facts: dict[tuple[str, str], Any] = {}
         if aggs:
-            got = frame.agg(*aggs).first()
-            facts.update({c: (got[f"a{i}"],) for i, c in enumerate(means)})
-            facts.update({c: (got[f"m{i}"], got[f"s{i}"], got[f"lo{i}"], got[f"hi{i}"]) for i, c in enumerate(scales)})
-        if medians:
-            found = quantiles(frame, medians, [0.5], rows=rows)
-            facts.update({c: (v[0],) for c, v in found.items()})
-        facts.update({c: (v,) for c, v in _modes(frame, modes, state.types).items()})
-        lists = _category_lists(frame, hots, state.types, self.max_categories)
-        return [self._operation(frame, state, s, facts, lists) for s in steps]
-
-    def _operation(self, frame: DataFrame, state: _State, step, facts, lists) -> Operation:
-        category, column, method = step
-        if category == "missing_values":
-            if method == "ZERO_AS_MISSING_VALUE":
-                return Operation("replace_zero", method, column)
-            if method == "NEGATIVE_AS_MISSING_VALUE":
-                return Operation("replace_negative", method, column)
-            value = facts[column][0]
-            if value is None:
-                raise ValueError(f"cannot impute a column without values: {column}")
-            return Operation("impute", method, column, {"value": value})
-        if category == "transformation":
-            mean, sd, lo, hi = facts[column]
-            if mean is None and method != "BINARIZE":
-                raise ValueError(f"cannot scale a column without values: {column}")
-            if method == "STANDARDIZE":
-                # a spread at rounding level is a constant column
-                flat = not sd or sd <= 10 * np.finfo(float).eps * abs(mean)
-                return Operation("numeric", method, column, {"shift": mean, "scale": 1.0 if flat else sd})
-            if method == "MIN_MAX_SCALE":
-                return Operation("numeric", method, column, {"shift": lo, "scale": (hi - lo) or 1.0})
-            return Operation("numeric", method, column)
-        if method == "ONE_HOT_ENCODE":
-            return Operation("one_hot", method, column, {"values": lists[column]})
-        current = frame.select(state.exprs[column].cast("string").alias(column))
-        mapping = frequency_index(current, column)
-        first = mapping.limit(_LITERAL_MAP + 1).collect()
-        if len(first) <= _LITERAL_MAP:
-            return Operation("string_index", method, column, {"index": {r["value"]: r["index"] for r in first}})
-        return Operation("string_index", method, column, {}, mapping)
+            facts.update(zip(places, on.frame.agg(*aggs).first(), strict=True))
+        found = {
+            "median": lambda exprs: {c: v[0] for c, v in quantiles(on.frame, exprs, [0.5], rows=rows).items()},
+            "mode": lambda exprs: _modes(on.frame, exprs, on.types),
+            "values": lambda exprs: _category_lists(on.frame, exprs, on.types),
+            "ranks": lambda exprs: {c: frozen_ranks(on.frame.select(e.cast("string").alias(c)), c) for c, e in exprs.items()},
+        }
+        for need, find in found.items():
+            if wanted.get(need):
+                facts.update({(need, c): v for c, v in find(wanted[need]).items()})
+        return facts
 
     @staticmethod
-    def _fit_target(frame, target, wanted, labels, rows):
-        if len(wanted) < 2 or wanted[0] != 0 or wanted[-1] != 1:
-            raise ValueError("target quantiles must start at zero and end at one")
-        found = quantiles(frame, {"t": col(target)}, wanted, rows=rows)["t"]
-        edges = [float(e) for i, e in enumerate(found) if e is not None and e not in found[:i]]
-        if len(edges) < 2:
-            raise ValueError("target cannot be discretized into two bins")
-        edges[0], edges[-1] = -math.inf, math.inf
-        labels = list(labels) if labels else list(range(len(edges) - 1))
-        if len(labels) != len(edges) - 1:
-            raise ValueError("target labels must match the fitted quantile intervals")
-        return edges, labels
-
-    def _fit_sampling_inputs(self, frame: DataFrame, state: _State, rows: int) -> list[Operation]:
+    def _operation(on: Working, category: str, column: str, method: str, facts: dict) -> Operation:
+        need = NEEDS[category, method]
+        fact = facts.get((need, column))
+        if need == "values":
+            return Indicators(method, column, fact)
+        if need == "ranks":
+            return Rank(method, column, fact)
+        if need is None:
+            return Positive(method, column) if category == "transformation" else Blank(method, column)
+        value = fact["mean"] if need in ("mean", "spread") else fact
+        if value is None:
+            raise ValueError(f"{method} on a column without values: {column}")
+        if need != "spread":
+            return Fill(method, column, value, number=need != "mode")
+        if method == "MIN_MAX_SCALE":
+            return Rescale(method, column, fact["lo"], (fact["hi"] - fact["lo"]) or 1.0)
+        # a spread at rounding level is a constant column
+        level = 10 * np.finfo(float).eps * abs(value)
+        return Rescale(method, column, value, fact["sd"] if fact["sd"] and fact["sd"] > level else 1.0)
+
+    @staticmethod
+    def _fit_sampling_inputs(on: Working, rows: int) -> list[Operation]:
         """Samplers need a complete numeric matrix: impute gaps, one-hot the rest."""
-        names = list(state.exprs)
-        got = frame.agg(*[F.count(state.exprs[c]).alias(f"n{i}") for i, c in enumerate(names)]).first()
-        gaps = [c for i, c in enumerate(names) if got[f"n{i}"] < rows]
-        numbers = {c: state.exprs[c] for c in gaps if is_numeric(state.types[c])}
-        others = {c: state.exprs[c] for c in gaps if c not in numbers}
-        found = {c: v[0] for c, v in quantiles(frame, numbers, [0.5], rows=rows).items()} if numbers else {}
-        found.update(_modes(frame, others, state.types))
-        out = []
-        for c in gaps:
-            label = "SAMPLING_PREREQUISITE_" + ("MEDIAN" if c in numbers else "MOST_FREQUENT")
-            out.append(Operation("impute", label, c, {"value": found[c], "double": c in numbers}))
-            state.apply(out[-1])
-        texts = [c for c in state.exprs if not is_numeric(state.types[c])]
-        lists = _category_lists(frame, {c: state.exprs[c] for c in texts}, state.types, self.max_categories)
-        for c in texts:
-            out.append(Operation("one_hot", "SAMPLING_PREREQUISITE_ONE_HOT", c, {"values": lists[c]}))
-            state.apply(out[-1])
+        names = list(on.exprs)
+        got = on.frame.agg(*[F.count(on.exprs[c]).alias(f"n{i}") for i, c in enumerate(names)]).first() if names else []
+        gaps = {c: on.exprs[c] for i, c in enumerate(names) if got[i] < rows}
+        numbers = {c: e for c, e in gaps.items() if is_numeric(on.types[c])}
+        texts = {c: e for c, e in gaps.items() if c not in numbers}
+        found = {c: v[0] for c, v in quantiles(on.frame, numbers, [0.5], rows=rows).items()} if numbers else {}
+        found.update(_modes(on.frame, texts, on.types))
+        # fixed values: names of the steps that samplers imply
+        out: list[Operation] = [Fill("SAMPLING_PREREQUISITE_MEDIAN" if c in numbers else "SAMPLING_PREREQUISITE_MOST_FREQUENT", c, found[c], number=c in numbers) for c in gaps]
+        for op in out:
+            op.run(on)
+        left = {c: e for c, e in on.exprs.items() if not is_numeric(on.types[c])}
+        for c, values in _category_lists(on.frame, left, on.types).items():
+            out.append(Indicators("SAMPLING_PREREQUISITE_ONE_HOT", c, values))
+            out[-1].run(on)
         return out
 
 
-def _inputs(state: _State, operations: Sequence[Operation], frame: DataFrame) -> set[str]:
-    """Predictors the state started from."""
-    made = set()
-    for op in operations:
-        if op.category == "one_hot":
-            made |= {f"{op.column}_{'nan' if v is None else v}" for v in op.params["values"]}
-    return (set(state.exprs) - (made - set(frame.columns))) | {op.column for op in operations if op.column in frame.columns}
+def frozen_ranks(df: DataFrame, column: str) -> DataFrame:
+    """The frequency index of a column, written to the shared folder, so that it outlives the training rows."""
+    return checkpointed(frequency_index(df, column))
+
+
+def fit_target_bins(df: DataFrame, target: str, shares: Sequence[float], labels: Sequence | None, rows: int) -> tuple[list[float], list]:
+    """Bins of a target between its quantiles at `shares`: open at both ends, equal quantiles once, a label for each."""
+    if len(shares) < 2 or (shares[0], shares[-1]) != (0, 1):
+        raise ValueError(f"shares of the rows run from 0 to 1, not {list(shares)}")
+    cuts = quantiles(df, {"t": col(target)}, shares, rows=rows)["t"]
+    ordered = list(dict.fromkeys(float(c) for c in cuts if c is not None))
+    if len(ordered) < 2:
+        raise ValueError(f"{target} has too few values for bins")
+    edges = [-math.inf, *ordered[1:-1], math.inf]
+    names = list(labels) if labels else list(range(len(edges) - 1))
+    if len(names) != len(edges) - 1:
+        raise ValueError(f"{len(names)} labels for {len(edges) - 1} bins")
+    return edges, names
 
 
-def fit_baseline(
-    train: DataFrame, target: str, passthrough: Sequence[str] = (), max_categories: int = MAX_CATEGORIES
-) -> FittedPreparation:
+def fit_baseline(train: DataFrame, target: str, passthrough: Sequence[str] = ()) -> FittedPreparation:
     """Fixed preparation: numbers -> median, standardise; others -> mode, one-hot."""
     require_columns(train, [target])
     predictors = [c for c in train.columns if c != target and c not in passthrough]
@@ -616,13 +601,13 @@ def fit_baseline(
         transformation=[(c, ["STANDARDIZE"]) for c in numbers],
         encoding=[(c, ["ONE_HOT_ENCODE"]) for c in others],
     )
-    fitted = Preparation(max_categories=max_categories).fit(train, plan, passthrough=passthrough)
-    made = {f"{op.column}_{v}": op.column for op in fitted.operations if op.category == "one_hot" for v in op.params["values"]}
-    rename = {c: (f"categorical__{c}" if c in made else f"numeric__{c}") for c in fitted.output_columns}
-    ordered = [c for c in fitted.output_columns if c not in made] + [c for c in fitted.output_columns if c in made]
-    columns = [rename[c] for c in ordered]
+    fitted = Preparation().fit(train, plan, passthrough=passthrough)
+    made = {n for op in fitted.operations if isinstance(op, Indicators) for n in op.names()}
+    # fixed values: prefixes of the baseline's columns
+    shown = {c: f"categorical__{c}" if c in made else f"numeric__{c}" for c in fitted.output_columns}
+    columns = [shown[c] for c in sorted(fitted.output_columns, key=lambda c: c in made)]
     manifest = {"kind": "deterministic_baseline", "target_column": target, "output_columns": columns}
-    return FittedPreparation(target, fitted.operations, columns, manifest, passthrough=passthrough, rename=rename)
+    return FittedPreparation(target, fitted.operations, columns, manifest, passthrough=list(passthrough), rename=shown)
 
 
 def finalise_numeric(train: DataFrame, test: DataFrame, target: str, passthrough: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
@@ -659,12 +644,9 @@ def _fitted_step(category: str, method: str) -> Step:
         numeric_only = (category, method) != ("missing_values", "MODE")
         if numeric_only and not is_numeric(df.schema[column].dataType):
             return df
-        frame = nan_to_null(df)
-        state = _State(frame, df.columns)
-        step = (category, column, method)
-        op = Preparation()._fit_level(frame, state, [step], frame.count())[0]
-        state.apply(op)
-        return frame.select(*[state.exprs[c].alias(c) for c in df.columns])
+        on = Working(df, df.columns)
+        Preparation().fit_round(on, [(category, column, method)], df.count())[0].run(on)
+        return on.frame.select(*[on.exprs[c].alias(c) for c in df.columns])
 
     return run
 
@@ -766,7 +748,7 @@ def apply_plan(
                     out = apply_method(out, category, method, step.column, order_by=order_by, partition_by=partition_by)
                     history.append((len(history), _HISTORY[category], method, step.column, True, None))
                 except Exception as error:  # noqa: BLE001
-                    history.append((len(history), _HISTORY[category], method, step.column, False, str(error)[:500]))
+                    history.append((len(history), _HISTORY[category], method, step.column, False, str(error)))
     if target_bins is not None:
         out = discretise_target(out, plan.target, target_bins, target_labels)
     frame = rows_frame(
@@ -786,9 +768,9 @@ def is_classification_target(df: DataFrame, target: str) -> bool:
 
 
 def category_mappings(df: DataFrame, exclude: Sequence[str] = ()) -> dict[str, DataFrame]:
-    """Frequency index of every text column."""
+    """Frozen frequency index of every text column."""
     texts = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType) and f.name not in exclude]
-    return {c: frequency_index(df, c) for c in texts}
+    return {c: frozen_ranks(df, c) for c in texts}
 
 
 def encode_categories(df: DataFrame, mappings: dict[str, DataFrame]) -> DataFrame:

@@ -9,8 +9,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from featloom.core import col, numeric_columns, require_columns, rows_frame
-from featloom.functions.ordering import cut_number, hash_cuts, order_statistics, quantiles
+from featloom.core import col, require_columns, rows_frame
+from featloom.functions.ordering import cut_number, hash_cuts, quantiles, running_sums
 
 
 @dataclass(frozen=True)
@@ -151,7 +151,8 @@ def chronological_partitions(
 ) -> Partitions:
     """First round(n * (1 - test_size)) rows in source order train, the rest test.
 
-    `order_by` and the unique numeric `tie_break` replace the implicit file order.
+    `order_by` and the unique `tie_break` replace the implicit file order. Both are
+    compared in their own types; NULLs come last.
     """
     _check_fraction(test_size)
     require_columns(df, [target, order_by, tie_break, *leakage_columns])
@@ -190,20 +191,32 @@ def chronological_partitions(
     return Partitions(train, test, audit)
 
 
-def _ordinal(df: DataFrame, name: str) -> Column:
-    if name in numeric_columns(df):
-        return col(name).cast("double")
-    return F.unix_micros(col(name).cast("timestamp")).cast("double")
-
-
 def _before_rank(df: DataFrame, order_by: str, tie_break: str, split: int) -> Column:
-    """Condition for the first `split` rows by (order_by, tie_break)."""
+    """Condition for the first `split` rows by (order_by, tie_break), in native types, NULL last.
+
+    The level of the last row is narrowed by counting: the values of `order_by` up
+    to it, then the ties among its rows. Only distinct values are ordered.
+    """
     if split <= 0:
         return F.lit(False)
-    order, tie = _ordinal(df, order_by), _ordinal(df, tie_break)
-    last = order_statistics(df, {"o": order}, {"o": [split - 1]})[("o", split - 1)]
-    below = df.where(order < F.lit(last)).count()
-    level = df.where(order == F.lit(last))
-    want = split - below - 1
-    edge = order_statistics(level, {"t": tie}, {"t": [want]})[("t", want)]
-    return (order < F.lit(last)) | ((order == F.lit(last)) & (tie <= F.lit(edge)))
+    order, tie = col(order_by), col(tie_break)
+    level, rest = _level(df, order, split)
+    if level is None:
+        above, here = order.isNotNull(), order.isNull()
+    else:
+        above, here = F.coalesce(order < level, F.lit(False)), F.coalesce(order == level, F.lit(False))
+    edge, _ = _level(df.where(here), tie, rest)
+    if edge is None:
+        return above | here
+    return above | (here & F.coalesce(tie <= edge, F.lit(False)))
+
+
+def _level(df: DataFrame, value: Column, rank: int) -> tuple[Column | None, int]:
+    """The value (None: NULL) at which `rank` rows are reached, and how many rows of that value belong to them."""
+    kind = df.select(value.alias("v")).schema["v"].dataType
+    counts = df.where(value.isNotNull()).groupBy(value.alias("v")).agg(F.count("*").alias("n"))
+    steps = running_sums(counts, [F.asc("v")], {"seen": F.col("n")})
+    got = steps.where(F.col("seen") >= rank).agg(F.min(F.struct("v", "seen", "n")).alias("x")).first()["x"]
+    if got is None:
+        return None, rank - (counts.agg(F.sum("n")).first()[0] or 0)
+    return F.lit(got["v"]).cast(kind), rank - (got["seen"] - got["n"])
