@@ -83,7 +83,7 @@ def e5(spark, d):
 
 @query(
     "e6_repair_metrics",
-    """WITH k AS (SELECT DISTINCT l_orderkey % 500 AS row_key, l_returnflag AS "column", l_linenumber AS n FROM lineitem),
+    """WITH k AS (SELECT DISTINCT l_orderkey AS row_key, l_returnflag AS "column", (l_linenumber - 1) % 4 + 1 AS n FROM lineitem),
     c AS (SELECT DISTINCT row_key, "column" FROM k WHERE n = 1), x AS (SELECT DISTINCT row_key, "column" FROM k WHERE n = 2),
     y AS (SELECT DISTINCT row_key, "column" FROM k WHERE n = 3), z AS (SELECT DISTINCT row_key, "column" FROM k WHERE n = 4),
     s AS (SELECT (SELECT count(*) FROM c) AS corruptions, (SELECT count(*) FROM x) AS detected, (SELECT count(*) FROM y) AS changed,
@@ -95,7 +95,7 @@ def e5(spark, d):
 def e6(spark, d):
     lines = table(spark, d, "lineitem")
     keys = [
-        lines.where(F.col("l_linenumber") == n).select((F.col("l_orderkey") % 500).alias("row_key"), F.col("l_returnflag").alias("column")) for n in range(1, 5)
+        lines.where((F.col("l_linenumber") - 1) % 4 + 1 == n).select(F.col("l_orderkey").alias("row_key"), F.col("l_returnflag").alias("column")) for n in range(1, 5)
     ]
     return shaped(c.repair_metrics(*keys))
 

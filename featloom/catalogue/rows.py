@@ -125,13 +125,13 @@ def u4(spark, d):
 
 @query(
     "u5_mean_jaccard",
-    """WITH s AS (SELECT user_id, list(DISTINCT event_type || CAST(CAST(value AS INTEGER) % 4 AS VARCHAR)) AS m FROM events WHERE value < 8 GROUP BY user_id)
+    """WITH s AS (SELECT user_id, list(DISTINCT event_type || CASE WHEN value < 8 THEN CAST(CAST(value AS INTEGER) % 4 AS VARCHAR) ELSE 'high' END) AS m FROM events GROUP BY user_id)
     SELECT (SELECT count(*) FROM s) AS runs, round(avg(len(list_intersect(a.m, b.m)) * 1.0 / len(list_distinct(list_concat(a.m, b.m)))), 6) AS mean_jaccard
     FROM s a JOIN s b ON a.user_id < b.user_id""",
 )
 def u5(spark, d):
-    member = F.concat("event_type", (F.rint("value").cast("int") % 4).cast("string"))
-    sets = table(spark, d, "events").where("value < 8").groupBy("user_id").agg(F.collect_set(member).alias("m"))
+    member = F.concat("event_type", F.when(F.col("value") < 8, (F.rint("value").cast("int") % 4).cast("string")).otherwise("high"))
+    sets = table(spark, d, "events").groupBy("user_id").agg(F.collect_set(member).alias("m"))
     return shaped(mean_jaccard(sets, "user_id", "m"))
 
 

@@ -79,15 +79,14 @@ def v6(spark, d):
 
 
 def _user_runs(spark, d):
-    kept = table(spark, d, "events").where("value < 8")
-    step = F.concat("event_type", (F.rint("value").cast("int") % 4).cast("string"))
-    return kept.groupBy("user_id").agg(
+    step = F.concat("event_type", F.when(F.col("value") < 8, (F.rint("value").cast("int") % 4).cast("string")).otherwise("high"))
+    return table(spark, d, "events").groupBy("user_id").agg(
         F.collect_set(step).alias("operations"), F.count("*").alias("n"), (F.count("*") / 1000).alias("f1")
     )
 
 
-_USER_RUNS = """WITH s AS (SELECT user_id, list(DISTINCT event_type || CAST(CAST(value AS INTEGER) % 4 AS VARCHAR)) AS ops, count(*) AS n, count(*) / 1000 AS f1
-  FROM events WHERE value < 8 GROUP BY user_id)"""
+_USER_RUNS = """WITH s AS (SELECT user_id, list(DISTINCT event_type || CASE WHEN value < 8 THEN CAST(CAST(value AS INTEGER) % 4 AS VARCHAR) ELSE 'high' END) AS ops, count(*) AS n, count(*) / 1000 AS f1
+  FROM events GROUP BY user_id)"""
 _JACCARD = "(SELECT avg(len(list_intersect(a.ops, b.ops)) * 1.0 / len(list_distinct(list_concat(a.ops, b.ops)))) FROM {0} a JOIN {0} b ON a.user_id < b.user_id)"
 
 
@@ -109,12 +108,13 @@ def v9(spark, d):
 
 def _sides(spark, d):
     orders = table(spark, d, "orders")
-    sides = {s: orders.where(F.col("o_orderstatus") == s).groupBy("o_custkey").agg((F.avg("o_totalprice") / 100000).alias("v")) for s in ("F", "O")}
-    return [sides[a].join(sides[b].select("o_custkey"), "o_custkey", "left_semi") for a, b in (("F", "O"), ("O", "F"))]
+    done = F.col("o_orderstatus") == "F"
+    sides = [orders.where(w).groupBy("o_custkey").agg((F.avg("o_totalprice") / 100000).alias("v")) for w in (done, ~done)]
+    return [a.join(b.select("o_custkey"), "o_custkey", "left_semi") for a, b in (sides, sides[::-1])]
 
 
 _DIFF = """WITH d AS (SELECT a.o_custkey, a.v - b.v AS d FROM (SELECT o_custkey, avg(o_totalprice) / 100000 AS v FROM orders WHERE o_orderstatus = 'F' GROUP BY o_custkey) a
-  JOIN (SELECT o_custkey, avg(o_totalprice) / 100000 AS v FROM orders WHERE o_orderstatus = 'O' GROUP BY o_custkey) b USING (o_custkey))"""
+  JOIN (SELECT o_custkey, avg(o_totalprice) / 100000 AS v FROM orders WHERE o_orderstatus <> 'F' GROUP BY o_custkey) b USING (o_custkey))"""
 
 
 @query(

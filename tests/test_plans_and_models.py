@@ -160,3 +160,14 @@ def test_fingerprint_ignores_order_only(spark):
 def test_register_is_complete():
     queries, oracles = entry.queries(), entry.oracle_sql()
     assert set(oracles) <= set(queries) and len(queries) > 150
+
+
+def test_search_with_a_text_target(spark, tmp_path):
+    rows = [(i, float(i % 3) + (i % 7) / 100, ["low", "mid", "top"][i % 3]) for i in range(240)]
+    train = spark.createDataFrame(rows, "id long, x double, size string")
+    search = k.ModelSearch().train(train, "id", "size", folds=2, algorithms=["forest"])
+    assert set(search.scores) == {"accuracy", "balanced_accuracy"} and search.scores["accuracy"] == 1.0
+    search.save(spark, str(tmp_path / "m"))
+    again = k.ModelSearch.load(spark, str(tmp_path / "m"))
+    got = again.predict(train)
+    assert dict(got.dtypes)["prediction"] == "string" and got.where("prediction <> size").isEmpty()
