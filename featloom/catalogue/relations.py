@@ -201,7 +201,8 @@ def _audit_sql(name: str, child: str, fk: str, parent: str, key: str) -> str:
     return f"""SELECT '{name}' AS relation, (SELECT count(*) FROM {child}) AS rows,
     (SELECT count(DISTINCT {fk}) FROM {child} WHERE {fk} NOT IN (SELECT {key} FROM {parent})) AS orphan_keys,
     (SELECT count(DISTINCT {fk}) FROM {child} WHERE {fk} IN (SELECT {key} FROM {parent})) AS matched_parent_keys,
-    (SELECT max(k) FROM (SELECT count(*) AS k FROM {child} WHERE {fk} IS NOT NULL GROUP BY {fk})) AS max_rows_per_parent"""
+    (SELECT max(k) FROM (SELECT count(*) AS k FROM {child} WHERE {fk} IS NOT NULL GROUP BY {fk})) AS max_rows_per_parent,
+    (SELECT count(*) FROM {parent}) AS parent_rows, (SELECT count(DISTINCT {key}) FROM {parent}) AS parent_unique_keys"""
 
 
 _PARENTS = "(SELECT c_custkey FROM customer WHERE c_mktsegment <> 'BUILDING')"

@@ -107,8 +107,14 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return "/".join([shared_folder(spark).rstrip("/"), "featloom", f"{name}-{uuid.uuid4().hex}"])
+    """A fresh path below the shared folder; what lies there is removed when the application ends."""
+    root = "/".join([shared_folder(spark).rstrip("/"), "featloom", spark.sparkContext.applicationId])
+    folder = spark._jvm.org.apache.hadoop.fs.Path(root)
+    store = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not store.exists(folder):
+        store.mkdirs(folder)
+        store.deleteOnExit(folder)
+    return f"{root}/{name}-{uuid.uuid4().hex}"
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

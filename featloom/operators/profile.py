@@ -175,6 +175,18 @@ def value_counts(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ())
     return grouped.count()
 
 
+def two_valued(df: DataFrame, columns: Sequence[str]) -> int:
+    """How many columns hold exactly two values: the smallest, the largest and nothing else. Two aggregates, no shuffle of values."""
+    frame = nan_to_null(df)
+    cells = [F.when(col(c).isNotNull(), col(c)).cast("string") for c in columns]
+    ends = frame.agg(*[F.struct(F.min(x).alias("lo"), F.max(x).alias("hi")).alias(f"x{i}") for i, x in enumerate(cells)]).first() if columns else []
+    open_ = {i: e for i, e in enumerate(ends) if e["lo"] is not None and e["lo"] != e["hi"]}
+    if not open_:
+        return 0
+    inside = frame.agg(*[F.bool_and(cells[i].isin(e["lo"], e["hi"])) for i, e in open_.items()]).first()
+    return sum(bool(x) for x in inside)
+
+
 def cardinality(df: DataFrame, columns: Sequence[str] | None = None, approx: bool = False) -> DataFrame:
     """Distinct non-null values per column."""
     columns = list(columns or df.columns)
@@ -539,8 +551,7 @@ class TableProfile:
             case "NR_ATTR_MISSING":
                 return one(sum(self.counts["nulls"][c] > 0 for c in self.attributes))
             case "NR_BIN":
-                unique = {r["column"]: r["unique_values"] for r in cardinality(self.df, self.attributes).collect()}
-                return one(sum(v == 2 for v in unique.values()))
+                return one(two_valued(self.df, self.attributes))
             case "NR_CAT":
                 return one(len(cat))
             case "NR_CLASS":

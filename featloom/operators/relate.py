@@ -412,10 +412,12 @@ def route_children(parent: DataFrame, key: str, child: DataFrame, foreign_key: s
 def audit_relations(
     parent: DataFrame, children: Mapping[str, tuple[DataFrame, str]], parent_key: str
 ) -> DataFrame:
-    """Per child table: rows, orphan keys, matched keys, most rows per parent."""
+    """Per child table: rows, orphan keys, matched keys, most rows per parent; the parent's rows and keys beside them."""
     require_columns(parent, [parent_key])
     require_unique_key(parent, parent_key)
     ids = parent.where(col(parent_key).isNotNull()).select(col(parent_key).alias("_id"), F.lit(1).alias("_hit"))
+    # The key was found unique, so its values count the keys.
+    totals = parent.agg(F.count("*").alias("rows"), F.count(col(parent_key)).alias("keys")).first()
     out = None
     for name, (child, fk) in children.items():
         require_columns(child, [fk])
@@ -428,7 +430,7 @@ def audit_relations(
             F.count_if(known & ~hit).alias("orphan_keys"),
             F.count_if(known & hit).alias("matched_parent_keys"),
             F.coalesce(F.max(F.when(known, F.col("k"))), F.lit(0)).alias("max_rows_per_parent"),
-        ).select(F.lit(name).alias("relation"), "*")
+        ).select(F.lit(name).alias("relation"), "*", F.lit(totals["rows"]).alias("parent_rows"), F.lit(totals["keys"]).alias("parent_unique_keys"))
         out = row if out is None else out.unionByName(row)
     return out
 
