@@ -38,14 +38,10 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` below the shared folder and read it again; removed when the application ends."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
+    """Write `df` below the shared folder and read it again."""
+    path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    jvm = spark._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def ascii_lower(c: Column) -> Column:

@@ -7,8 +7,8 @@ Tasks build a wrapper per host from the pages they hold, and wrappers of a host
 steps, so a very large host meets in a few rows.
 
 A slot is template if its element or its class says so (menus, forms, notices, ...), if most of its text is link text, or
-if one and the same text recurs in most pages of the host; what varies is content. If a host has article slots, only
-what lies in them counts; else all content does.
+if one and the same text recurs in most pages of the host; what varies is content. If a page has article elements, only
+what lies in them counts, and what holds one is no template; else all content does.
 
 Texts: character references are decoded, comments, scripts, styles and markup are dropped, white space inside a block
 becomes one space, and blocks are joined by line breaks in page order.
@@ -321,7 +321,8 @@ def content(root: Node, wrapper: list | None) -> str:
                     text, links = child
                     if (article or not inside) and not (slot and slot[2] and xxhash.xxh64_hexdigest(text.encode("utf-8", "surrogatepass")) in slot[2]) and links < max(1, 0.9 * len(text)):
                         out.append(text)
-                elif not (slot[1] if slot else named_template(child.key)):
+                elif not (slot[1] if slot else named_template(child.key)) or (inside and has_article(child)):
+                    # What holds an article is no template, whatever its class says.
                     walk(child, slot[3] if slot else [], article or child.tag in ARTICLE)
 
     walk(root, wrapper[3] if wrapper else [], False)
