@@ -7,10 +7,10 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from featloom.core import beside, clean, col, rows_frame, safe_divide
+from featloom.core import beside, checkpointed, clean, col, rows_frame, safe_divide
 from featloom.functions.ordering import SMALL_ROWS, quantiles, range_tagged, running_sums
 from featloom.operators.prepare import bin_index
 from featloom.operators.profile import value_counts
@@ -20,58 +20,61 @@ from featloom.operators.profile import value_counts
 BINARY_ONLY = ("f1", "precision", "recall", "specificity")
 
 
-def class_metrics(df: DataFrame, truth: str, prediction: str) -> DataFrame:
-    """Label metrics over any classes, from one count per (truth, prediction) pair.
+def _number(c: Column) -> Column:
+    return c.cast("string").try_cast("double")
+
+
+def class_metrics(df: DataFrame, truth: str, prediction: str, weight: str | None = None) -> DataFrame:
+    """Label metrics over any classes, in one pass; `weight` counts a row several times.
 
     Accuracy is the share of equal labels and balanced accuracy the mean recall
     over the classes of the truth. The metrics of `BINARY_ONLY` see 1 as the
     positive class; they are NULL as soon as a label other than 0 and 1 occurs.
     Zero denominators give 0.
     """
-    t, p = col(truth), col(prediction)
-    pairs = df.groupBy(t.alias("t"), p.alias("p")).agg(F.count("*").alias("n"))
-    # Classes, not rows, from here on.
-    binary = F.lit(True)
-    for side in ("t", "p"):
-        number = F.col(side).cast("string").try_cast("double")
-        binary = binary & (F.col(side).isNull() | F.coalesce(number.isin(0.0, 1.0), F.lit(False)))
-    one = {side: F.coalesce(F.col(side).cast("string").try_cast("double") == 1, F.lit(False)) for side in ("t", "p")}
-    zero = {side: F.coalesce(F.col(side).cast("string").try_cast("double") == 0, F.lit(False)) for side in ("t", "p")}
-    number = lambda side: F.col(side).cast("string").try_cast("double")
-    same = F.coalesce(number("t") == number("p"), F.col("t").cast("string").eqNullSafe(F.col("p").cast("string")))
-    count = lambda where: F.coalesce(F.sum(F.when(where, F.col("n"))), F.lit(0))
-    recalls = pairs.where("t IS NOT NULL").groupBy("t").agg((count(same) / F.sum("n")).alias("r")).agg(F.avg("r").alias("balanced_accuracy"))
-    counts = pairs.agg(
-        F.sum("n").alias("n"), count(same).alias("same"), F.bool_and(binary).alias("binary"), count(one["t"] & one["p"]).alias("tp"),
-        count(zero["t"] & zero["p"]).alias("tn"), count(zero["t"] & one["p"]).alias("fp"), count(one["t"] & zero["p"]).alias("fn"),
+    n = F.count("*") if weight is None else F.sum(col(weight))
+    pairs = df.groupBy(col(truth).alias("t"), col(prediction).alias("p")).agg(n.alias("n"))
+    t, p = F.col("t"), F.col("p")
+    same = F.coalesce(_number(t) == _number(p), t.cast("string").eqNullSafe(p.cast("string")))
+    is_ = lambda c, v: F.coalesce(_number(c) == v, F.lit(False))
+    known = F.lit(True)
+    for c in (t, p):
+        known = known & (c.isNull() | is_(c, 0) | is_(c, 1))
+    count = lambda where: F.sum(F.when(where, F.col("n")).otherwise(0))
+    by_class = pairs.groupBy("t").agg(
+        F.sum("n").alias("n"), count(same).alias("same"), F.bool_and(known).alias("known"), count(is_(t, 1) & is_(p, 1)).alias("tp"),
+        count(is_(t, 0) & is_(p, 0)).alias("tn"), count(is_(t, 0) & is_(p, 1)).alias("fp"), count(is_(t, 1) & is_(p, 0)).alias("fn"),
     )
-    tp, tn, fp, fn = (F.col(c) for c in ("tp", "tn", "fp", "fn"))
+    got = by_class.agg(
+        F.sum("n").alias("n"), F.sum("same").alias("same"), F.bool_and("known").alias("known"),
+        F.avg(F.when(t.isNotNull(), F.col("same") / F.col("n"))).alias("balanced"), *[F.sum(c).alias(c) for c in ("tp", "tn", "fp", "fn")],
+    )
+    tp, tn, fp, fn = (F.coalesce(c, F.lit(0)) for c in ("tp", "tn", "fp", "fn"))
     two = {
         "f1": safe_divide(2 * tp, 2 * tp + fp + fn), "precision": safe_divide(tp, tp + fp),
         "recall": safe_divide(tp, tp + fn), "specificity": safe_divide(tn, tn + fp),
     }
-    labels = beside(counts, recalls)
-    return labels.select(
-        safe_divide(F.col("same"), F.col("n"), None).alias("accuracy"), F.coalesce("balanced_accuracy", F.lit(0.0)).alias("balanced_accuracy"),
-        *[F.when(F.col("binary"), two[m]).alias(m) for m in BINARY_ONLY],
+    return got.select(
+        safe_divide(F.col("same"), F.col("n"), None).alias("accuracy"), F.coalesce("balanced", F.lit(0.0)).alias("balanced_accuracy"),
+        *[F.when(F.coalesce("known", F.lit(True)), two[m]).alias(m) for m in BINARY_ONLY],
     )
 
 
-def score_levels(df: DataFrame, truth: str, score: str) -> DataFrame:
+def score_levels(df: DataFrame, truth: str, score: str, weight: str | None = None) -> DataFrame:
     """Positives and negatives per distinct score, combined map-side."""
-    t = col(truth)
+    t, n = col(truth), F.lit(1) if weight is None else col(weight)
     return df.groupBy(clean(col(score)).alias("score")).agg(
-        F.count_if(t == 1).alias("pos"), F.count_if(t == 0).alias("neg")
+        F.sum(F.when(t == 1, n).otherwise(0)).alias("pos"), F.sum(F.when(t == 0, n).otherwise(0)).alias("neg")
     )
 
 
-def ranking_metrics(df: DataFrame, truth: str, score: str, limit: int = SMALL_ROWS) -> DataFrame:
+def ranking_metrics(df: DataFrame, truth: str, score: str, limit: int = SMALL_ROWS, weight: str | None = None) -> DataFrame:
     """AUROC (tie-averaged), average precision and Brier score.
 
     Running sums go over distinct descending scores, split over range
     partitions when there are many of them.
     """
-    levels = score_levels(df, truth, score)
+    levels = score_levels(df, truth, score, weight)
     steps = running_sums(
         levels, [F.desc("score")], {"tp": F.col("pos"), "fp": F.col("neg")}, limit=limit
     )
@@ -94,15 +97,18 @@ def ranking_metrics(df: DataFrame, truth: str, score: str, limit: int = SMALL_RO
 
 def classification_metrics(df: DataFrame, truth: str, prediction: str, probability: str | None = None) -> DataFrame:
     """One row with label metrics and, given a probability, ranking metrics."""
-    if df.isEmpty():
+    by = [truth, prediction] if probability is None else [truth, prediction, probability]
+    # The scored rows are read once; all metrics come from their counts.
+    counted = checkpointed(df.groupBy(*[col(c) for c in by]).agg(F.count("*").alias("_n")))
+    if counted.isEmpty():
         raise ValueError("there are no rows to score")
-    labels = class_metrics(df, truth, prediction)
+    labels = class_metrics(counted, truth, prediction, "_n")
     if probability is None:
         none = F.lit(None).cast("double")
         return labels.select(
             "*", none.alias("auroc"), none.alias("pr_auc"), none.alias("brier"), F.lit("unavailable").alias("probability_reason")
         )
-    return beside(labels, ranking_metrics(df, truth, probability))
+    return beside(labels, ranking_metrics(counted, truth, probability, weight="_n"))
 
 
 def rmse(df: DataFrame, truth: str, prediction: str) -> DataFrame:
