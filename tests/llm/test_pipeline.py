@@ -1,0 +1,109 @@
+"""The pipeline against a brute-force version of its stages."""
+
+import hashlib
+import re
+
+from pyspark.sql import functions as F
+from test_neardup import brute
+from test_text_search import brute_units, windows_hit
+
+import corpus_pipeline
+from featloom.llm import mixture
+
+SF = "/root/testdata/sf0.001"
+
+
+def cut_repeats(rows):
+    first, out = {}, []
+    for i, text in sorted(rows):
+        left, at = "", 0
+        for start, stop, body in brute_units(text, 6):
+            key = hashlib.md5(body.encode()).digest()
+            if first.setdefault(key, (i, start)) != (i, start):
+                left, at = left + text[at:start], stop
+        out.append((i, left + text[at:]))
+    return out
+
+
+def clean(rows, items):
+    out = []
+    for i, text in rows:
+        words, hit, _ = windows_hit(text, items)
+        if hit and 20 * len(hit) >= len(words):
+            continue
+        if hit:
+            places = [m.span() for m in re.finditer("[0-9A-Za-z\x80-\U0010ffff]+", text)]
+            runs, left, at = [], "", 0
+            for j in sorted(hit):
+                if runs and runs[-1][1] == j - 1:
+                    runs[-1][1] = j
+                else:
+                    runs.append([j, j])
+            for a, b in runs:
+                if b - a + 1 >= 13:
+                    left, at = left + text[at : places[a][0]], places[b][1]
+            text = left + text[at:]
+        out.append((i, text))
+    return out
+
+
+def sampled(rows, facts):
+    def topic(text):
+        return next((n for n, p in mixture.TOPICS if re.search(p, text)), mixture.REST_TOPIC)
+
+    level = {i: (*facts[i], topic(t), len(re.findall(r"[^\x20\x09-\x0D]+", t))) for i, t in rows}
+    cells = {}
+    for *key, n in level.values():
+        cells[tuple(key)] = cells.get(tuple(key), 0) + n
+    cells = {k: float(n) for k, n in cells.items() if n}
+    share = {}
+    for d, target in enumerate(mixture.TARGETS.values()):
+        sums = {}
+        for k, n in cells.items():
+            sums[k[d]] = sums.get(k[d], 0) + n
+        wanted = {v: n**target if isinstance(target, float) else target.get(v, 0) for v, n in sums.items()}
+        share[d] = {v: w / sum(wanted.values()) for v, w in wanted.items()}
+    weight = dict(cells)
+    for _ in range(mixture.ROUNDS):
+        for d in range(3):
+            sums = {}
+            for k, w in weight.items():
+                sums[k[d]] = sums.get(k[d], 0) + w
+            weight = {k: w * share[d][k[d]] / sums[k[d]] if sums[k[d]] else 0 for k, w in weight.items()}
+    total, all_weight = sum(cells.values()), sum(weight.values())
+    rate = {k: weight[k] / all_weight * total / cells[k] for k in cells}
+    scale = mixture.BUDGET
+    for _ in range(mixture.STEPS):
+        met = sum(n * min(1, rate[k] * scale) for k, n in cells.items())
+        slope = sum(n * rate[k] for k, n in cells.items() if rate[k] * scale < 1)
+        if not slope:
+            break
+        scale += max(0, mixture.BUDGET * total - met) / slope
+    place = {i: int(hashlib.md5(f"{i}|{mixture.SALT}".encode()).hexdigest()[:13], 16) / 16**13 for i, _ in rows}
+    return {i for i, _ in rows if level[i][3] and place[i] < min(1, rate[level[i][:3]] * scale)}
+
+
+def test_pipeline_equals_brute_force(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    facts = {r["doc_id"]: (r["source"], r["lang"]) for r in docs.collect()}
+    accepted = corpus_pipeline.language_id(spark, docs, SF)
+    assert accepted.columns == docs.columns
+    rows = [(r["doc_id"], r["text"]) for r in accepted.collect()]
+    assert len(rows) == docs.where(F.col("text").rlike(r"\p{L}")).count()
+    classes = brute(rows, 5)
+    rows = [(i, t) for i, t in rows if classes[i][1] == i]
+    rows = clean(cut_repeats(rows), items)
+    keep = sampled(rows, facts)
+    got = corpus_pipeline.run(spark, SF)
+    assert {(r["doc_id"], r["text"], r["n_chars"]) for r in got.collect()} == {(i, t, len(t)) for i, t in rows if i in keep}
+    assert got.columns == docs.columns and 0 < len(keep) < len(rows)
+
+
+def test_stages_keep_columns_and_take_odd_rows(spark):
+    rows = [(1, "Ein Text mit ein paar Worten und noch mehr davon hier", "de", "s", 1), (2, None, None, None, None), (3, "", "en", "s", 0), (4, "words that are long enough to be a unit here", None, None, 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumn("__hint", F.lit("x"))
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns, name
+        assert out.count() <= len(rows) and stage(spark, docs.limit(0), SF).count() == 0
