@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from featloom.core import col, small_rows
+from featloom.core import col
 from featloom.functions.ordering import running_sums
 
 _CHUNK = 2_000
@@ -153,8 +153,9 @@ def oversample(
     least half, but not all, to other classes.
     """
     features = list(features)
-    sizes = small_rows(df.groupBy(col(target).alias("class")).count())
-    if sizes is None or any(r["class"] is None for r in sizes):
+    # Each class is raised by jobs of its own, so the driver knows them all.
+    sizes = list(df.groupBy(col(target).alias("class")).count().toLocalIterator())
+    if not sizes or any(r["class"] is None for r in sizes):
         raise ValueError("sampling requires a class label on every row")
     counts = {r["class"]: r["count"] for r in sizes}
     if min(counts.values()) < 2:
