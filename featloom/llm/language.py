@@ -31,9 +31,10 @@ FAMILIES = {
     "bg": "slavic", "cs": "slavic", "pl": "slavic", "ru": "slavic", "sk": "slavic", "uk": "slavic",
 }
 
-BUCKETS = 1 << 14
+BITS = 13
+BUCKETS = 1 << BITS
 #: Labelled rows learned from, all languages together; a quarter of them only fits the probability curves.
-ROWS = 2_000
+ROWS = 1_200
 #: Code points turned into counts at a time, so that a very long text needs no large arrays.
 PIECE = 1 << 18
 UNKNOWN = "und"
@@ -73,7 +74,7 @@ class LetterRuns:
     @staticmethod
     def _bucket(h: np.ndarray, order: int) -> np.ndarray:
         h = (h + np.uint32(order)) * np.uint32(0x27D4EB2F)
-        return np.bincount((h >> np.uint32(18)).astype(np.int64), minlength=BUCKETS)
+        return np.bincount((h >> np.uint32(32 - BITS)).astype(np.int64), minlength=BUCKETS)
 
     def vector(self, text: str | None) -> np.ndarray | None:
         counts = self.counts(text)
@@ -83,10 +84,12 @@ class LetterRuns:
         return (x / np.linalg.norm(x)).astype(np.float32)
 
 
-def separator(x: np.ndarray, y: np.ndarray, penalty: float = 10.0, rounds: int = 30) -> np.ndarray:
-    """Weights (the bias last) of the squared-hinge linear machine for labels -1 and 1."""
-    x = np.hstack([x, np.ones((len(x), 1), x.dtype)]).astype(np.float64)
-    gram = x @ x.T
+def separator(gram: np.ndarray, y: np.ndarray, penalty: float = 10.0, rounds: int = 30) -> np.ndarray:
+    """Weight of every row in the squared-hinge linear machine for labels -1 and 1.
+
+    gram: inner products of the rows plus one, the one being the bias input. The
+    machine is the weighted sum of the rows, its bias the sum of the weights.
+    """
     weight = np.where(y > 0, len(y) / (2 * max(1, (y > 0).sum())), len(y) / (2 * max(1, (y < 0).sum())))
     slack = 1 / (2 * penalty * weight)
     alpha, field = np.zeros(len(y)), np.zeros(len(y))
@@ -101,7 +104,7 @@ def separator(x: np.ndarray, y: np.ndarray, penalty: float = 10.0, rounds: int =
                 moved = max(moved, abs(change))
         if moved < 1e-4:
             break
-    return (alpha * y) @ x
+    return alpha * y
 
 
 def curve(margins: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -124,21 +127,20 @@ def curve(margins: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 class Pairwise:
     """One machine per pair of classes."""
 
-    def __init__(self, classes: list[str], x: np.ndarray, y: np.ndarray, back: np.ndarray):
+    def __init__(self, classes: list[str], x: np.ndarray, gram: np.ndarray, y: np.ndarray, back: np.ndarray):
+        """y: class by row of x, or another value for rows of other families; back: rows kept for the curves."""
         self.classes, self.pairs = classes, list(combinations(range(len(classes)), 2))
-        weights, curves = [], []
-        for i, j in self.pairs:
+        self.weights = np.zeros((len(self.pairs), BUCKETS + 1), np.float32)
+        self.curves = np.ones((len(self.pairs), 2))
+        for k, (i, j) in enumerate(self.pairs):
             rows = (y == classes[i]) | (y == classes[j])
             sign = np.where(y == classes[i], 1.0, -1.0)
-            fit = rows & ~back
-            if len(set(sign[fit])) < 2:
-                fit = rows
-            w = separator(x[fit], sign[fit])
+            fit = rows & ~back if len(set(sign[rows & ~back])) == 2 else rows
             held = rows & back if len(set(sign[rows & back])) == 2 else rows
-            weights.append(w)
-            curves.append(curve(x[held] @ w[:-1] + w[-1], sign[held]))
-        self.weights = np.array(weights, np.float32).reshape(len(self.pairs), BUCKETS + 1)
-        self.curves = np.array(curves).reshape(len(self.pairs), 2)
+            share = np.zeros(len(x))
+            share[fit] = separator(gram[np.ix_(fit, fit)], sign[fit])
+            self.weights[k, :-1], self.weights[k, -1] = share.astype(np.float32) @ x, share.sum()
+            self.curves[k] = curve(gram[held] @ share, sign[held])
 
     def best(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Index of the winning class and the probability of its weakest pair, by row."""
@@ -162,8 +164,10 @@ class Hierarchy:
         of = np.array([families.get(c, c) for c in langs], dtype=object)
         back = np.arange(len(x)) % 4 == 3
         self.families = sorted(set(of))
-        self.root = Pairwise(self.families, x, of, back)
-        self.within = {f: Pairwise(sorted(set(langs[of == f])), x[of == f], langs[of == f], back[of == f]) for f in self.families}
+        # Rows against rows: the machines need no further copy of the inputs.
+        gram = (x @ x.T).astype(np.float64) + 1
+        self.root = Pairwise(self.families, x, gram, of, back)
+        self.within = {f: Pairwise(sorted(set(langs[of == f])), x, gram, np.where(of == f, langs, None), back) for f in self.families}
 
     def predict(self, x: np.ndarray) -> tuple[list[str], np.ndarray]:
         family, score = self.root.best(x)
@@ -251,7 +255,7 @@ def identified(docs: DataFrame, model: Hierarchy | None, text: str = "text", pre
     return docs.mapInArrow(predict, T.StructType(fields))
 
 
-def accepted(docs: DataFrame, train: Column | None = None, text: str = "text", lang: str = "lang", least_score: float = 0.35) -> DataFrame:
+def accepted(docs: DataFrame, train: Column | None = None, text: str = "text", lang: str = "lang", least_score: float = 0.3) -> DataFrame:
     """Documents with a recognised language; a null `lang` is filled with the prediction."""
     model = fit_languages(docs if train is None else docs.where(train), text, lang)
     found = identified(docs, model, text, "__pred", "__score").where((F.col("__pred") != UNKNOWN) & (F.col("__score") >= least_score))
