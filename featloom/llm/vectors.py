@@ -4,7 +4,8 @@ The tree is fitted on a bounded sample; every vector is then put into the leaf t
 walks the tree through a priority queue ordered by the distance to the node centres and visits leaves in that order. How
 many leaves it visits is calibrated: for a bounded set of rows the exact neighbours are found by brute force over all
 vectors, in blocks, and visits are widened until the wanted share of them lies in a visited leaf. Visits also go on
-until the leaves hold more than k vectors.
+until the leaves hold more than k vectors. The first of a query's leaves bound the distance of its k nearest; from the other
+leaves only vectors within this bound come back.
 
 Equal vectors are one entry with its k + 1 smallest ids, cut before the shuffle, so copies cost nothing. Large leaves
 are searched in parts, and so are leaves that many queries visit. Distances are Euclidean, in double precision, computed
@@ -32,7 +33,8 @@ from featloom.llm.base import query, stored, table
 #: Vectors the tree is fitted on, leaves at most, rows a leaf should hold, rows used to calibrate.
 SAMPLE, LEAVES, LEAF_ROWS, CALIBRATION = 40_000, 4_096, 256, 96
 BRANCHES = 8
-RECALL = 0.98
+#: Wanted share of the exact neighbours; one in HEAD of a query's leaves is searched first, for a bound.
+RECALL, HEAD = 0.98, 8
 #: Rows, and queries, that meet in one task.
 PART_ROWS, PART_QUERIES = 4_096, 2_048
 
@@ -176,32 +178,25 @@ def nearest_neighbours(vectors: DataFrame, asked: Column, key: str = "vec_id", v
     sized = spark.sparkContext.broadcast(tree)
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree = sized.value
         for batch in batches:
-            where = [sized.value.visits(q, wanted, 3 * (k + 1)) for q in matrix(batch.column(1))]
+            where = [tree.visits(q, wanted, 3 * (k + 1)) for q in matrix(batch.column(1))]
+            heads = [max(-(-len(w) // HEAD), 1 + int(np.searchsorted(np.cumsum(tree.rows[w]), 3 * (k + 1)))) for w in where]
             at = pa.array(np.repeat(np.arange(batch.num_rows), [len(w) for w in where]), pa.int64())
-            leaf = pa.array(np.array([v for w in where for v in w], np.int32), pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), leaf], ["qkey", "vec", "leaf"])
+            leaf = np.array([v for w in where for v in w], np.int32)
+            early = np.array([i < h for w, h in zip(where, heads, strict=True) for i in range(len(w))], bool)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(leaf), pa.array(early)], ["qkey", "vec", "leaf", "early"])
 
     asking = rows.where(asked).distinct()
     # One query per distinct vector; its key is the smallest id.
     keys = stored(asking.groupBy("vec").agg(F.min("vec_id").alias("qkey")), "keys")
-    visits = stored(keys.select("qkey", "vec").mapInArrow(walk, "qkey long, vec array<double>, leaf int"), "visits")
-    # At most `leaves` rows.
-    parts = index.groupBy("leaf").count().withColumn("row_parts", F.ceil(F.col("count") / PART_ROWS).cast("int")).join(
-        visits.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / PART_QUERIES).cast("int").alias("query_parts")), "leaf").select("leaf", "row_parts", "query_parts")
-    parts = F.broadcast(stored(parts, "parts"))
-    left = index.join(parts, "leaf").select("leaf", F.pmod(F.xxhash64("vec_id"), F.col("row_parts")).alias("row_part"), F.explode(F.sequence(F.lit(0), F.col("query_parts") - 1)).alias("query_part"), "vec_id", "vec")
-    right = visits.join(parts, "leaf").select("leaf", F.explode(F.sequence(F.lit(0).cast("long"), F.col("row_parts").cast("long") - 1)).alias("row_part"), F.pmod(F.xxhash64("qkey"), F.col("query_parts")).cast("int").alias("query_part"), "qkey", "vec")
-
-    def search(have: pd.DataFrame, want: pd.DataFrame) -> pd.DataFrame:
-        if not len(have) or not len(want):
-            return pd.DataFrame({"qkey": np.empty(0, np.int64), "vec_id": np.empty(0, np.int64), "score": np.empty(0)})
-        x, ids = np.stack(have["vec"].to_numpy()), have["vec_id"].to_numpy()
-        found = [nearest(np.asarray(q), x, ids, k + 1) for q in want["vec"]]
-        return pd.DataFrame({"qkey": np.repeat(want["qkey"].to_numpy(), [len(f[0]) for f in found]), "vec_id": np.concatenate([f[0] for f in found]), "score": np.concatenate([f[1] for f in found])})
-
-    by = ["leaf", "row_part", "query_part"]
-    pairs = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(search, "qkey long, vec_id long, score double")
+    visits = stored(keys.select("qkey", "vec").mapInArrow(walk, "qkey long, vec array<double>, leaf int, early boolean"), "visits")
+    # The nearest leaves give every query a bound; the others return only what is within it.
+    near = _searched(index, visits.where("early").select("qkey", "vec", "leaf", F.lit(float("inf")).alias("bound")), k)
+    near = stored(_smallest(near, "qkey", k + 1, "score", "vec_id").drop("rank"), "near")
+    bounds = near.groupBy("qkey").agg(F.when(F.count(F.lit(1)) > k, F.max("score")).otherwise(float("inf")).alias("bound"))
+    rest = visits.where("NOT early").join(bounds, "qkey", "left").select("qkey", "vec", "leaf", F.coalesce("bound", F.lit(float("inf"))).alias("bound"))
+    pairs = near.union(_searched(index, rest, k))
     best = _smallest(pairs, "qkey", k + 1, "score", "vec_id").groupBy("qkey").agg(F.sort_array(F.collect_list(F.struct("score", "vec_id"))).alias("found"))
     named = stored(best.join(keys, "qkey").select("vec", "found"), "best")
     own = asking.select(F.col("vec_id").alias("query_id"), "vec").join(named, "vec")
@@ -210,6 +205,30 @@ def nearest_neighbours(vectors: DataFrame, asked: Column, key: str = "vec_id", v
     return out.select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("hit.vec_id").alias("vec_id"), F.col("hit.score").alias("score"))
 
 
+def _searched(index: DataFrame, visits: DataFrame, k: int) -> DataFrame:
+    """Up to k + 1 rows (qkey, vec_id, score) for every visit (qkey, vec, leaf, bound), none beyond the bound."""
+    visits = stored(visits, "asked")
+    # At most as many rows as the tree has leaves.
+    parts = index.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / PART_ROWS).cast("int").alias("row_parts")).join(
+        visits.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / PART_QUERIES).cast("int").alias("query_parts")), "leaf")
+    parts = F.broadcast(stored(parts, "parts"))
+    left = index.join(parts, "leaf").select("leaf", F.pmod(F.xxhash64("vec_id"), F.col("row_parts")).alias("row_part"), F.explode(F.sequence(F.lit(0), F.col("query_parts") - 1)).alias("query_part"), "vec_id", "vec")
+    right = visits.join(parts, "leaf").select(
+        "leaf", F.explode(F.sequence(F.lit(0).cast("long"), F.col("row_parts").cast("long") - 1)).alias("row_part"), F.pmod(F.xxhash64("qkey"), F.col("query_parts")).cast("int").alias("query_part"), "qkey", "vec", "bound")
+
+    def search(have: pd.DataFrame, want: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        if len(have) and len(want):
+            x, ids = np.stack(have["vec"].to_numpy()), have["vec_id"].to_numpy()
+            for key, q, bound in zip(want["qkey"], want["vec"], want["bound"], strict=True):
+                near, score = nearest(np.asarray(q), x, ids, k + 1)
+                found.append(pd.DataFrame({"qkey": key, "vec_id": near, "score": score})[score <= bound])
+        return pd.concat(found) if found else pd.DataFrame({"qkey": np.empty(0, np.int64), "vec_id": np.empty(0, np.int64), "score": np.empty(0)})
+
+    by = ["leaf", "row_part", "query_part"]
+    return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(search, "qkey long, vec_id long, score double")
+
+
 def _calibrated(index: DataFrame, tree: Tree, k: int, recall: float, calibration: int) -> int:
     """Leaves to visit so that the exact neighbours of the calibration rows are met at the wanted rate."""
     drawn = index.orderBy(F.xxhash64("vec_id", F.lit(77)), "vec_id").limit(calibration).select("vec_id", "vec").toArrow()
