@@ -215,7 +215,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
 
     labelled = members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     labelled = stored(labelled.select("bucket", "node", "n", "component", "size"), "labelled")
-    sizes = labelled.select("node", "component").distinct().groupBy("component").agg(F.count(F.lit(1)).alias("k"))
+    # Written, so that the join on a hot component can be split.
+    sizes = stored(labelled.select("node", "component").distinct().groupBy("component").agg(F.count(F.lit(1)).alias("k")), "sizes")
     ranked = labelled.join(sizes, "component").groupBy("bucket").agg(F.max(F.struct("k", "component")).alias("top"), F.min("component").alias("a"), F.max("component").alias("b"))
     hubs = stored(ranked.where("a != b").select("bucket", F.col("top.component").alias("hub")), "hubs")
     rest = stored(labelled.join(hubs, "bucket").select("hub", "node", "n", "component").distinct(), "rest")
