@@ -217,13 +217,16 @@ def _searched(index: DataFrame, visits: DataFrame, k: int) -> DataFrame:
         "leaf", F.explode(F.sequence(F.lit(0).cast("long"), F.col("row_parts").cast("long") - 1)).alias("row_part"), F.pmod(F.xxhash64("qkey"), F.col("query_parts")).cast("int").alias("query_part"), "qkey", "vec", "bound")
 
     def search(have: pd.DataFrame, want: pd.DataFrame) -> pd.DataFrame:
-        found = []
+        keys, near, scores = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0)]
         if len(have) and len(want):
             x, ids = np.stack(have["vec"].to_numpy()), have["vec_id"].to_numpy()
             for key, q, bound in zip(want["qkey"], want["vec"], want["bound"], strict=True):
-                near, score = nearest(np.asarray(q), x, ids, k + 1)
-                found.append(pd.DataFrame({"qkey": key, "vec_id": near, "score": score})[score <= bound])
-        return pd.concat(found) if found else pd.DataFrame({"qkey": np.empty(0, np.int64), "vec_id": np.empty(0, np.int64), "score": np.empty(0)})
+                found, score = nearest(np.asarray(q), x, ids, k + 1)
+                within = score <= bound
+                keys.append(np.full(within.sum(), key))
+                near.append(found[within])
+                scores.append(score[within])
+        return pd.DataFrame({"qkey": np.concatenate(keys), "vec_id": np.concatenate(near), "score": np.concatenate(scores)})
 
     by = ["leaf", "row_part", "query_part"]
     return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(search, "qkey long, vec_id long, score double")
