@@ -5,8 +5,8 @@ pair of classes has its own linear support vector machine, fitted in the dual by
 most votes wins, ties go to the larger sum of margins. Margins become probabilities by a logistic curve fitted on rows
 kept back from training; the score of a prediction is its weakest pair at the family step times that within the family.
 
-Only a bounded sample of labelled rows is learned from (`rows` in total, dealt evenly to the languages); every text is
-read whole. Defined cases: a null text or one without a letter is `und` with score 0; with one learned language all
+Only a bounded sample of the distinct labelled texts is learned from (`rows` in total, dealt evenly to the languages); every
+text is read whole. Defined cases: a null text or one without a letter is `und` with score 0; with one learned language all
 others get it with score 1; without labelled rows everything is `und`; repeated rows get the same prediction.
 """
 
@@ -17,7 +17,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,7 +33,7 @@ FAMILIES = {
 
 BITS = 13
 BUCKETS = 1 << BITS
-#: Labelled rows learned from, all languages together; a quarter of them only fits the probability curves.
+#: Labelled texts learned from, all languages together; a quarter of them only fits the probability curves.
 ROWS = 1_200
 #: Code points turned into counts at a time, so that a very long text needs no large arrays.
 PIECE = 1 << 18
@@ -184,42 +184,46 @@ class Hierarchy:
 
 
 def fit_languages(labelled: DataFrame, text: str = "text", lang: str = "lang", rows: int = ROWS, families: dict[str, str] | None = None) -> Hierarchy | None:
-    """Learn from at most `rows` of the labelled rows; None if there are none.
+    """Learn from at most `rows` of the labelled texts, or four of each language if that is more; None if there are none.
 
-    The sample takes the same number of rows from each language, in the order of a hash of the text. What reaches the
-    driver are hashed counts, at most `BUCKETS` numbers a row, not texts.
+    Copies of a text in one language count once. Each language gives the same number of texts, the first by a hash, or
+    all it has. What reaches the driver are hashed counts, at most `BUCKETS` numbers a row, not texts.
     """
-    known = labelled.where(col(lang).isNotNull() & (F.length(col(text)) > 0)).select(col(lang).cast("string").alias("lang"), col(text).alias("text"))
-    sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().toLocalIterator()}
+    readable = col(lang).isNotNull() & col(text).rlike(r"\p{L}")
+    known = labelled.where(readable).select(col(lang).cast("string").alias("lang"), col(text).alias("text"), F.xxhash64(col(text)).alias("mark"))
+    sizes = {r["lang"]: r["count"] for r in known.select("lang", "mark").distinct().groupBy("lang").count().toLocalIterator()}
     if not sizes:
         return None
     each = max(4, rows // len(sizes))
-    place = F.pmod(F.xxhash64("text", F.lit(11)), F.lit(1_000_000))
-    share = F.create_map(*[F.lit(v) for c, n in sorted(sizes.items()) for v in (c, min(1_000_000, 1 + 1_100_000 * each // n))])
-    sample = known.where(place < share[F.col("lang")])
+    place = F.xxhash64("mark", F.lit(11))
+    # Places are even over the distinct texts: below its limit a language has about 2 * each + 50 of them, or all.
+    limits = {c: min((1 << 63) - 1, ((2 * each + 50 << 64) // n) - (1 << 63)) for c, n in sizes.items()}
+    limit = F.create_map(*[F.lit(v).cast(t) for c, n in sorted(limits.items()) for v, t in ((c, "string"), (n, "long"))])
+    sample = known.withColumn("place", place).where(F.col("place") <= limit[F.col("lang")]).select("lang", "mark", "place", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        runs = LetterRuns()
+        runs, seen = LetterRuns(), set()
         for batch in batches:
             out = []
-            for name, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for name, mark, spot, body in zip(*[batch.column(k).to_pylist() for k in range(4)], strict=True):
+                if (name, mark) in seen:
+                    continue
+                seen.add((name, mark))
                 x = runs.vector(body)
                 if x is not None:
                     at = np.flatnonzero(x)
-                    out.append((name, at.astype(np.uint16).tobytes(), x[at].tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.string())] + [pa.array([o[k] for o in out], pa.binary()) for k in (1, 2)], ["lang", "at", "value"])
-
-    got = sample.mapInArrow(count, "lang string, at binary, value binary").limit(4 * len(sizes) + 2 * rows).toArrow().to_pylist()
+                    out.append((name, mark, spot, at.astype(np.uint16).tobytes(), x[at].tobytes()))
+            kinds = (pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate(kinds)], ["lang", "mark", "place", "at", "value"])
+
+    # A text comes once from each task that has it.
+    once = sample.mapInArrow(count, "lang string, mark long, place long, at binary, value binary").groupBy("lang", "mark", "place").agg(F.first("at").alias("at"), F.first("value").alias("value"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("place", "mark"))
+    got = once.withColumn("rank", rank).where(F.col("rank") <= each).select("lang", "at", "value").toArrow().to_pylist()
     got.sort(key=lambda r: (r["lang"], r["at"], r["value"]))
     if not got:
         return None
-    order = np.random.default_rng(5).permutation(len(got))
-    left = dict.fromkeys(sizes, each)
-    chosen = []
-    for i in order:
-        if left[got[i]["lang"]] > 0:
-            left[got[i]["lang"]] -= 1
-            chosen.append(got[i])
+    chosen = [got[i] for i in np.random.default_rng(5).permutation(len(got))]
     x = np.zeros((len(chosen), BUCKETS), np.float32)
     for k, r in enumerate(chosen):
         x[k, np.frombuffer(r["at"], np.uint16)] = np.frombuffer(r["value"], np.float32)
