@@ -2,9 +2,9 @@
 
 A page becomes a tree of its block elements. Pages of one host are folded into a wrapper: simple tree matching aligns the
 children of two nodes in order, so that the number of matched nodes is largest; runs of equal siblings are one
-repeating slot. A slot keeps how many pages have it, how much text and link text it holds, and which texts recur in it.
-Tasks build a wrapper per host from the pages they hold, and wrappers of a host are folded into each other, in two
-steps, so a very large host meets in a few rows.
+repeating slot. A slot keeps how many pages have it and how much text and link text it holds. Tasks build a wrapper per host from the pages they hold, and wrappers of a host are folded into each other, in two
+steps, so a very large host meets in a few rows. On how many different pages of its host a text stands at the same path of
+elements is counted exactly, with partial sums.
 
 A slot is template if its element or its class says so (menus, forms, notices, ...), if most of its text is link text, or
 if one and the same text recurs in most pages of the host; what varies is content. If a page has article elements, only
@@ -54,8 +54,8 @@ TOKEN = re.compile(
 MARK = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
-#: Texts remembered per slot, and pages that must share one before it can be template.
-RECURRING, LEAST_PAGES, MOSTLY = 8, 6, 0.6
+#: Different pages of a host, and share of them, that must have a text before it is template.
+LEAST_PAGES, MOSTLY = 6, 0.6
 
 
 class Node:
@@ -154,41 +154,21 @@ def parsed(page: str) -> Node:
 class Slot:
     """A node of a wrapper."""
 
-    __slots__ = ("chars", "key", "kids", "links", "pages", "texts")
+    __slots__ = ("chars", "key", "kids", "links", "pages")
 
     def __init__(self, key: str):
         self.key, self.kids, self.pages, self.chars, self.links = key, [], 0, 0, 0
-        #: digest of a recurring text -> [pages, digests of up to LEAST_PAGES different pages]
-        self.texts: dict[str, list] = {}
 
     def dump(self) -> list:
-        return [self.key, self.pages, self.chars, self.links, self.texts, [k.dump() for k in self.kids]]
+        return [self.key, self.pages, self.chars, self.links, [k.dump() for k in self.kids]]
 
     @classmethod
     def load(cls, data: list) -> Slot:
         out = cls(data[0])
-        out.pages, out.chars, out.links, out.texts = data[1:5]
-        out.kids = [cls.load(k) for k in data[5]]
+        out.pages, out.chars, out.links = data[1:4]
+        out.kids = [cls.load(k) for k in data[4]]
         return out
 
-    def remember(self, text: str, count: int, pages: list[str]) -> None:
-        """A frequent-items sketch: a text that recurs in more than one in RECURRING + 1 of the entries stays."""
-        entry = self.texts.get(text)
-        if entry:
-            entry[0] += count
-            if len(entry[1]) < LEAST_PAGES:
-                entry[1] = sorted({*entry[1], *pages})[:LEAST_PAGES]
-        elif len(self.texts) < RECURRING:
-            self.texts[text] = [count, pages[:LEAST_PAGES]]
-        else:
-            less = min(count, *(e[0] for e in self.texts.values()))
-            for k in list(self.texts):
-                self.texts[k][0] -= less
-                if not self.texts[k][0]:
-                    del self.texts[k]
-            if count > less:
-                self.texts[text] = [count - less, pages[:LEAST_PAGES]]
-
 
 def aligned(a: list[Slot], b: list[Slot]) -> list[tuple[int, int]]:
     """Simple tree matching of two ordered lists of children: the pairs of a largest matching."""
@@ -225,8 +205,6 @@ def fold(into: Slot, other: Slot) -> None:
     into.pages += other.pages
     into.chars += other.chars
     into.links += other.links
-    for text, (count, pages) in other.texts.items():
-        into.remember(text, count, pages)
     pairs = aligned(into.kids, other.kids)
     out, i, j = [], 0, 0
     for p, q in [*pairs, (len(into.kids), len(other.kids))]:
@@ -250,7 +228,35 @@ def runs(node: Node) -> list[tuple[str, list]]:
     return out
 
 
-def single(key: str, nodes: list, page: str) -> Slot:
+def below(path: int, key: str) -> int:
+    """Hash of the path that goes on from `path` to a child of this key."""
+    return xxhash.xxh64_intdigest(key.encode("utf-8", "surrogatepass"), path)
+
+
+def place(path: int, text: str) -> int:
+    """Signed 64-bit digest of a text at a path."""
+    value = xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"), path)
+    return value - (1 << 64) if value >> 63 else value
+
+
+def places(root: Node) -> set[int]:
+    """The digests of all texts of a page with their paths."""
+    out: set[int] = set()
+
+    def walk(node: Node, path: int) -> None:
+        for key, group in runs(node):
+            own = below(path, key)
+            for child in group:
+                if isinstance(child, tuple):
+                    out.add(place(own, child[0]))
+                else:
+                    walk(child, own)
+
+    walk(root, 0)
+    return out
+
+
+def single(key: str, nodes: list) -> Slot:
     """The wrapper of one page's run of nodes."""
     slot = Slot(key)
     slot.pages = 1
@@ -258,12 +264,10 @@ def single(key: str, nodes: list, page: str) -> Slot:
         for text, links in nodes:
             slot.chars += len(text)
             slot.links += min(links, len(text))
-        for text in {xxhash.xxh64_hexdigest(t.encode("utf-8", "surrogatepass")) for t, _ in nodes}:
-            slot.remember(text, 1, [page])
         return slot
     for i, node in enumerate(nodes):
         own = Slot(key)
-        own.kids = [single(k, group, page) for k, group in runs(node)]
+        own.kids = [single(k, group) for k, group in runs(node)]
         if i:
             for k in own.kids:
                 k.pages = 0
@@ -273,8 +277,8 @@ def single(key: str, nodes: list, page: str) -> Slot:
     return slot
 
 
-def wrapper_of(root: Node, page: str) -> Slot:
-    return single(root.key, [root], page)
+def wrapper_of(root: Node) -> Slot:
+    return single(root.key, [root])
 
 
 def named_template(key: str) -> bool:
@@ -284,13 +288,12 @@ def named_template(key: str) -> bool:
     return tag not in ("body", "html", *ARTICLE) and any(p.lower() in MARKS for p in PARTS.findall(mark))
 
 
-def verdicts(slot: Slot, pages: int) -> list:
-    """The wrapper as [key, template, recurring texts, children], without its figures."""
+def verdicts(slot: Slot) -> list:
+    """The wrapper as [key, template, children], without its figures."""
     links = linked(slot)
     tag = slot.key.partition(".")[0]
     template = named_template(slot.key) or (tag in BLOCKS and tag not in ("body", "html", *ARTICLE) and links[0] > 0 and links[1] >= 0.6 * links[0])
-    recurring = sorted(t for t, (n, seen) in slot.texts.items() if len(seen) >= LEAST_PAGES and n >= MOSTLY * pages)
-    return [slot.key, template, recurring, [verdicts(k, pages) for k in slot.kids]]
+    return [slot.key, template, [verdicts(k) for k in slot.kids]]
 
 
 def linked(slot: Slot) -> tuple[int, int]:
@@ -305,27 +308,28 @@ def has_article(node: Node) -> bool:
     return any(not isinstance(c, tuple) and (c.tag in ARTICLE or has_article(c)) for c in node.own)
 
 
-def content(root: Node, wrapper: list | None) -> str:
-    """The blocks of a page that its host's wrapper calls content."""
+def content(root: Node, wrapper: list | None, recurring: frozenset[int] = frozenset()) -> str:
+    """The blocks of a page that its host's wrapper calls content; `recurring`: places of the texts that are template."""
     out: list[str] = []
     inside = has_article(root)
 
-    def walk(node: Node, slots: list, article: bool) -> None:
+    def walk(node: Node, slots: list, article: bool, path: int) -> None:
         own = [Slot(k) for k, _ in runs(node)]
         groups = [g for _, g in runs(node)]
         pair = dict((i, j) for i, j in aligned(own, [_bare(s) for s in slots])) if slots else {}
         for i, group in enumerate(groups):
             slot = slots[pair[i]] if i in pair else None
+            at = below(path, own[i].key)
             for child in group:
                 if isinstance(child, tuple):
                     text, links = child
-                    if (article or not inside) and not (slot and slot[2] and xxhash.xxh64_hexdigest(text.encode("utf-8", "surrogatepass")) in slot[2]) and links < max(1, 0.9 * len(text)):
+                    if (article or not inside) and not (recurring and place(at, text) in recurring) and links < max(1, 0.9 * len(text)):
                         out.append(text)
                 elif not (slot[1] if slot else named_template(child.key)) or (inside and has_article(child)):
                     # What holds an article is no template, whatever its class says.
-                    walk(child, slot[3] if slot else [], article or child.tag in ARTICLE)
+                    walk(child, slot[2] if slot else [], article or child.tag in ARTICLE, at)
 
-    walk(root, wrapper[3] if wrapper else [], False)
+    walk(root, wrapper[2] if wrapper else [], False, 0)
     return "\n".join(out)
 
 
@@ -338,21 +342,33 @@ def _packed(slot: Slot) -> bytes:
 
 
 def induced(pages: DataFrame) -> DataFrame:
-    """host and its wrapper (verdicts as JSON); pages: host, html."""
+    """host, its wrapper (verdicts as JSON) and the places of its recurring texts, joined by commas; pages: host, html."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hosts: dict[str, Slot] = {}
 
+        def batch_of(names: list, wrappers: list, marks: list, found: list) -> pa.RecordBatch:
+            columns = [pa.array(names, pa.string()), pa.array(wrappers, pa.binary()), pa.array(marks, pa.int64()), pa.array(found, pa.int64())]
+            return pa.RecordBatch.from_arrays(columns, ["host", "wrapper", "mark", "place"])
+
         def rows():
-            return pa.RecordBatch.from_arrays([pa.array(list(hosts), pa.string()), pa.array([_packed(s) for s in hosts.values()], pa.binary())], ["host", "wrapper"])
+            return batch_of(list(hosts), [_packed(s) for s in hosts.values()], [None] * len(hosts), [None] * len(hosts))
 
         for batch in batches:
+            names, marks, found = [], [], []
             for host, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own = wrapper_of(parsed(body or ""), xxhash.xxh32_hexdigest((body or "").encode("utf-8", "surrogatepass")))
+                root = parsed(body or "")
+                own = wrapper_of(root)
                 if host in hosts:
                     fold(hosts[host], own)
                 else:
                     hosts[host] = own
+                # The row without a place stands for the page itself.
+                here = [None, *places(root)]
+                names += [host] * len(here)
+                marks += [place(0, body or "")] * len(here)
+                found += here
+            yield batch_of(names, [None] * len(names), marks, found)
             if len(hosts) > 5_000:
                 yield rows()
                 hosts.clear()
@@ -367,13 +383,20 @@ def induced(pages: DataFrame) -> DataFrame:
     def decide(group: pd.DataFrame) -> pd.DataFrame:
         whole = merge(group)
         slot = Slot.load(json.loads(whole["wrapper"].iat[0]))
-        return pd.DataFrame({"host": whole["host"], "wrapper": [json.dumps(verdicts(slot, slot.pages), separators=(",", ":")).encode()]})
+        return pd.DataFrame({"host": whole["host"], "wrapper": [json.dumps(verdicts(slot), separators=(",", ":")).encode()]})
 
     kind = "host string, wrapper binary"
-    local = pages.select("host", "html").mapInArrow(build, kind)
+    local = stored(pages.select("host", "html").mapInArrow(build, f"{kind}, mark long, place long"), "page-parts")
     # Wrappers of a host meet in up to 64 groups first, then in one.
-    part = local.withColumn("part", F.pmod(F.xxhash64("wrapper"), F.lit(64)))
-    return part.groupBy("host", "part").applyInPandas(merge, kind).groupBy("host").applyInPandas(decide, kind)
+    part = local.where("wrapper IS NOT NULL").select("host", "wrapper", F.pmod(F.xxhash64("wrapper"), F.lit(64)).alias("part"))
+    wrappers = part.groupBy("host", "part").applyInPandas(merge, kind).groupBy("host").applyInPandas(decide, kind)
+    # Different pages by place; repeated pages have the same mark. At most 1 / MOSTLY times the texts of a page are left of a host.
+    counts = local.where("wrapper IS NULL").select("host", "place", "mark").distinct().groupBy("host", "place").count().where(F.col("place").isNull() | (F.col("count") >= LEAST_PAGES))
+    counts = stored(counts, "place-counts")
+    totals = counts.where("place IS NULL").select("host", F.col("count").alias("pages"))
+    shared = counts.where("place IS NOT NULL").join(totals, "host").where(F.col("count") >= MOSTLY * F.col("pages"))
+    shared = shared.groupBy("host").agg(F.array_join(F.sort_array(F.collect_list("place")).cast("array<string>"), ",").alias("recurring"))
+    return wrappers.join(shared, "host", "left")
 
 
 #: Bytes of wrappers that every task gets; more are joined by a shuffle.
@@ -385,20 +408,21 @@ def main_texts(pages: DataFrame, key: str = "page_id", url: str = "url", body: s
     host = F.coalesce(ascii_lower(F.regexp_extract(col(url), r"://([^/?#]*)", 1)), F.lit(""))
     rows = pages.select(col(key).alias("key"), col(url).alias("url"), host.alias("host"), col(body).alias("html"))
     wrappers = stored(induced(rows), "wrappers")
-    if (wrappers.agg(F.sum(F.length("wrapper") + F.length("host"))).first()[0] or 0) <= SENT_BYTES:
+    if (wrappers.agg(F.sum(F.length("wrapper") + F.length("host") + F.coalesce(F.length("recurring"), F.lit(0)))).first()[0] or 0) <= SENT_BYTES:
         wrappers = F.broadcast(wrappers)
-    joined = rows.join(wrappers, "host", "left").select("key", "url", "html", "wrapper")
+    joined = rows.join(wrappers, "host", "left").select("key", "url", "html", "wrapper", "recurring")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[bytes, list] = {}
+        known: dict[tuple, tuple] = {}
         for batch in batches:
             texts = []
-            for page, packed in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                if packed is not None and packed not in known:
+            for page, *packed in zip(*[batch.column(k).to_pylist() for k in (2, 3, 4)], strict=True):
+                own = tuple(packed)
+                if own not in known:
                     if len(known) > 1_000:
                         known.clear()
-                    known[packed] = json.loads(packed)
-                texts.append(content(parsed(page), known.get(packed)) if page else "")
+                    known[own] = (json.loads(own[0]) if own[0] else None, frozenset(map(int, own[1].split(","))) if own[1] else frozenset())
+                texts.append(content(parsed(page), *known[own]) if page else "")
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["key", "url", "text"])
 
     kind = f"key {pages.schema[key].dataType.simpleString()}, url string, text string"
