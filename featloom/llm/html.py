@@ -6,7 +6,7 @@ repeating slot. A slot keeps how many pages have it and how much text and link t
 steps, so a very large host meets in a few rows. On how many different pages of its host a text stands at the same path of
 elements is counted exactly, with partial sums.
 
-A slot is template if its element or its class says so (menus, forms, notices, ...), if most of its text is link text, or
+A slot is template if its element or its class says so (menus, forms, notices, ...), if most of its text outside articles is link text, or
 if one and the same text recurs in most pages of the host; what varies is content. If a page has article elements, only
 what lies in them counts, and what holds one is no template; else all content does.
 
@@ -288,12 +288,12 @@ def named_template(key: str) -> bool:
     return tag not in ("body", "html", *ARTICLE) and any(p.lower() in MARKS for p in PARTS.findall(mark))
 
 
-def verdicts(slot: Slot) -> list:
-    """The wrapper as [key, template, children], without its figures."""
+def verdicts(slot: Slot, article: bool = False) -> list:
+    """The wrapper as [key, template, children], without its figures. Inside an article link text is as good as other text."""
     links = linked(slot)
     tag = slot.key.partition(".")[0]
-    template = named_template(slot.key) or (tag in BLOCKS and tag not in ("body", "html", *ARTICLE) and links[0] > 0 and links[1] >= 0.6 * links[0])
-    return [slot.key, template, [verdicts(k) for k in slot.kids]]
+    template = named_template(slot.key) or (not article and tag in BLOCKS and tag not in ("body", "html", *ARTICLE) and links[0] > 0 and links[1] >= 0.6 * links[0])
+    return [slot.key, template, [verdicts(k, article or tag in ARTICLE) for k in slot.kids]]
 
 
 def linked(slot: Slot) -> tuple[int, int]:
@@ -323,7 +323,7 @@ def content(root: Node, wrapper: list | None, recurring: frozenset[int] = frozen
             for child in group:
                 if isinstance(child, tuple):
                     text, links = child
-                    if (article or not inside) and not (recurring and place(at, text) in recurring) and links < max(1, 0.9 * len(text)):
+                    if (article or (not inside and links < max(1, 0.9 * len(text)))) and not (recurring and place(at, text) in recurring):
                         out.append(text)
                 elif not (slot[1] if slot else named_template(child.key)) or (inside and has_article(child)):
                     # What holds an article is no template, whatever its class says.

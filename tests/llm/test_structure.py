@@ -104,6 +104,15 @@ def test_a_notice_among_many_paragraphs_goes(spark, at):
     assert all(got[i] == "\n".join([*t, *(["half"] if i % 2 else [])]) for i, t in own.items()) and got[1_000] == got[1]
 
 
+def test_links_inside_an_article_stay(spark):
+    """Reference lists and paragraphs that are one link belong to the article; lists of links outside do not."""
+    body = "<div><p><a href=/x>elsewhere {0}</a></p></div><article><p>text {0}</p><p><a href=/y>see part {0}</a></p><ol><li><a href=/z>source {0}</a></li></ol></article>"
+    rows = [(i, "http://h/", f"<html><body>{body.format(i)}</body></html>") for i in range(8)]
+    rows += [(100 + i, "http://g/", f"<html><body><div><p>text {i}</p></div><ul><li><a href=/z>more {i}</a></li></ul></body></html>") for i in range(8)]
+    got = {r["page_id"]: r["text"] for r in html.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"text {i}\nsee part {i}\nsource {i}" and got[100 + i] == f"text {i}" for i in range(8))
+
+
 def test_a_container_of_the_article_is_no_template():
     body = '<form id=aspnet><div class="layout with-sidebar"><div class="sidebar">menu</div><main><p>kept</p><aside>dropped</aside></main></div></form>'
     assert html.content(html.parsed(f"<html><body>{body}</body></html>"), None) == "kept"
