@@ -28,7 +28,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 TOPICS = (("legal", "[Rr]ights reserved|[Ll]icen[sc]e|[Cc]opyright"), ("contact", "@[a-z0-9-]+[.]"), ("shouting", "[A-Z]!!"))
 REST_TOPIC = "prose"
 DIMENSIONS = ("source", "lang", "topic")
-#: The mix of the registered query and of the pipeline.
+#: The mix of the registered query, and of its SQL. The listed shares sum to one, so other languages and null get nothing; the
+#: pipeline leaves them a share.
 TARGETS: dict[str, dict[str, float] | float] = {
     "source": 0.5,
     "lang": {"en": 0.5, "de": 0.2, "fr": 0.15, "es": 0.15},

@@ -83,6 +83,20 @@ def sampled(rows, facts):
     return {i for i, _ in rows if level[i][3] and place[i] < min(1, rate[level[i][:3]] * scale)}
 
 
+def test_mixing_takes_unlisted_languages(spark):
+    langs = ["en", "de", "fr", "es", "it", None]
+    docs = [(i, f"some words {i} " * 4, f"s{i % 3}", langs[i % 6]) for i in range(1_200)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, source string, lang string")
+    taken = {r["lang"]: r["count"] for r in corpus_pipeline.mixing(spark, frame, SF).groupBy("lang").count().collect()}
+    # 5 % of a sample of 0.4 * 1200 documents, shared evenly.
+    assert set(taken) == set(langs) and 4 <= taken["it"] <= 24 and 4 <= taken[None] <= 24
+    # Among themselves the listed ones keep their shares: half for en is 228, above its 200 documents.
+    assert taken["en"] == 200 and taken["de"] > 5 * taken["it"]
+    few = corpus_pipeline.mixing(spark, frame.where("lang IN ('en', 'de', 'fr', 'es')"), SF)
+    same = mixture.mixed_sample(frame.where("lang IN ('en', 'de', 'fr', 'es')"))
+    assert {r["doc_id"] for r in few.collect()} == {r["doc_id"] for r in same.collect()}
+
+
 def test_pipeline_equals_brute_force(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
