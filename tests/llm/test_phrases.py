@@ -1,0 +1,92 @@
+"""Collocations against counting by hand."""
+
+import random
+import re
+from collections import Counter
+from itertools import pairwise
+
+import pytest
+from pyspark.sql import functions as F
+
+from featloom.llm import phrases
+
+
+def lowered(text):
+    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+
+
+def brute(rows, max_words, least, share):
+    counts, total = {}, Counter()
+    for lang, text in rows:
+        lang = "und" if lang is None else lang
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", lowered(text)):
+            words = re.findall(r"[^\x20\x09]+", piece)
+            total[lang] += len(words)
+            for k in range(1, max_words + 1):
+                for i in range(len(words) - k + 1):
+                    counts.setdefault(lang, Counter())[tuple(words[i : i + k])] += 1
+    out = {}
+    for lang, f in counts.items():
+        candidates = {p: a for p, a in f.items() if len(p) > 1 and a >= least}
+        for p, a in candidates.items():
+            longer = [b for q, b in candidates.items() if len(q) > len(p) and any(q[i : i + len(p)] == p for i in range(len(q)))]
+            if any(100 * b >= share * a for b in longer):
+                continue
+            score, k = min((1_000_000 * a * a // (f[p[:k]] * f[p[k:]]), k) for k in range(1, len(p)))
+            out[lang, " ".join(p)] = (a, f[p[:k]], f[p[k:]], total[lang], score)
+    return out
+
+
+def corpus(seed):
+    rng = random.Random(seed)
+    vocabulary = ["a", "A", "b", "c\x01", "dé", "e-1", "\x00f", "a\x02"]
+    ends = [" ", " ", "  ", "\t", " ", ". ", "\n", "!", "\x0b"]
+    rows = []
+    for _ in range(40):
+        # A third of all words is one word, and most pieces hold one passage.
+        words = ["the" if rng.random() < 0.3 else rng.choice(vocabulary) for _ in range(rng.randrange(60))]
+        if rng.random() < 0.5:
+            words[5:5] = ["one", "fixed", "passage", "here"]
+        rows.append((rng.choice(["en", "en", "en", None, "x y"]), "".join(w + rng.choice(ends) for w in words)))
+    return [*rows, (None, None), ("en", ""), ("fr", " .. "), rows[0]]
+
+
+@pytest.mark.parametrize(("max_words", "least", "share"), [(3, 3, 50), (2, 2, 50), (5, 2, 80)])
+def test_collocations_equal_brute_force(spark, max_words, least, share, monkeypatch):
+    monkeypatch.setattr(phrases, "SLICE", 16)
+    rows = corpus(max_words)
+    frame = spark.createDataFrame(rows, "lang string, text string").withColumn("key", F.lit("clash")).withColumn("n", F.lit(1)).repartition(3)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = phrases.collocations(frame, max_words=max_words, least=least, share=share).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    want = brute(rows, max_words, least, share)
+    assert len(got) == len(want) > 20
+    assert {(r["lang"], r["phrase"]): (r["a"], r["l"], r["r"], r["n"], r["score"]) for r in got} == want
+
+
+def test_first_of_each_language(spark):
+    rows = [("en", "b c. " * 10 + "a d. " * 10 + "e f. " * 20), ("de", "x y. " * 12)]
+    found = phrases.top_phrases(phrases.collocations(spark.createDataFrame(rows, "lang string, text string")), 2).collect()
+    got = sorted((r["lang"], r["rank"], r["phrase"], r["a"], r["score"]) for r in found)
+    assert got == [("de", 1, "x y", 12, 1_000_000), ("en", 1, "e f", 20, 1_000_000), ("en", 2, "a d", 10, 1_000_000)]
+    none = spark.createDataFrame([], "lang string, text string")
+    assert phrases.collocations(none).count() == 0
+
+
+def test_scores_are_exact_beyond_64_bits(spark):
+    big = 3_000_000_019
+    cases = [(big, big * 7, big * 3), (big, big, big), (big - 1, big, big), (10, 13, 10)]
+    rows = spark.createDataFrame(cases, "a long, l long, r long").select(
+        "*", phrases._scored(F.col("a"), F.array(F.lit(0).cast("long"), F.col("l")), F.array(F.lit(0).cast("long"), F.col("r")), F.lit(2))["score"].alias("s"))
+    assert [r["s"] for r in rows.collect()] == [1_000_000 * a * a // (left * right) for a, left, right in cases]
+
+
+def test_numbered_slices_are_the_words():
+    words = phrases.Vocabulary()
+    text = "One two. three\tfour\nfive " * 3
+    ids = [int(x) for part in phrases.numbered(text.encode(), words) for x in part]
+    names = list(words)
+    assert [names[i].decode() for i in ids] == re.findall(r"[^\s.]+|\.", text.lower().replace("\n", "."))
+    assert all(a != b or a == 0 for a, b in pairwise(ids))
