@@ -1,0 +1,102 @@
+"""License scans against comparing every passage at every alignment."""
+
+import random
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from featloom.llm import licences
+from featloom.llm.base import QUERIES
+from featloom.llm.licences import BASE, PASSAGES, Passage
+
+WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
+
+
+def words(text):
+    return WORD.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+
+
+def places(own, phrase):
+    return [i for i in range(len(own) - len(phrase) + 1) if own[i : i + len(phrase)] == phrase]
+
+
+def brute(text, passages, base, percent, slack):
+    own = words(text)
+    base_rows = sorted((i, label) for phrase, label in base.items() for i in places(own, words(phrase)))
+    found = []
+    for p in passages:
+        parts = words(p.text)
+        for o in range(-len(parts) + 1, len(own)):
+            agree = sum(0 <= o + j < len(own) and own[o + j] == w for j, w in enumerate(parts))
+            around = own[max(o - slack, 0) : max(o + len(parts) + slack, 0)]
+            if 100 * agree >= percent * len(parts) and all(places(around, words(k)) for k in p.keys):
+                found.append((o, p.label, agree / len(parts)))
+    return len(own), base_rows, sorted(found)
+
+
+CASES = [Passage("x", "free of any duty to the free holder of it", ("free holder",)), Passage("y", "to the holder", ()), Passage("y", "of of of of it", ("of it",)), Passage("z", "rare Words, here", ("rare", "here"))]
+
+
+@pytest.mark.parametrize(("percent", "slack"), [(60, 3), (100, 0), (30, 1)])
+def test_matches_equal_brute_force(spark, percent, slack, monkeypatch):
+    monkeypatch.setattr(licences, "PASS_WORDS", 150)
+    monkeypatch.setattr(licences, "SLICE", 8)
+    rng = random.Random(percent)
+    vocabulary = ["of", "of", "of", "the", "free", "holder", "it", "to", "words", "other", "é"]
+    rows = []
+    for i in range(60):
+        own = rng.choices(vocabulary, k=rng.randrange(40))
+        if rng.random() < 0.7:
+            planted = words(rng.choice(CASES).text)
+            if rng.random() < 0.5:
+                planted[rng.randrange(len(planted))] = "other"
+            own[rng.randrange(len(own) + 1) :] += planted[rng.choice([0, 0, 2]) :]
+        rows.append((i, rng.choice([" ", ", ", "-\n"]).join(own).title()))
+    rows += [(100, None), (101, ""), (102, "?!"), (None, "to the holder"), (4, rows[4][1])]
+    base = {"of it": "p", "the free holder": "q"}
+    frame = spark.createDataFrame(rows, "doc_id long, text string").withColumn("found", F.lit("clash")).repartition(3)
+    got = licences.licence_matches(frame, passages=CASES, base=base, percent=percent, slack=slack).collect()
+    assert len(got) == len(rows)
+    by, met = dict(rows), 0
+    for r in got:
+        n, base_rows, found = brute(by[r["key"]], CASES, base, percent, slack)
+        assert r["n_words"] == n and [(x["start"], x["label"]) for x in r["base"]] == base_rows
+        assert sorted((x["start"], x["label"], x["share"]) for x in r["found"]) == found
+        met += len(found)
+    assert met > 10
+    assert licences.licence_matches(frame.limit(0), passages=CASES).count() == 0
+    assert {len(r["found"]) for r in licences.licence_matches(frame, passages=[]).collect()} == {0}
+
+
+def test_known_licences_are_named(spark):
+    texts = [f"# {p.text[:60]}\n# {p.text[60:]} and more" for p in PASSAGES]
+    texts += ["Copyright Example, all rights reserved. ALL RIGHTS RESERVED", "cc by", "the general public may license it", "Available under the MIT License, see below"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["key"]: r for r in licences.labelled(licences.licence_matches(frame)).collect()}
+    for i, p in enumerate(PASSAGES):
+        assert p.label in got[i]["labels"].split(",") and got[i]["score"] == 1.0
+    a, b, c, d = (got[len(PASSAGES) + i] for i in range(4))
+    assert (a["n_base"], a["first_word"], a["last_word"], a["base_labels"], a["labels"]) == (2, 2, 5, "reserved", "reserved")
+    assert (b["n_base"], b["first_word"], b["last_word"], b["base_labels"]) == (1, 0, 0, "cc-by")
+    assert (c["n_base"], c["first_word"], c["last_word"], c["labels"], c["score"]) == (0, None, None, "", 0.0)
+    assert (d["labels"], d["base_labels"], d["score"]) == ("mit", "", 0.8)
+
+
+def test_frequencies_count_documents(spark):
+    frame = spark.createDataFrame([(1, "mit MIT license"), (2, "license"), (3, None), (4, "mitt")], "doc_id long, text string").repartition(4)
+    got = {r["word"]: r["n"] for r in licences.document_frequencies(frame, ["mit", "license", "gnu"]).collect()}
+    assert {k: v for k, v in got.items() if v} == {"mit": 1, "license": 2}
+
+
+def test_query_equals_brute_force(spark):
+    folder = "/root/testdata/sf0.001"
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()}
+    rows = QUERIES["op13_licence_scan"](spark, folder).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        n, base_rows, found = brute(texts[r["doc_id"]], PASSAGES, BASE, licences.PERCENT, licences.SLACK) if "icen" in (texts[r["doc_id"]] or "") else (r["n_words"], None, None)
+        assert r["n_words"] == n == len(words(texts[r["doc_id"]]))
+        if found is not None:
+            labels = sorted({x[1] for x in base_rows} | {x[1] for x in found})
+            assert (r["n_base"], r["labels"]) == (len(base_rows), ",".join(labels))
