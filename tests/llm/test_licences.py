@@ -70,7 +70,7 @@ def test_matches_equal_brute_force(spark, percent, slack, monkeypatch):
 
 
 def test_known_licences_are_named(spark):
-    texts = [f"# {p.text[:60]}\n# {p.text[60:]} and more" for p in PASSAGES]
+    texts = ["# " + p.text.replace(" ", "\n# ", 2) + " and more" for p in PASSAGES]
     texts += ["Copyright Example, all rights reserved. ALL RIGHTS RESERVED", "cc by", "the general public may license it", "Available under the MIT License, see below"]
     frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r["key"]: r for r in licences.labelled(licences.licence_matches(frame)).collect()}
