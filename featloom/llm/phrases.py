@@ -3,8 +3,10 @@
 A phrase of up to `max_words` words is counted with its language in front, so that `(en)` is the number of words of the
 language, `(en, a)` a word and `(en, a, b)` a pair. Steps:
 
-1. each task sorts its n-grams as packed integers, counts the runs, and sends one row per distinct phrase; the counts are
-   summed, and those below `least` go: neither a candidate nor any part of one can be among them;
+1. length by length, each task sorts its n-grams as packed integers, counts the runs, and sends one row per distinct
+   phrase; the counts are summed, and those below `least` go: neither a candidate nor any part of one can be among them.
+   For the next length only places are counted whose two parts may be frequent, as told by a bit map of fixed size; a
+   phrase whose parts share bits with others is counted in vain and changes no result;
 2. prefix order: the count table is dealt to ranges and sorted. A phrase follows its prefixes and precedes its
    extensions, so one pass in lockstep meets the counts of all first parts and the best right extension;
 3. suffix order: the same over reversed phrases gives the counts of all rests and the best left extension.
@@ -22,19 +24,24 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from featloom.core import col
-from featloom.llm.base import UPPER, encoded, query, stored, table
+from featloom.llm.base import UPPER, WordHashes, encoded, mixed, query, stored, table
 
 MAX_WORDS, LEAST, SHARE, TOP = 3, 10, 50, 2_000
 #: Words that a task counts at once, distinct ones among them, bytes of a text taken at once, rows of a batch sent.
-BUFFER, DISTINCT, SLICE, ROWS = 4_000_000, 1_000_000, 1 << 22, 1 << 16
+BUFFER, DISTINCT, SLICE, ROWS = 2_000_000, 500_000, 1 << 22, 1 << 16
+#: Bits of the map of frequent phrases, as a power of two: 8 MB.
+FILTER_BITS = 26
 #: Ends of pieces; blanks between words.
 PIECE_ENDS = ".,;:!?\n\x0b\x0c\r"
 _TABLE = bytes.maketrans(PIECE_ENDS.encode() + b"\t", b"." * len(PIECE_ENDS) + b" ")
@@ -64,44 +71,67 @@ def numbered(body: bytes, words: Vocabulary) -> Iterator[np.ndarray]:
         at = stop
 
 
-def counted(ids: np.ndarray, names: pa.Array, max_words: int) -> Iterator[tuple[pa.Array, np.ndarray]]:
-    """(phrases, counts) in batches, for lengths 0 to `max_words`; length 0 counts all words."""
-    yield pa.array([""]), np.array([int((ids > 0).sum())])
-    grams, parents = ids, []
-    for size in range(1, max_words + 1):
-        if size == 1:
-            keys, counts = np.unique(ids[ids > 0], return_counts=True)
-            parents.append((np.zeros(len(keys), np.int64), keys))
-            at = np.zeros(len(names), np.int64)
-            at[keys] = np.arange(1, len(keys) + 1)
-            grams = at[ids]
-        else:
-            grams, last = grams[:-1], ids[size - 1 :]
-            held = (grams > 0) & (last > 0)
-            keys, which, counts = np.unique(grams[held] << 32 | last[held], return_inverse=True, return_counts=True)
-            parents.append(((keys >> 32) - 1, keys & 0xFFFFFFFF))
-            grams = np.zeros(len(held), np.int64)
-            grams[held] = which + 1
-        for i in range(0, len(keys), ROWS):
-            row = np.arange(i, min(i + ROWS, len(keys)))
-            words = []
-            for up, own in reversed(parents):
-                words.append(names.take(pa.array(own[row])))
-                row = up[row]
-            phrases = pc.binary_join_element_wise(*reversed(words), pa.scalar(b" ", pa.binary())) if size > 1 else words[0]
-            yield phrases.cast(pa.string()), counts[i : i + ROWS]
-
-
-def phrase_counts(docs: DataFrame, text: str = "text", lang: str = "lang", max_words: int = MAX_WORDS) -> DataFrame:
-    """lang, phrase (joined by blanks; empty for all words) and its occurrences, summed over all documents."""
+def _hashed(lang: str, columns: list[np.ndarray]) -> np.ndarray:
+    """64-bit hash of phrases given as one array of word hashes per position."""
+    acc = np.full(len(columns[0]), xxhash.xxh64_intdigest(lang.encode()), np.uint64)
+    for own in columns:
+        acc = mixed(acc * np.uint64(0x9E3779B97F4A7C15) + own)
+    return acc >> np.uint64(64 - FILTER_BITS)
+
+
+def _held(bits: np.ndarray, places: np.ndarray) -> np.ndarray:
+    return (bits[places >> np.uint64(6)] >> (places & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
+def possible(lang: str, ids: np.ndarray, hashes: np.ndarray, size: int, bits: np.ndarray | None) -> np.ndarray:
+    """Starts of the phrases of `size` words, of which both parts of one word less may be frequent."""
+    inside = ids > 0
+    if bits is not None:
+        own = hashes[ids]
+        parts = len(ids) - size + 2
+        inside = _held(bits, _hashed(lang, [own[j : j + parts] for j in range(size - 1)])) if parts > 1 else np.zeros(0, bool)
+        for j in range(size - 1):
+            inside &= ids[j : j + parts] > 0
+        inside = inside[:-1] & inside[1:]
+    return np.flatnonzero(inside)
+
+
+def counted(ids: np.ndarray, starts: np.ndarray, names: pa.Array, size: int) -> Iterator[tuple[pa.Array, np.ndarray]]:
+    """(phrases, counts) in batches: the n-grams at `starts`, packed pairwise into integers and sorted."""
+    keys, which, counts = np.unique(ids[starts], return_inverse=True, return_counts=True)
+    parents = [(np.zeros(len(keys), np.int64), keys)]
+    for j in range(1, size):
+        keys, which, counts = np.unique(which << 32 | ids[starts + j], return_inverse=True, return_counts=True)
+        parents.append((keys >> 32, keys & 0xFFFFFFFF))
+    for i in range(0, len(keys), ROWS):
+        row = np.arange(i, min(i + ROWS, len(keys)))
+        words = []
+        for up, own in reversed(parents):
+            words.append(names.take(pa.array(own[row])))
+            row = up[row]
+        phrases = pc.binary_join_element_wise(*reversed(words), pa.scalar(b" ", pa.binary())) if size > 1 else words[0]
+        yield phrases.cast(pa.string()), counts[i : i + ROWS]
+
+
+def phrase_counts(docs: DataFrame, size: int, bits: np.ndarray | None = None, text: str = "text", lang: str = "lang") -> DataFrame:
+    """lang, phrase (joined by blanks) and n, its occurrences over all documents, for phrases of `size` words.
+
+    Size 1 has a row with an empty phrase as well, which counts all words. `bits` leaves out what cannot be frequent.
+    """
+    shared = None if bits is None else docs.sparkSession.sparkContext.broadcast(bits)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, held, size = Vocabulary(), {}, 0
+        words, held, total = Vocabulary(), {}, 0
+        filtered = None if shared is None else shared.value
 
         def flush() -> Iterator[pa.RecordBatch]:
             names = pa.array(list(words), pa.binary())
-            for name, parts in held.items():
-                for phrases, counts in counted(np.concatenate(parts), names, max_words):
+            hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words)) if filtered is not None else np.empty(0, np.uint64)
+            for name in list(held):
+                ids = np.concatenate(held.pop(name))
+                starts = possible(name, ids, hashes, size, filtered)
+                rows = [(pa.array([""]), np.array([len(starts)]))] if size == 1 else []
+                for phrases, counts in chain(rows, counted(ids, starts, names, size)):
                     langs = pa.array([name], pa.string()).take(pa.array(np.zeros(len(counts), np.int64)))
                     yield pa.RecordBatch.from_arrays([langs, phrases, pa.array(counts, pa.int64())], ["lang", "phrase", "n"])
 
@@ -109,16 +139,48 @@ def phrase_counts(docs: DataFrame, text: str = "text", lang: str = "lang", max_w
             for name, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 for ids in numbered(encoded(body), words):
                     held.setdefault(name, []).extend((ids, np.zeros(1, np.int64)))
-                    size += len(ids)
-                    if size >= BUFFER or len(words) >= DISTINCT:
+                    total += len(ids)
+                    if total >= BUFFER or len(words) >= DISTINCT:
                         yield from flush()
-                        words, held, size = Vocabulary(), {}, 0
+                        words, held, total = Vocabulary(), {}, 0
         yield from flush()
 
     source = docs.select(F.coalesce(col(lang).cast("string"), F.lit("und")).alias("lang"), col(text).alias("text")).where(F.length("text") > 0)
     return source.mapInArrow(count, "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
 
 
+def _filter(level: DataFrame) -> np.ndarray:
+    """Bits of the phrases of a level; other phrases may share a bit, which costs rows and no result."""
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in batches:
+            rows = [(name, phrase.encode().split(b" ")) for name, phrase in zip(*(c.to_pylist() for c in batch.columns), strict=True) if phrase]
+            by: dict[str, list] = {}
+            for name, own in rows:
+                by.setdefault(name, []).append(own)
+            for name, phrases in by.items():
+                at = _hashed(name, [hashes.array(list(own)) for own in zip(*phrases, strict=True)])
+                bits = (np.uint64(1) << (at & np.uint64(63))).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array((at >> np.uint64(6)).astype(np.int64)), pa.array(bits)], ["cell", "bits"])
+
+    cells = level.select("lang", "phrase").mapInArrow(place, "cell long, bits long").groupBy("cell").agg(F.bit_or("bits").alias("bits"))
+    # At most 2 ** (FILTER_BITS - 6) rows, whatever the corpus.
+    found = cells.toArrow()
+    bits = np.zeros(1 << FILTER_BITS - 6, np.uint64)
+    bits[found["cell"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
+    return bits
+
+
+def frequent_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", max_words: int = MAX_WORDS, least: int = LEAST) -> DataFrame:
+    """lang, phrase, n of all phrases that occur `least` times, and the number of words of each language."""
+    levels, bits = [], None
+    for size in range(1, max_words + 1):
+        levels.append(stored(phrase_counts(docs, size, bits, text, lang).where(F.col("n") >= least), "level"))
+        bits = _filter(levels[-1]) if size < max_words else None
+    return reduce(DataFrame.union, levels)
+
+
 def _pass(rows: DataFrame, depth: int) -> DataFrame:
     """One pass over sorted rows (key, n, body): adds `parts` and `best`, and rows that describe the edges of each range.
 
@@ -209,7 +271,7 @@ def _scored(a: Column, left: Column, right: Column, size: Column) -> Column:
 
 def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", max_words: int = MAX_WORDS, least: int = LEAST, share: int = SHARE) -> DataFrame:
     """lang, phrase, a, l, r, n, score of every candidate that no longer one makes redundant."""
-    counts = phrase_counts(docs, text, lang, max_words).where(F.col("n") >= least)
+    counts = frequent_phrases(docs, text, lang, max_words, least)
     key = F.concat(F.array("lang"), F.when(F.col("phrase") == "", F.array().cast("array<string>")).otherwise(F.split("phrase", " ")))
     counts = stored(counts.select(key.alias("key"), "n"), "counts")
     none = F.lit(None).cast("array<long>")
