@@ -1,7 +1,8 @@
 """Relational feature synthesis: aggregate, direct and stacked features.
 
 Definitions are frozen value objects; computing them compiles to one
-`groupBy(foreign key)` per relationship and joins on unique keys.
+`groupBy(foreign key)` per relationship, merges of those groups along longer
+paths, and joins on unique keys.
 """
 
 from __future__ import annotations
@@ -13,8 +14,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from featloom.core import clean, col, is_datetime, is_numeric, require_columns, rows_frame
-from featloom.functions.columns import haversine, num_characters, num_words, sample_skewness
+from featloom.core import checkpointed, clean, col, is_datetime, is_numeric, require_columns, rows_frame
+from featloom.functions.columns import haversine, num_characters, num_words
+from featloom.functions.moments import finished, merged, moments
 from featloom.operators.split import fraction_sample, require_unique_key
 from featloom.sources.registry import dataset_info, sanitise_names
 
@@ -258,106 +260,166 @@ def _transform_expr(f: Feature) -> Column:
     return haversine(*[clean(x) for x in c])
 
 
-def _aggregate_expr(primitive: str, c: Column) -> Column:
-    match primitive:
-        case "sum":
-            return F.coalesce(F.sum(clean(c)), F.lit(0.0))
-        case "std":
-            return F.stddev_samp(clean(c))
-        case "max":
-            return F.max(clean(c))
-        case "min":
-            return F.min(clean(c))
-        case "mean":
-            return F.avg(clean(c))
-        case "skew":
-            return sample_skewness(clean(c))
-        case "percent_true":
-            return F.coalesce(F.avg(c.cast("int")), F.lit(0.0))
-    raise ValueError(f"unknown primitive: {primitive}")
-
-
-def _entity_table(es: EntitySet, name: str, features: Sequence[Feature]) -> DataFrame:
-    """Keys of the entity plus the requested feature columns."""
-    entity = es.entities[name]
-    keys = sorted(es.keys_of(name))
-    own = [f for f in features if f.kind == "identity" and f.name not in keys]
-    made = [f for f in features if f.kind == "transform"]
-    df = entity.data.select(
-        *[col(k) for k in keys], *[col(f.name) for f in own], *[_transform_expr(f).alias(f.name) for f in made]
-    )
-    by_path: dict[tuple[Relation, ...], list[Feature]] = {}
-    by_parent: dict[Relation, list[Feature]] = {}
-    for f in features:
+class _Synthesis:
+    """Tables of one request: every child table is grouped once per relation, whatever the length of the paths over it.
+
+    A relation's groups hold mergeable moments of all columns that any feature needs there. Longer paths merge the
+    groups of the level below instead of joining its rows. Groups that serve several paths are written once.
+    """
+
+    def __init__(self, es: EntitySet, features: Sequence[Feature]):
+        self.es = es
+        self.bases: dict[tuple[Relation, int], dict[str, tuple[Feature, set[str]]]] = {}
+        self.paths: dict[tuple[Relation, int], set[tuple[Relation, ...]]] = {}
+        self.groups: dict[tuple[Relation, int], DataFrame] = {}
+        self.values: dict[tuple[Relation, int], DataFrame] = {}
+        self.types: dict[tuple[Relation, int], dict[str, T.DataType]] = {}
+        self.by_depth = _circular(features)
+        for f in features:
+            self._ask(f)
+
+    def _slot(self, f: Feature) -> tuple[Relation, int]:
+        # By depth only where two relations need each other's groups: then the shallower ones come first.
+        return f.path[-1], (f.base.depth if f.base is not None else 0) if self.by_depth else 0
+
+    def _ask(self, f: Feature) -> None:
         if f.kind == "aggregate":
-            by_path.setdefault(f.path, []).append(f)
-        elif f.kind == "direct":
-            by_parent.setdefault(f.path[0], []).append(f)
-    for relation, wanted in by_parent.items():
-        parent = _entity_table(es, relation.parent, _distinct([f.base for f in wanted]))
-        picked = parent.select(
-            col(relation.parent_key).alias("_pk"), *[col(f.base.name).alias(f.name) for f in wanted]
-        )
-        # the parent key is unique: one match per row, and a hot foreign key is split by AQE
-        df = df.join(picked, col(relation.child_key) == F.col("_pk"), "left").drop("_pk")
-    for path, wanted in by_path.items():
-        for part in _aggregates(es, path, wanted):
-            df = df.join(part, col(path[0].parent_key) == F.col("_fk"), "left").drop("_fk")
-    zeros = {f.name for f in features if f.zero_default}
-    if zeros:
-        df = df.select(
-            *[F.coalesce(col(c), F.lit(0).cast(df.schema[c].dataType)).alias(c) if c in zeros else col(c) for c in df.columns]
+            wanted = self.bases.setdefault(self._slot(f), {})
+            self.paths.setdefault(self._slot(f), set()).add(f.path)
+            if f.base is not None:
+                wanted.setdefault(f.base.name, (f.base, set()))[1].add(f.primitive)
+        if f.base is not None:
+            self._ask(f.base)
+
+    def entity_table(self, name: str, features: Sequence[Feature]) -> DataFrame:
+        """Keys of the entity plus the requested feature columns."""
+        es, entity = self.es, self.es.entities[name]
+        keys = sorted(es.keys_of(name))
+        own = [f for f in features if f.kind == "identity" and f.name not in keys]
+        made = [f for f in features if f.kind == "transform"]
+        df = entity.data.select(
+            *[col(k) for k in keys], *[col(f.name) for f in own], *[_transform_expr(f).alias(f.name) for f in made]
         )
-    return df
+        by_path: dict[tuple[Relation, ...], list[Feature]] = {}
+        by_parent: dict[Relation, list[Feature]] = {}
+        for f in features:
+            if f.kind == "aggregate":
+                by_path.setdefault(f.path, []).append(f)
+            elif f.kind == "direct":
+                by_parent.setdefault(f.path[0], []).append(f)
+        for relation, wanted in by_parent.items():
+            parent = self.entity_table(relation.parent, _distinct([f.base for f in wanted]))
+            picked = parent.select(
+                col(relation.parent_key).alias("_pk"), *[col(f.base.name).alias(f.name) for f in wanted]
+            )
+            # the parent key is unique: one match per row, and a hot foreign key is split by AQE
+            df = df.join(picked, col(relation.child_key) == F.col("_pk"), "left").drop("_pk")
+        for path, wanted in by_path.items():
+            for part in self.aggregates(path, wanted):
+                df = df.join(part, col(path[0].parent_key) == F.col("_fk"), "left").drop("_fk")
+        zeros = {f.name for f in features if f.zero_default}
+        if zeros:
+            df = df.select(
+                *[F.coalesce(col(c), F.lit(0).cast(df.schema[c].dataType)).alias(c) if c in zeros else col(c) for c in df.columns]
+            )
+        return df
+
+    def aggregates(self, path: tuple[Relation, ...], wanted: Sequence[Feature]) -> list[DataFrame]:
+        """Aggregate tables keyed by `_fk`, one for moments and one for values."""
+        by_slot: dict[tuple[Relation, int], list[Feature]] = {}
+        for f in wanted:
+            by_slot.setdefault(self._slot(f), []).append(f)
+        out = []
+        for slot, features in by_slot.items():
+            spot = {name: i for i, name in enumerate(self.bases[slot])}
+            simple = [f for f in features if f.primitive not in ("mode", "num_unique")]
+            counted = [f for f in features if f.primitive in ("mode", "num_unique")]
+            if simple:
+                groups = self._moments(slot)
+                for relation in reversed(path[:-1]):
+                    groups = merged(groups.join(self._link(relation), "_fk").drop("_fk").withColumnRenamed("_up", "_fk").where("_fk is not null"), "_fk")
+                exprs = [
+                    (F.col("_rows") if f.primitive == "count" else finished(f.primitive, F.col(f"_m{spot[f.base.name]}"))).alias(f.name)
+                    for f in simple
+                ]
+                out.append(groups.select("_fk", *exprs))
+            if counted:
+                values = self._values(slot)
+                for relation in reversed(path[:-1]):
+                    values = values.join(self._link(relation), "_fk").where("_up is not null").groupBy(F.col("_up").alias("_fk"), "_c", "_v").agg(F.sum("count").alias("count"))
+                exprs = []
+                for f in counted:
+                    here = F.col("_c") == spot[f.base.name]
+                    if f.primitive == "num_unique":
+                        exprs.append(F.count_if(here).alias(f.name))
+                    else:
+                        typed = F.col("_v").cast(self.types[slot][f.base.name])
+                        best = F.min(F.when(here, F.struct((-F.col("count")).alias("k"), typed.alias("v"))))
+                        exprs.append(best["v"].alias(f.name))
+                out.append(values.groupBy("_fk").agg(*exprs))
+        return out
 
+    def _link(self, relation: Relation) -> DataFrame:
+        step = self.es.entities[relation.child]
+        return step.data.select(col(step.key).alias("_fk"), col(relation.child_key).alias("_up"))
+
+    def _rows(self, slot: tuple[Relation, int]) -> DataFrame:
+        relation = slot[0]
+        rows = self.entity_table(relation.child, [base for base, _ in self.bases[slot].values()])
+        return rows.withColumn("_fk", col(relation.child_key)).where("_fk is not null")
+
+    def _moments(self, slot: tuple[Relation, int]) -> DataFrame:
+        if slot not in self.groups:
+            parts = [
+                moments(col(base.name), primitives).alias(f"_m{i}")
+                for i, (base, primitives) in enumerate(self.bases[slot].values()) if primitives - {"mode", "num_unique"}
+            ]
+            self.groups[slot] = self._shared(slot, self._rows(slot).groupBy("_fk").agg(F.count("*").alias("_rows"), *parts))
+        return self.groups[slot]
+
+    def _values(self, slot: tuple[Relation, int]) -> DataFrame:
+        """(key, column, value) counts: no per-key value set is ever held in memory."""
+        if slot not in self.values:
+            rows = self._rows(slot)
+            bases = [(i, base) for i, (base, p) in enumerate(self.bases[slot].values()) if p & {"mode", "num_unique"}]
+            self.types[slot] = {base.name: rows.schema[base.name].dataType for _, base in bases}
+            values = F.explode(F.array(*[F.struct(F.lit(i).alias("c"), col(base.name).cast("string").alias("v")) for i, base in bases]))
+            counts = (
+                rows.select("_fk", values.alias("_x"))
+                .where("_x.v is not null")
+                .groupBy("_fk", F.col("_x.c").alias("_c"), F.col("_x.v").alias("_v"))
+                .count()
+            )
+            self.values[slot] = self._shared(slot, counts)
+        return self.values[slot]
 
-def _distinct(features: Iterable[Feature]) -> list[Feature]:
-    return list({f.name: f for f in features}.values())
+    def _shared(self, slot: tuple[Relation, int], groups: DataFrame) -> DataFrame:
+        return checkpointed(groups) if len(self.paths[slot]) > 1 else groups
 
 
-def _aggregates(es: EntitySet, path: tuple[Relation, ...], wanted: Sequence[Feature]) -> list[DataFrame]:
-    """Aggregate tables keyed by `_fk`, each grouped with map-side combining."""
-    rows = _entity_table(es, path[-1].child, _distinct([f.base for f in wanted if f.base is not None]))
-    rows = rows.withColumn("_fk", col(path[-1].child_key))
-    for relation in reversed(path[:-1]):
-        step = es.entities[relation.child]
-        link = step.data.select(col(step.key).alias("_step"), col(relation.child_key).alias("_up"))
-        rows = rows.join(link, F.col("_fk") == F.col("_step")).drop("_fk", "_step").withColumnRenamed("_up", "_fk")
-    rows = rows.where("_fk is not null")
-    simple = [f for f in wanted if f.primitive not in ("mode", "num_unique")]
-    counted = [f for f in wanted if f.primitive in ("mode", "num_unique")]
-    out = []
-    if simple:
-        exprs = [
-            (F.count("*") if f.primitive == "count" else _aggregate_expr(f.primitive, col(f.base.name))).alias(f.name)
-            for f in simple
-        ]
-        out.append(rows.groupBy("_fk").agg(*exprs))
-    if counted:
-        # (key, column, value) counts first: no per-key value set is ever held in memory
-        bases = _distinct([f.base for f in counted])
-        types = {b.name: rows.schema[b.name].dataType for b in bases}
-        values = F.explode(
-            F.array(*[F.struct(F.lit(i).alias("c"), col(b.name).cast("string").alias("v")) for i, b in enumerate(bases)])
-        )
-        spot = {b.name: i for i, b in enumerate(bases)}
-        counts = (
-            rows.select("_fk", values.alias("_x"))
-            .where("_x.v is not null")
-            .groupBy("_fk", F.col("_x.c").alias("_c"), F.col("_x.v").alias("_v"))
-            .count()
-        )
-        exprs = []
-        for f in counted:
-            here = F.col("_c") == spot[f.base.name]
-            if f.primitive == "num_unique":
-                exprs.append(F.count_if(here).alias(f.name))
-            else:
-                typed = F.col("_v").cast(types[f.base.name])
-                best = F.min(F.when(here, F.struct((-F.col("count")).alias("k"), typed.alias("v"))))
-                exprs.append(best["v"].alias(f.name))
-        out.append(counts.groupBy("_fk").agg(*exprs))
-    return out
+def _circular(features: Sequence[Feature]) -> bool:
+    """True if two relations need each other's groups when all columns of a relation are grouped together."""
+    needs: dict[Relation, set[Relation]] = {}
+
+    def visit(f: Feature, inside: Relation | None) -> None:
+        if f.kind == "aggregate":
+            if inside is not None:
+                needs.setdefault(inside, set()).add(f.path[-1])
+            inside = f.path[-1]
+        if f.base is not None:
+            visit(f.base, inside)
+
+    for f in features:
+        visit(f, None)
+
+    def reaches(r: Relation, goal: Relation, seen: set[Relation]) -> bool:
+        return any(s == goal or (s not in seen and reaches(s, goal, seen | {s})) for s in needs.get(r, ()))
+
+    return any(reaches(r, r, set()) for r in needs)
+
+
+def _distinct(features: Iterable[Feature]) -> list[Feature]:
+    return list({f.name: f for f in features}.values())
 
 
 def compute_features(es: EntitySet, features: Sequence[Feature], sanitise: bool = False) -> DataFrame:
@@ -366,7 +428,7 @@ def compute_features(es: EntitySet, features: Sequence[Feature], sanitise: bool
         raise ValueError("feature definitions must not be empty")
     target = features[0].entity
     key = es.entities[target].key
-    table = _entity_table(es, target, features)
+    table = _Synthesis(es, features).entity_table(target, features)
     out = table.select(col(key), *[col(f.name) for f in features])
     return sanitise_names(out) if sanitise else out
 
