@@ -2,20 +2,16 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from featloom.core import col
 from featloom.functions.ordering import running_sums
+from featloom.operators.metric_tree import nearest
 
-_CHUNK = 2_000
-_MAX_PIVOTS = 4_096
 _BATCH = 10_000
 
 
@@ -24,115 +20,6 @@ def _uniform(*parts: Column) -> Column:
     return F.pmod(F.xxhash64(*parts), F.lit(1 << 30)) / F.lit(float(1 << 30))
 
 
-def _pivots(points: DataFrame, count: int) -> np.ndarray:
-    """A bounded number of spread points, the same on every run."""
-    wanted = int(min(_MAX_PIVOTS, max(1, math.ceil(count / _CHUNK))))
-    rows = points.select("id", "vec").orderBy("id").limit(wanted).collect()
-    return np.array([r["vec"] for r in rows], dtype=float)
-
-
-def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Euclidean distances, in slices so that no task holds a large cube."""
-    out = np.empty((len(a), len(b)))
-    for i in range(0, len(a), 64):
-        out[i : i + 64] = np.sqrt(((a[i : i + 64, None, :] - b[None, :, :]) ** 2).sum(-1))
-    return out
-
-
-def nearest(queries: DataFrame, points: DataFrame, k: int, chunk: int = _CHUNK) -> DataFrame:
-    """Exact k nearest points (id, other, distance) of each query.
-
-    Both frames hold distinct (id, vec). Points are assigned to the cell of
-    their nearest pivot; the triangle inequality tells which cells can hold a
-    neighbour of a query, and only those are compared, chunk by chunk. A large
-    cell is many chunks, so no task grows with a cell.
-    """
-    count = points.count()
-    pivots = _pivots(points, count)
-
-    def assign(batches):
-        for pdf in batches:
-            gap = _distances(np.stack(pdf["vec"].to_numpy()), pivots)
-            cell = gap.argmin(1)
-            yield pd.DataFrame({"id": pdf["id"], "vec": pdf["vec"], "cell": cell, "away": gap[np.arange(len(pdf)), cell]})
-
-    placed = points.select("id", "vec").mapInPandas(assign, "id string, vec array<double>, cell int, away double")
-    near = Window.partitionBy("cell").orderBy("away", "id")
-    close = placed.withColumn("r", F.row_number().over(near)).where(F.col("r") <= k).select("cell", "away").collect()
-    stats = placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("away").alias("radius")).collect()
-    cells = sorted(r["cell"] for r in stats)
-    radius = np.array([next(r["radius"] for r in stats if r["cell"] == c) for c in cells]) if len(cells) < 64 else _column(stats, cells, "radius")
-    sizes = _column(stats, cells, "n")
-    chunks = np.maximum(1, np.ceil(sizes / chunk)).astype(int)
-    centres = pivots[cells]
-    # k points are surely within reach[i] + (distance of a query to its centre i)
-    spot = {c: i for i, c in enumerate(cells)}
-    inner = np.full((len(cells), k), np.inf)
-    fill = np.zeros(len(cells), dtype=int)
-    for r in sorted(close, key=lambda r: (r["cell"], r["away"])):
-        i = spot[r["cell"]]
-        inner[i, fill[i]] = r["away"]
-        fill[i] += 1
-    between = _distances(centres, centres)
-    reach = np.array([np.sort((between[i][:, None] + inner).ravel())[: k][-1] for i in range(len(cells))])
-
-    def route(batches):
-        for pdf in batches:
-            gap = _distances(np.stack(pdf["vec"].to_numpy()), centres)
-            own = gap.argmin(1)
-            bound = gap[np.arange(len(pdf)), own] + reach[own]
-            # the slack covers rounding in the distances
-            rows, hit = np.nonzero(gap - radius[None, :] <= bound[:, None] * (1 + 1e-9) + 1e-12)
-            part = pdf.iloc[rows]
-            yield pd.DataFrame({"id": part["id"].to_numpy(), "vec": part["vec"].to_numpy(), "cell": np.array(cells)[hit], "chunks": chunks[hit]})
-
-    routed = queries.select("id", "vec").mapInPandas(route, "id string, vec array<double>, cell int, chunks int")
-    asked = routed.groupBy("cell").agg(F.count("*").alias("q")).collect()
-    query_blocks = {r["cell"]: max(1, math.ceil(r["q"] / chunk)) for r in asked}
-    if not query_blocks:
-        return queries.select("id", F.lit("").alias("other"), F.lit(0.0).alias("distance")).where("false")
-    blocks = F.create_map(*[F.lit(x) for c in sorted(query_blocks) for x in (c, query_blocks[c])])
-    chunk_count = F.create_map(*[F.lit(x) for c in cells for x in (c, int(chunks[spot[c]]))])
-    left = routed.select(
-        "cell",
-        F.pmod(F.xxhash64("id"), blocks[F.col("cell")]).cast("int").alias("block"),
-        F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"),
-        "id", "vec",
-    )
-    right = placed.where(F.col("cell").isin(sorted(query_blocks))).select(
-        "cell",
-        F.explode(F.sequence(F.lit(0), blocks[F.col("cell")] - 1)).alias("block"),
-        F.pmod(F.xxhash64("id", F.lit(1)), chunk_count[F.col("cell")]).cast("int").alias("chunk"),
-        "id", "vec",
-    )
-
-    def compare(q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
-        if not len(q) or not len(p):
-            return pd.DataFrame({"id": [], "other": [], "distance": []})
-        gap = _distances(np.stack(q["vec"].to_numpy()), np.stack(p["vec"].to_numpy()))
-        names = p["id"].to_numpy(dtype=str)
-        by_name = np.argsort(names, kind="stable")
-        gap, names = gap[:, by_name], names[by_name]
-        best = np.argsort(gap, axis=1, kind="stable")[:, :k]
-        return pd.DataFrame(
-            {
-                "id": np.repeat(q["id"].to_numpy(), best.shape[1]),
-                "other": names[best.ravel()],
-                "distance": np.take_along_axis(gap, best, 1).ravel(),
-            }
-        )
-
-    keys = ["cell", "block", "chunk"]
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(compare, "id string, other string, distance double")
-    rank = F.row_number().over(Window.partitionBy("id").orderBy("distance", "other"))
-    return found.withColumn("_r", rank).where(F.col("_r") <= k).drop("_r")
-
-
-def _column(rows, cells, name: str) -> np.ndarray:
-    by_cell = {r["cell"]: r[name] for r in rows}
-    return np.array([by_cell[c] for c in cells])
-
-
 def _weighted_neighbours(found: DataFrame, points: DataFrame, k: int) -> DataFrame:
     """Neighbour positions [start, stop) of each id; copies of a point count each."""
     weights = points.select(F.col("id").alias("other"), F.col("class").alias("other_class"), F.col("copies").alias("w"))

@@ -123,6 +123,33 @@ def test_nearest_equals_brute_force_with_a_hot_cluster(spark):
         assert np.allclose(sorted(got[i]), want)
 
 
+def test_compared_distances_grow_slower_than_the_square(spark):
+    rng = np.random.default_rng(6)
+    met = []
+    for n in (400, 1600):
+        points = rng.random((n, 2))
+        # Ids follow the place, so that the first ids lie together.
+        points = points[np.argsort(points[:, 0])]
+        df = spark.createDataFrame([(f"{i:05d}", [float(x) for x in p]) for i, p in enumerate(points)], "id string, vec array<double>")
+        counter = spark.sparkContext.accumulator(0)
+        got = {}
+        for r in nearest(df, df, 3, chunk=20, counter=counter).collect():
+            got.setdefault(int(r["id"]), []).append((r["distance"], int(r["other"])))
+        gap = np.sqrt(((points[:, None, :] - points[None, :, :]) ** 2).sum(-1))
+        want = np.argsort(gap, axis=1, kind="stable")[:, :3]
+        assert all(sorted(got[i]) == [(gap[i, j], j) for j in want[i]] for i in range(n))
+        met.append(counter.value)
+    assert met[0] < 400 * 400 / 2 and met[1] < 1600 * 1600 / 8 and met[1] < 8 * met[0]
+
+
+def test_nearest_of_few_equal_and_no_points(spark):
+    line = spark.createDataFrame([("a", [0.0]), ("b", [1.0]), ("c", [1.0]), ("d", [5.0])], "id string, vec array<double>")
+    got = [(r["id"], r["other"], r["distance"]) for r in nearest(line, line, 3, chunk=1).collect()]
+    assert sorted(g for g in got if g[0] in "ad") == [("a", "a", 0.0), ("a", "b", 1.0), ("a", "c", 1.0), ("d", "b", 4.0), ("d", "c", 4.0), ("d", "d", 0.0)]
+    assert nearest(line, line.where("id = 'd'"), 3).count() == 4
+    assert nearest(line, line.limit(0), 3).count() == 0 and nearest(line.limit(0), line, 3).count() == 0
+
+
 def test_oversampled_rows_lie_between_class_rows(spark):
     rows = [(i, float(i), 0.0, 0) for i in range(30)] + [(100 + i, 50.0, 1.0, 1) for i in range(6)] + [(200, 60.0, 1.0, 1)]
     df = spark.createDataFrame(rows, "id int, x double, z double, y int")
