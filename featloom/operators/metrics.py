@@ -6,7 +6,6 @@ import math
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +13,7 @@ from featloom.core import beside, checkpointed, clean, col, rows_frame, safe_div
 from featloom.functions.ordering import SMALL_ROWS, quantiles, range_tagged, running_sums
 from featloom.operators.prepare import bin_index
 from featloom.operators.profile import value_counts
+from featloom.operators.set_similarity import mean_jaccard
 
 
 # ---------------------------------------------------------- classification
@@ -175,56 +175,6 @@ def top_mean(df: DataFrame, value: str, k: int = 10) -> DataFrame:
 
 
 # --------------------------------------------------------- reproducibility
-def mean_jaccard(
-    df: DataFrame, run: str, members: str, empty_union: float = 0.0, single: float | None = 1.0, block: int = 1_000
-) -> DataFrame:
-    """Mean pairwise Jaccard similarity of the member arrays of all runs.
-
-    Equal sets are collapsed first. The distinct sets are compared block
-    against block inside tasks; a task emits one weighted sum, never pairs.
-    """
-    sets = df.select(
-        col(run).alias("run"), F.sort_array(F.array_distinct(F.coalesce(col(members), F.array()))).alias("s")
-    ).groupBy("s").agg(F.count("*").alias("w"))
-    counted = sets.agg(F.count("*").alias("m"), F.coalesce(F.sum("w"), F.lit(0)).alias("n")).first()
-    m, n = counted["m"], counted["n"]
-    spark = df.sparkSession
-    if n < 2:
-        return rows_frame(spark, [(n, single)], "runs long, mean_jaccard double")
-    blocks = max(1, math.ceil(m / block))
-    own = F.pmod(F.xxhash64("s"), F.lit(blocks)).cast("int")
-    # every block meets every block exactly once: (own, other) in ascending order
-    others = F.sequence(F.lit(0), F.lit(blocks - 1))
-    spread = sets.select(F.col("s"), F.col("w"), own.alias("b"), F.explode(others).alias("o")).select(
-        F.least("b", "o").alias("x"), F.greatest("b", "o").alias("y"), "b", "s", "w"
-    )
-
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, y = int(pdf["x"].iloc[0]), int(pdf["y"].iloc[0])
-        names = {v: i for i, v in enumerate(sorted({e for s in pdf["s"] for e in s}))}
-        member = np.zeros((len(pdf), max(len(names), 1)))
-        for i, s in enumerate(pdf["s"]):
-            member[i, [names[e] for e in s]] = 1.0
-        w, b = pdf["w"].to_numpy(dtype=float), pdf["b"].to_numpy()
-        left, right = (b == x), (b == y)
-        inter = member[left] @ member[right].T
-        size = member.sum(1)
-        union = size[left][:, None] + size[right][None, :] - inter
-        score = np.where(union > 0, inter / np.maximum(union, 1), empty_union)
-        weight = np.outer(w[left], w[right])
-        total = float((score * weight).sum())
-        if x == y:
-            # unordered pairs: drop self pairs, halve the rest, add copies of one set
-            same = np.diag(score)
-            mine = w[left]
-            total = (total - float((same * mine * mine).sum())) / 2 + float((same * mine * (mine - 1)).sum()) / 2
-        return pd.DataFrame({"total": [total]})
-
-    sums = spread.groupBy("x", "y").applyInPandas(compare, "total double")
-    pairs = n * (n - 1) / 2
-    return sums.agg(F.lit(n).cast("long").alias("runs"), (F.coalesce(F.sum("total"), F.lit(0.0)) / F.lit(pairs)).alias("mean_jaccard"))
-
-
 def reproducibility(df: DataFrame, run: str, features: str, f1: str) -> DataFrame:
     """Column-set Jaccard and the spread of feature counts and F1 over runs."""
     spread = df.agg(

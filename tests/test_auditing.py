@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -101,3 +103,37 @@ def test_jaccard_blocks_and_edge_rules(spark):
     empty = spark.createDataFrame([(1, []), (2, [])], "i int, s array<string>")
     assert m.mean_jaccard(empty, "i", "s").first()["mean_jaccard"] == 0.0
     assert m.mean_jaccard(empty, "i", "s", empty_union=1.0).first()["mean_jaccard"] == 1.0
+
+
+def _brute_jaccard(sets, empty_union):
+    total, n = 0.0, len(sets)
+    for i in range(n):
+        for j in range(i):
+            union = sets[i] | sets[j]
+            total += len(sets[i] & sets[j]) / len(union) if union else empty_union
+    return total / (n * (n - 1) / 2)
+
+
+@pytest.mark.parametrize("block", [3, 1000])
+def test_mean_jaccard_equals_all_pairs(spark, block):
+    rng = random.Random(block)
+    sets = [rng.sample(range(40), rng.randrange(7)) + rng.choice([[], [99], [1000 + i]]) for i in range(150)]
+    sets += [[], [], sets[3], sets[3], list(range(40))]
+    df = spark.createDataFrame([(i, s + s[:1]) for i, s in enumerate(sets)] + [(900, None)], "i int, s array<int>").repartition(5)
+    for empty_union in (0.0, 1.0):
+        got = m.mean_jaccard(df, "i", "s", empty_union=empty_union, block=block).first()
+        assert got["runs"] == len(sets) + 1
+        assert got["mean_jaccard"] == pytest.approx(_brute_jaccard([set(s) for s in sets] + [set()], empty_union), rel=1e-12)
+
+
+def test_many_nearly_disjoint_sets(spark):
+    n = 100_000
+    # Neighbours share one of four elements; one set in a hundred holds a common element as well.
+    ids = spark.range(n).repartition(8)
+    own = F.array(F.col("id") * 3, F.col("id") * 3 + 1, F.col("id") * 3 + 2, F.col("id") * 3 + 3)
+    sets = ids.select("id", F.when(F.col("id") % 100 == 0, F.concat(own, F.array(F.lit(-1).cast("long")))).otherwise(own).alias("s"))
+    got = m.mean_jaccard(sets, "id", "s").first()["mean_jaccard"]
+    common = n // 100
+    plain, touched = n - 1 - (2 * common - 1), 2 * common - 1
+    total = plain / 7 + touched / 8 + common * (common - 1) / 2 / 9
+    assert got == pytest.approx(total / (n * (n - 1) / 2), rel=1e-9)
