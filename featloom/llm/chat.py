@@ -74,7 +74,9 @@ def formatted(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", ro
         col(conv).alias("conv_id"), F.floor(col(turn) / SEGMENT).alias("segment"), col(turn).cast("long").alias("turn"),
         escaped(col(role)).alias("role"), body.alias("body"), files.alias("files"))
     one = F.struct("turn", "role", "body", "files")
-    grouped = rows.groupBy("conv_id", "segment").agg(F.sort_array(F.collect_list(one)).alias("turns"))
+    # Equal turns are ordered by what was said, not by its escaped form; the plain form is made again after the shuffle.
+    told = F.transform(F.collect_list(one), lambda t: F.struct(t["turn"], unescaped(t["role"]).alias("own_role"), unescaped(t["body"]).alias("said"), t["role"], t["body"], t["files"]))
+    grouped = rows.groupBy("conv_id", "segment").agg(F.sort_array(told).alias("turns"))
     head = F.length(F.lit(TURN)) + F.length(F.lit(SAYS))
     wrapped = F.transform("turns", lambda t: F.concat(F.lit(TURN), t["role"], F.lit(SAYS), t["body"], F.lit(END)))
     sized = grouped.select("conv_id", "segment", "turns", F.array_join(wrapped, "").alias("text"))

@@ -7,14 +7,17 @@ steps, so a very large host meets in a few rows. On how many different pages of
 elements is counted exactly, with partial sums.
 
 A slot is template if its element or its class says so (menus, forms, notices, ...), if most of its text outside articles is link text, or
-if one and the same text recurs in most pages of the host; what varies is content. If a page has article elements, only
-what lies in them counts, and what holds one is no template; else all content does.
+if one and the same text recurs in most pages of the host; what varies is content. Inside an article the words of `DOUBTFUL`
+name no template. If a page has an article element outside comments, teasers and asides, only what lies in it counts, and
+what is around it is no template, whatever its class says; else all content does. Articles inside an article's comments or
+asides go with them.
 
 Texts: character references are decoded, comments, scripts, styles and markup are dropped, white space inside a block
 becomes one space, and blocks are joined by line breaks in page order.
 
 Defined cases: null and empty pages have an empty text; a page without any element is one block; unclosed and stray
-tags are tolerated; a null URL or one without a host belongs to the host of the empty name; repeated pages count once
+tags are tolerated; elements nested deeper than `DEEPEST` become children of the element at that depth, in page order,
+each named by its outermost template or article below it, so that no text is lost; a null URL or one without a host belongs to the host of the empty name; repeated pages count once
 where recurring texts are told from content; very long pages are read whole; further columns are ignored.
 """
 
@@ -24,6 +27,7 @@ import html
 import json
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 import pyarrow as pa
@@ -38,7 +42,7 @@ from featloom.llm.base import ascii_lower, picked, query, stored, table
 BLOCKS = set("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 "
              "header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead title tr ul".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = set("script style noscript template textarea iframe object svg math title select button canvas audio video".split())
+RAW = set("script style noscript template textarea iframe object svg title select button canvas audio video".split())
 DROPPED = set("nav header footer aside form menu dialog search fieldset".split()) | RAW
 ARTICLE = set("article main".split())
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
@@ -47,6 +51,11 @@ ENDS_P = BLOCKS - {"body", "html", "caption", "legend", "summary"}
 MARKS = set("ad ads advert advertisement adverts advertising banner sponsor sponsored promo promotion menu nav navbar navigation breadcrumb breadcrumbs header masthead footer "
             "sidebar aside widget notice notices cookie cookies consent gdpr alert popup modal overlay subscribe newsletter signup login form search share sharing social "
             "comment comments disqus reply replies respond related recommended pagination pager tags copyright legal skip toolbar topbar".split())
+# Words that name template around an article, but may name its own parts inside.
+DOUBTFUL = set("legal search header masthead copyright tags toolbar".split())
+# Words and elements of what stands beside the article, even if it holds articles itself.
+BESIDE = set("comment comments disqus reply replies respond related recommended sidebar aside widget teaser teasers".split())
+BESIDE_TAGS = set("aside nav footer".split())
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(script|style|textarea|title|noscript|iframe|template)\b[^>]*>(.*?)(?:</\1\s*>|\Z)"
@@ -54,18 +63,22 @@ TOKEN = re.compile(
 MARK = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
+#: Depth of the tree of a page.
+DEEPEST = 100
 #: Different pages of a host, and share of them, that must have a text before it is template.
 LEAST_PAGES, MOSTLY = 6, 0.6
 
 
 class Node:
-    __slots__ = ("key", "kids", "links", "mark", "own", "tag")
+    __slots__ = ("holder", "key", "mark", "own", "tag")
 
     def __init__(self, tag: str, mark: str = ""):
         self.tag, self.mark = tag, mark
         self.key = f"{tag}.{mark}" if mark else tag
         # Texts of the blocks and child nodes, in page order; length of link text by block.
         self.own: list[tuple[str, int] | Node] = []
+        # Below the deepest level: the element that says what the texts of this one are.
+        self.holder: Node | None = None
 
 
 def parsed(page: str) -> Node:
@@ -79,7 +92,11 @@ def parsed(page: str) -> Node:
         nonlocal linked
         if parts:
             text = " ".join("".join(parts).split())
-            if text:
+            if text and len(stack) - 1 > DEEPEST:
+                held = Node(stack[-1].holder.tag, stack[-1].holder.mark)
+                held.own.append((text, linked))
+                stack[DEEPEST].own.append(held)
+            elif text:
                 stack[-1].own.append((text, linked))
             parts.clear()
         linked = 0
@@ -144,7 +161,12 @@ def parsed(page: str) -> Node:
             if tag != "hr":
                 mark = " ".join(sorted({v.strip("\"'").lower() if k.lower() == "role" else v.strip("\"'") for k, v in MARK.findall(attributes)})) if attributes else ""
                 node = Node(tag, re.sub(r"\d+", "0", mark))
-                stack[-1].own.append(node)
+                if len(stack) > DEEPEST:
+                    above = stack[-1].holder
+                    weight = [0 if n is None else 2 if named_template(n.key) else n.tag in ARTICLE for n in (above, node)]
+                    node.holder = above if above is not None and weight[0] >= max(weight[1], 1) else node
+                else:
+                    stack[-1].own.append(node)
                 stack.append(node)
     say(page[at:])
     flush()
@@ -174,6 +196,11 @@ def aligned(a: list[Slot], b: list[Slot]) -> list[tuple[int, int]]:
     """Simple tree matching of two ordered lists of children: the pairs of a largest matching."""
     if [x.key for x in a] == [y.key for y in b]:
         return [(i, i) for i in range(len(a))]
+    return _alignment(a, b)[0]
+
+
+def _alignment(a: list[Slot], b: list[Slot]) -> tuple[list[tuple[int, int]], int]:
+    """The pairs of a largest matching and its number of nodes."""
     best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     size = {}
     for i, x in enumerate(a):
@@ -190,14 +217,16 @@ def aligned(a: list[Slot], b: list[Slot]) -> list[tuple[int, int]]:
             i, j = i - 1, j - 1
             if size[i, j]:
                 pairs.append((i, j))
-    return pairs[::-1]
+    return pairs[::-1], best[len(a)][len(b)]
 
 
 def matched(a: Slot, b: Slot) -> int:
     """Number of nodes of a largest matching of two trees."""
     if a.key != b.key:
         return 0
-    return 1 + sum(matched(a.kids[i], b.kids[j]) for i, j in aligned(a.kids, b.kids))
+    if [x.key for x in a.kids] == [y.key for y in b.kids]:
+        return 1 + sum([matched(x, y) for x, y in zip(a.kids, b.kids, strict=True)])
+    return 1 + _alignment(a.kids, b.kids)[1]
 
 
 def fold(into: Slot, other: Slot) -> None:
@@ -281,18 +310,33 @@ def wrapper_of(root: Node) -> Slot:
     return single(root.key, [root])
 
 
-def named_template(key: str) -> bool:
+@lru_cache(1 << 16)
+def _words(key: str) -> tuple[str, frozenset[str]]:
     tag, _, mark = key.partition(".")
+    return tag, frozenset(p.lower() for p in PARTS.findall(mark))
+
+
+def named_template(key: str, article: bool = False) -> bool:
+    """Element or class say template; `article`: inside an article."""
+    tag, words = _words(key)
     if tag in DROPPED:
         return True
-    return tag not in ("body", "html", *ARTICLE) and any(p.lower() in MARKS for p in PARTS.findall(mark))
+    if tag in ARTICLE:
+        return bool(words & BESIDE)
+    return tag not in ("body", "html") and bool(words & (MARKS - DOUBTFUL if article else MARKS))
+
+
+def beside(key: str) -> bool:
+    """What stands beside the article, whatever it holds."""
+    tag, words = _words(key)
+    return tag in BESIDE_TAGS or bool(words & BESIDE and tag not in ("body", "html"))
 
 
 def verdicts(slot: Slot, article: bool = False) -> list:
     """The wrapper as [key, template, children], without its figures. Inside an article link text is as good as other text."""
     links = linked(slot)
     tag = slot.key.partition(".")[0]
-    template = named_template(slot.key) or (not article and tag in BLOCKS and tag not in ("body", "html", *ARTICLE) and links[0] > 0 and links[1] >= 0.6 * links[0])
+    template = named_template(slot.key, article) or (not article and tag in BLOCKS and tag not in ("body", "html", *ARTICLE) and links[0] > 0 and links[1] >= 0.6 * links[0])
     return [slot.key, template, [verdicts(k, article or tag in ARTICLE) for k in slot.kids]]
 
 
@@ -305,7 +349,16 @@ def linked(slot: Slot) -> tuple[int, int]:
 
 
 def has_article(node: Node) -> bool:
-    return any(not isinstance(c, tuple) and (c.tag in ARTICLE or has_article(c)) for c in node.own)
+    """An article outside of what stands beside it."""
+    for c in node.own:
+        if not isinstance(c, tuple) and not (beside(c.key) and not _around(c)) and (c.tag in ARTICLE or has_article(c)):
+            return True
+    return False
+
+
+def _around(node: Node) -> bool:
+    """A layout element whose class mentions what it puts beside the article, as in `with-sidebar`, holds a main element."""
+    return node.tag not in BESIDE_TAGS and any(not isinstance(c, tuple) and (c.tag == "main" or _around(c)) for c in node.own)
 
 
 def content(root: Node, wrapper: list | None, recurring: frozenset[int] = frozenset()) -> str:
@@ -325,8 +378,9 @@ def content(root: Node, wrapper: list | None, recurring: frozenset[int] = frozen
                     text, links = child
                     if (article or (not inside and links < max(1, 0.9 * len(text)))) and not (recurring and place(at, text) in recurring):
                         out.append(text)
-                elif not (slot[1] if slot else named_template(child.key)) or (inside and has_article(child)):
-                    # What holds an article is no template, whatever its class says.
+                elif not (slot[1] if slot else named_template(child.key, article)) or (
+                        inside and not article and not (beside(child.key) and not _around(child)) and has_article(child)):
+                    # What holds the article is no template, whatever its class says.
                     walk(child, slot[2] if slot else [], article or child.tag in ARTICLE, at)
 
     walk(root, wrapper[2] if wrapper else [], False, 0)

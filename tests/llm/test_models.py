@@ -90,9 +90,11 @@ def test_toxic_words_are_learned(spark):
 
 def test_pieces_of_a_long_text_score_like_the_whole():
     model = toxicity.Convolution()
-    words = [b"w%d" % (i % 977) for i in range(3 * toxicity.PIECE + 17)]
-    whole = model.pooled(model.products(np.array([toxicity.buckets_of(w) for w in words])))
-    assert math.isclose(toxicity._margin(model, toxicity.WordRows(model), words), float(model.margin(whole)), rel_tol=1e-4)
+    step = toxicity.PIECE - max(toxicity.WIDTHS) + 1
+    for n in (3 * toxicity.PIECE + 17, 1, 2, step, step + 1, step + 2, step + 3, 2 * step + 1, 2 * step + 2):
+        words = [b"w%d" % (i % 977) for i in range(n)]
+        whole = model.pooled(model.products(np.array([toxicity.buckets_of(w) for w in words])))
+        assert math.isclose(toxicity._margin(model, toxicity.WordRows(model), words), float(model.margin(whole)), rel_tol=1e-4)
 
 
 def test_url_rules_and_parts(spark):

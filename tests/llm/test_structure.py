@@ -200,6 +200,64 @@ def test_mixture_defined_cases(spark):
     assert len(rows) == len(docs) and not any(r["__taken"] for r in rows if r["doc_id"] >= 900)
     taken = sum(r["__tokens"] for r in rows if r["__taken"])
     assert 0.4 < taken / sum(r["__tokens"] for r in rows) < 0.6
+    # No listed language: what the listed ones leave.
+    assert any(r["__taken"] and r["lang"] is None for r in rows)
     sample = mixture.mixed_sample(frame, budget=0.5)
     assert sample.columns == frame.columns and sample.count() == sum(r["__taken"] for r in rows)
     assert mixture.mixed_sample(frame.limit(0)).count() == 0 and mixture.mixed_sample(frame.where("doc_id >= 900")).count() == 0
+
+
+def test_deeply_nested_pages():
+    """No depth ends the query, and no text or its order is lost."""
+    for depth in (90, 120, 500, 20_000):
+        page = "<html><body>" + "".join(f"<div><p>t{i}</p>" for i in range(depth)) + "middle" + "".join("</div>" + ("end" if i == depth - 1 else "") for i in range(depth)) + "</body></html>"
+        root = html.parsed(page)
+        assert html.content(root, html.verdicts(html.wrapper_of(root))) == "\n".join([*(f"t{i}" for i in range(depth)), "middle", "end"])
+    deep = "<div>" * 300 + '<nav>menu</nav><article>main <p>text</p><div class="comments"><p>no</p></div></article>' + "</div>" * 300 + "<footer>foot</footer>"
+    assert html.content(html.parsed(deep), None) == "main\ntext"
+
+
+def test_matching_of_nested_lists_stays_cheap():
+    a = b = html.Slot("p")
+    for _ in range(60):
+        x, y = html.Slot("div"), html.Slot("div")
+        x.kids, y.kids = [a], [html.Slot("ul"), b]
+        a, b = x, y
+    assert html.matched(a, b) == 61
+
+
+def test_comments_and_teasers_written_as_articles_go():
+    page = ('<article><p>Main</p><section class="comments"><article><p>Reader comment</p></article></section><article class="comment"><p>Another</p></article></article>'
+            '<aside class="related"><article>Teaser</article></aside><div class="related"><article>Teaser</article></div>')
+    assert html.content(html.parsed(page), None) == "Main"
+    assert html.content(html.parsed('<div><p>Main text</p></div><aside><article>Teaser</article></aside>'), None) == "Main text"
+    inner = '<article><div class="section-header"><h2>Part</h2></div><div class="legal">Clause</div><p class="search">Found</p><p>x <math><mi>y</mi></math></p><div class="share">share</div></article>'
+    assert html.content(html.parsed(inner), None) == "Part\nClause\nFound\nx y"
+
+
+def test_extraction_equals_a_plain_reading(spark):
+    """The pages of the small table against the text of their one article or content element, found by plain search."""
+    import html as names
+    import re
+
+    folder = "/root/testdata/sf0.001"
+    pages = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{folder}/pages.parquet").collect()}
+    got = {r["page_id"]: r["text"] for r in QUERIES["op8_html_text"](spark, folder).collect()}
+    met = 0
+    for i, page in pages.items():
+        found = re.findall(r"<article\b[^>]*>(.*?)</article>", page or "", re.S)
+        if len(found) == 1 and not re.search(r"<(?:script|style|form|nav|aside|footer|header)\b|<!--", found[0]):
+            blocks = [" ".join(names.unescape(re.sub(r"<[^>]*>", "", b)).split()) for b in re.split(r"</?(?:p|h[1-6]|div|ul|ol|li|table|tr|td|th|blockquote|pre|section)\b[^>]*>", found[0])]
+            own = [b for b in blocks if b]
+            # Notices that recur over a host may be missing; nothing else may, and nothing may be added.
+            lines = got[i].split("\n")
+            assert set(lines) <= set(own) and len(own) - len(lines) <= 1
+            met += 1
+    assert met > 0 or not any("<article" in (p or "") for p in pages.values())
+
+
+def test_equal_turns_are_ordered_by_what_was_said(spark):
+    rows = [(1, 5, "assistant", "[Z"), (1, 5, "assistant", "[INST]"), (1, 5, "<|end|>", "a"), (1, 5, "<z", "b"), (1, None, "user", "<<SYS>>"), (1, None, "user", "<A")]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("parts", chat.text_part(F.col("text")))
+    out = chat.formatted(frame).select(chat.turns_of(F.col("formatted")).alias("t")).first()["t"]
+    assert [(t["role"], t["text"]) for t in out] == [(r, t) for _, _, r, t in sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0, r[2], r[3]))]
