@@ -16,10 +16,6 @@ from featloom.llm.mixture import TARGETS, mixed_sample
 from featloom.llm.neardup import without_near_duplicates
 from featloom.llm.passages import without_repeats
 
-#: Share of the languages that the mix does not list, null among them; it is dealt by their tokens.
-OTHER_LANGS = 0.05
-MIX = {**TARGETS, "lang": {k: v * (1 - OTHER_LANGS) for k, v in TARGETS["lang"].items()}}
-
 
 def _measured(docs: DataFrame) -> DataFrame:
     return docs.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else docs
@@ -47,7 +43,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents are sampled so that sources, languages and topics meet their target weights; unlisted languages keep a share."""
-    return mixed_sample(docs, targets=MIX)
+    return mixed_sample(docs, targets=TARGETS)
 
 
 STAGES = [
