@@ -113,41 +113,59 @@ def test_url_rules_and_parts(spark):
     assert urls.judged(pages.limit(0)).count() == 0
 
 
-def brute_ratios(labelled):
-    """Witten-Bell mixtures counted in dictionaries: per run of three the log ratio."""
+def brute_ratios(labelled, order, alphabet):
+    """Witten-Bell mixtures counted in dictionaries: per run of `order` characters the log ratio."""
     chance = {}
     for verdict in ("allow", "block"):
         counts = {}
         for text, v in labelled:
             if v == verdict:
-                padded = "^^" + text
-                for i in range(len(text)):
-                    for k in (1, 2, 3):
-                        counts.setdefault(padded[i + 3 - k : i + 2], {}).setdefault(padded[i + 2], 0)
-                        counts[padded[i + 3 - k : i + 2]][padded[i + 2]] += 1
+                padded = urls.START * (order - 1) + text
+                for end in range(order - 1, len(padded)):
+                    for k in range(order):
+                        after = counts.setdefault(padded[end - k : end], {})
+                        after[padded[end]] = after.get(padded[end], 0) + 1
 
         def p(run, counts=counts):
-            lower = 1 / urls.ALPHABET
-            for k in (1, 2, 3):
-                seen = counts.get(run[3 - k : 2], {})
+            lower = 1 / alphabet
+            for k in range(order):
+                seen = counts.get(run[order - 1 - k : order - 1], {})
                 if seen:
-                    lower = (seen.get(run[2], 0) + len(seen) * lower) / (sum(seen.values()) + len(seen))
+                    lower = (seen.get(run[-1], 0) + len(seen) * lower) / (sum(seen.values()) + len(seen))
             return lower
 
         chance[verdict] = p
     return lambda run: math.log(chance["allow"](run)) - math.log(chance["block"](run))
 
 
-def test_url_scores_equal_brute_force(spark):
+def check_urls(rows, got, order):
     from zlib import crc32
 
-    rows = [(r["page_id"], r["url"]) for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "url").collect()]
-    got = {r["page_id"]: r for r in QUERIES["op7_url_filter"](spark, "/root/testdata/sf0.01").collect()}
-    assert len(got) == len(rows)
-    clean = {i: "".join(c if c in urls.SYMBOLS else "*" for c in u.lower()) for i, u in rows}
-    ratio = brute_ratios([(clean[i], got[i]["verdict"]) for i, _ in rows if got[i]["rule"] and crc32(str(i).encode()) % 4 != 2])
-    score = {i: np.mean([ratio(("^^" + t)[k : k + 3]) for k in range(len(t))]) for i, t in clean.items()}
+    clean = {i: "".join(c.lower() if c.isascii() else c for c in u or "") for i, u in rows}
+    labelled = [(clean[i], got[i]["verdict"]) for i, _ in rows if got[i]["rule"] and crc32(str(i).encode()) % 4 != 2]
+    ratio = brute_ratios(labelled, order, len(set("".join(clean.values()))) + 1)
+    padded = {i: urls.START * (order - 1) + t for i, t in clean.items()}
+    score = {i: np.mean([ratio(padded[i][k : k + order]) for k in range(len(t))]) if t else 0.0 for i, t in clean.items()}
     assert all(abs(got[i]["log_ratio"] - s) < 2e-6 for i, s in score.items())
     allowed = [s for i, s in score.items() if not got[i]["rule"] and got[i]["verdict"] == "allow"]
     blocked = [s for i, s in score.items() if not got[i]["rule"] and got[i]["verdict"] == "block"]
     assert not allowed or not blocked or min(allowed) >= max(blocked) - 1e-6
+
+
+def test_url_scores_equal_brute_force(spark):
+    rows = [(r["page_id"], r["url"]) for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "url").collect()]
+    got = {r["page_id"]: r for r in QUERIES["op7_url_filter"](spark, "/root/testdata/sf0.01").collect()}
+    assert len(got) == len(rows)
+    check_urls(rows, got, urls.ORDER)
+
+
+def test_rare_runs_meet_their_ratios_in_a_shuffle(spark):
+    rng = random.Random(7)
+    ends = ["org/ä", "com/fr/b+~", "com/de/casino", "com/x@;", "net/ü,", ""]
+    rows = [(i, f"HTTP://{rng.choice('abc')}{rng.randrange(30)}.{rng.choice(ends)}{rng.randrange(999)}") for i in range(160)] + [(900, ""), (901, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    # With a common share of a twentieth hardly a run is common.
+    for order, common in ((4, 20), (1, 3)):
+        got = {r["page_id"]: r for r in urls.judged(pages, order=order, common=common).collect()}
+        assert len(got) == len(rows)
+        check_urls(rows, got, order)
