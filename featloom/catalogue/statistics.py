@@ -78,6 +78,29 @@ def v6(spark, d):
     return shaped(m.missing_rate(lines(spark, d)))
 
 
+_RUNS = "(SELECT l_linenumber AS run, CAST(l_returnflag = 'R' AS INTEGER) AS truth, CAST(l_discount > 0.05 AS INTEGER) AS guess, l_extendedprice / 1000000 AS score, l_quantity FROM lineitem)"
+
+
+@query(
+    "v8_evaluate_runs",
+    f"""WITH s AS {_RUNS}, g AS (SELECT run, score, count(*) AS k, sum(truth) AS p FROM s GROUP BY ALL),
+    r AS (SELECT run, k, p, sum(k) OVER (PARTITION BY run ORDER BY score ROWS UNBOUNDED PRECEDING) - (k - 1) / 2 AS rank, sum(p) OVER w / sum(k) OVER w AS precision
+      FROM g WINDOW w AS (PARTITION BY run ORDER BY score DESC ROWS UNBOUNDED PRECEDING)),
+    a AS (SELECT run, (sum(p * rank) - sum(p) * (sum(p) + 1) / 2) / (CAST(sum(p) AS DOUBLE) * (sum(k) - sum(p))) AS auroc, sum(p * precision) / sum(p) AS pr_auc FROM r GROUP BY run),
+    c AS (SELECT run, count(*) AS rows, avg(CAST(l_quantity = 50 AS INTEGER)) / 2 AS missing_rate, avg(pow(score - truth, 2)) AS brier, sqrt(avg(pow(guess - truth, 2))) AS rmse,
+      count(*) FILTER (WHERE truth = 1 AND guess = 1) AS tp, count(*) FILTER (WHERE truth = 0 AND guess = 0) AS tn, count(*) FILTER (WHERE truth = 0 AND guess = 1) AS fp, count(*) FILTER (WHERE truth = 1 AND guess = 0) AS fn FROM s GROUP BY run)
+    SELECT run, rows, round(missing_rate, 6) AS missing_rate, round(rmse, 6) AS rmse, round((tp + tn) / rows, 6) AS accuracy, round((tp / (tp + fn) + tn / (tn + fp)) / 2, 6) AS balanced_accuracy,
+      round(2 * tp / (2 * tp + fp + fn), 6) AS f1, round(tp / (tp + fp), 6) AS precision, round(tp / (tp + fn), 6) AS recall, round(tn / (tn + fp), 6) AS specificity,
+      round(auroc, 6) AS auroc, round(pr_auc, 6) AS pr_auc, round(brier, 6) AS brier FROM c JOIN a USING (run)""",
+)
+def v8_runs(spark, d):
+    lines = table(spark, d, "lineitem").select(
+        F.col("l_linenumber").alias("run"), (F.col("l_returnflag") == "R").cast("int").alias("truth"), (F.col("l_discount") > 0.05).cast("int").alias("guess"),
+        (F.col("l_extendedprice") / 1000000).alias("score"), F.when(F.col("l_quantity") != 50, F.col("l_quantity")).alias("quantity"),
+    )
+    return shaped(m.evaluate_runs(lines, ["run"], "truth", "guess", "score", ["quantity", "score"]).drop("probability_reason"))
+
+
 def _user_runs(spark, d):
     step = F.concat("event_type", F.when(F.col("value") < 8, (F.rint("value").cast("int") % 4).cast("string")).otherwise("high"))
     return table(spark, d, "events").groupBy("user_id").agg(

@@ -52,7 +52,7 @@ def string_columns(df: DataFrame, exclude: Iterable[str] = ()) -> list[str]:
 def require_columns(df: DataFrame, columns: Iterable[str]) -> None:
     missing = [c for c in columns if c not in df.columns]
     if missing:
-        raise ValueError(f"missing required columns: {missing}")
+        raise ValueError(f"the frame has no column {', '.join(map(repr, missing))}")
 
 
 def nan_to_null(df: DataFrame) -> DataFrame:

@@ -189,24 +189,30 @@ def running_sums(
     sums: dict[str, Column],
     rows: int | None = None,
     limit: int = SMALL_ROWS,
+    by: Sequence[str] = (),
 ) -> DataFrame:
-    """Add inclusive running totals of `sums` over a global order."""
-    tagged, parts = range_tagged(df, order, rows, limit)
+    """Add inclusive running totals of `sums` over a global order, or over an order in each group of `by`.
+
+    Ranges follow the groups first, so a hot group is spread over several of them.
+    """
+    groups = [col(b) for b in by]
+    tagged, parts = range_tagged(df, [*groups, *order], rows, limit)
     if parts == 1:
-        w = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        w = Window.partitionBy(*groups).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
         return df.select("*", *[F.sum(c).over(w).alias(n) for n, c in sums.items()])
-    w = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    totals = tagged.groupBy("_part").agg(*[F.sum(c).alias(n) for n, c in sums.items()])
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(
-        "_part", *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"_before_{n}") for n in sums]
-    )
+    w = Window.partitionBy("_part", *groups).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    names = [f"_of{i}" for i in range(len(groups))]
+    keys = [c.alias(n) for c, n in zip(groups, names, strict=True)]
+    totals = tagged.groupBy(F.col("_part").alias("_at"), *keys).agg(*[F.sum(c).alias(n) for n, c in sums.items()])
+    before = Window.partitionBy(*names).orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("_at", *names, F.count("*").over(before).alias("_earlier"), *[F.sum(n).over(before).alias(f"_before_{n}") for n in sums])
     local = tagged.select("*", *[F.sum(c).over(w).alias(n) for n, c in sums.items()])
-    # one row per range partition, so the broadcast side is bounded by `parts`
-    joined = local.join(F.broadcast(offsets), "_part")
+    # only a group that started in an earlier range has an offset: one at most for each range
+    offsets = F.broadcast(offsets.where("_earlier > 0").drop("_earlier"))
+    joined = local.join(offsets, _all([F.col("_part") == F.col("_at"), *[c.eqNullSafe(F.col(n)) for c, n in zip(groups, names, strict=True)]]), "left")
     return joined.select(
         *[col(c) for c in df.columns],
-        *[(F.col(n) + F.col(f"_before_{n}")).alias(n) for n in sums],
+        *[(F.col(n) + F.coalesce(F.col(f"_before_{n}"), F.lit(0))).alias(n) for n in sums],
     )
 
 

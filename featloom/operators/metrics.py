@@ -24,8 +24,15 @@ def _number(c: Column) -> Column:
     return c.cast("string").try_cast("double")
 
 
-def class_metrics(df: DataFrame, truth: str, prediction: str, weight: str | None = None) -> DataFrame:
-    """Label metrics over any classes, in one pass; `weight` counts a row several times.
+def _keys(by: Sequence[str]) -> tuple[list[Column], list[str], list[Column]]:
+    """Columns of `by` under names of their own, these names, and the way back."""
+    names = [f"_by{i}" for i in range(len(by))]
+    pairs = list(zip(by, names, strict=True))
+    return [col(b).alias(n) for b, n in pairs], names, [F.col(n).alias(b) for b, n in pairs]
+
+
+def class_metrics(df: DataFrame, truth: str, prediction: str, weight: str | None = None, by: Sequence[str] = ()) -> DataFrame:
+    """Label metrics over any classes, in one pass, for each group of `by`; `weight` counts a row several times.
 
     Accuracy is the share of equal labels and balanced accuracy the mean recall
     over the classes of the truth. The metrics of `BINARY_ONLY` see 1 as the
@@ -33,7 +40,8 @@ def class_metrics(df: DataFrame, truth: str, prediction: str, weight: str | None
     Zero denominators give 0.
     """
     n = F.count("*") if weight is None else F.sum(col(weight))
-    pairs = df.groupBy(col(truth).alias("t"), col(prediction).alias("p")).agg(n.alias("n"))
+    keys, names, back = _keys(by)
+    pairs = df.groupBy(*keys, col(truth).alias("t"), col(prediction).alias("p")).agg(n.alias("n"))
     t, p = F.col("t"), F.col("p")
     same = F.coalesce(_number(t) == _number(p), t.cast("string").eqNullSafe(p.cast("string")))
     is_ = lambda c, v: F.coalesce(_number(c) == v, F.lit(False))
@@ -41,11 +49,11 @@ def class_metrics(df: DataFrame, truth: str, prediction: str, weight: str | None
     for c in (t, p):
         known = known & (c.isNull() | is_(c, 0) | is_(c, 1))
     count = lambda where: F.sum(F.when(where, F.col("n")).otherwise(0))
-    by_class = pairs.groupBy("t").agg(
+    by_class = pairs.groupBy(*names, "t").agg(
         F.sum("n").alias("n"), count(same).alias("same"), F.bool_and(known).alias("known"), count(is_(t, 1) & is_(p, 1)).alias("tp"),
         count(is_(t, 0) & is_(p, 0)).alias("tn"), count(is_(t, 0) & is_(p, 1)).alias("fp"), count(is_(t, 1) & is_(p, 0)).alias("fn"),
     )
-    got = by_class.agg(
+    got = by_class.groupBy(*names).agg(
         F.sum("n").alias("n"), F.sum("same").alias("same"), F.bool_and("known").alias("known"),
         F.avg(F.when(t.isNotNull(), F.col("same") / F.col("n"))).alias("balanced"), *[F.sum(c).alias(c) for c in ("tp", "tn", "fp", "fn")],
     )
@@ -55,39 +63,43 @@ def class_metrics(df: DataFrame, truth: str, prediction: str, weight: str | None
         "recall": safe_divide(tp, tp + fn), "specificity": safe_divide(tn, tn + fp),
     }
     return got.select(
-        safe_divide(F.col("same"), F.col("n"), None).alias("accuracy"), F.coalesce("balanced", F.lit(0.0)).alias("balanced_accuracy"),
+        *back, safe_divide(F.col("same"), F.col("n"), None).alias("accuracy"), F.coalesce("balanced", F.lit(0.0)).alias("balanced_accuracy"),
         *[F.when(F.coalesce("known", F.lit(True)), two[m]).alias(m) for m in BINARY_ONLY],
     )
 
 
-def score_levels(df: DataFrame, truth: str, score: str, weight: str | None = None) -> DataFrame:
-    """Positives and negatives per distinct score, combined map-side."""
+def score_levels(df: DataFrame, truth: str, score: str, weight: str | None = None, by: Sequence[str] = ()) -> DataFrame:
+    """Positives and negatives per group and distinct score, combined map-side; groups are named `_by0`, `_by1`, ..."""
     t, n = col(truth), F.lit(1) if weight is None else col(weight)
-    return df.groupBy(clean(col(score)).alias("score")).agg(
+    return df.groupBy(*_keys(by)[0], clean(col(score)).alias("score")).agg(
         F.sum(F.when(t == 1, n).otherwise(0)).alias("pos"), F.sum(F.when(t == 0, n).otherwise(0)).alias("neg")
     )
 
 
-def ranking_metrics(df: DataFrame, truth: str, score: str, limit: int = SMALL_ROWS, weight: str | None = None) -> DataFrame:
-    """AUROC (tie-averaged), average precision and Brier score.
+def ranking_metrics(
+    df: DataFrame, truth: str, score: str, limit: int = SMALL_ROWS, weight: str | None = None, by: Sequence[str] = ()
+) -> DataFrame:
+    """AUROC (tie-averaged), average precision and Brier score, for each group of `by`.
 
     Running sums go over distinct descending scores, split over range
     partitions when there are many of them.
     """
-    levels = score_levels(df, truth, score, weight)
+    _, names, back = _keys(by)
+    levels = score_levels(df, truth, score, weight, by)
     steps = running_sums(
-        levels, [F.desc("score")], {"tp": F.col("pos"), "fp": F.col("neg")}, limit=limit
+        levels, [F.desc("score")], {"tp": F.col("pos"), "fp": F.col("neg")}, limit=limit, by=names
     )
     pos, neg = F.sum("pos"), F.sum("neg")
     # negatives ranked below a positive score count 1, tied ones 1/2
     area = F.sum(F.col("pos").cast("double") * (F.col("fp") - F.col("neg") / 2))
     precision = F.sum(F.col("pos").cast("double") * F.col("tp") / (F.col("tp") + F.col("fp")))
     squared = F.sum(F.col("pos") * F.pow(F.col("score") - 1, 2) + F.col("neg") * F.pow("score", 2))
-    got = steps.agg(
+    got = steps.groupBy(*names).agg(
         pos.alias("p"), neg.alias("n"), area.alias("area"), precision.alias("precision"), squared.alias("squared")
     )
     both = (F.col("p") > 0) & (F.col("n") > 0)
     return got.select(
+        *back,
         F.when(both, 1 - F.col("area") / (F.col("p") * F.col("n"))).alias("auroc"),
         F.when(both, F.col("precision") / F.col("p")).alias("pr_auc"),
         F.when(both, F.col("squared") / (F.col("p") + F.col("n"))).alias("brier"),
@@ -116,6 +128,36 @@ def rmse(df: DataFrame, truth: str, prediction: str) -> DataFrame:
     return df.agg(F.sqrt(F.avg(gap * gap)).alias("rmse"))
 
 
+def evaluate_runs(
+    df: DataFrame, by: Sequence[str], truth: str, prediction: str, score: str, inputs: Sequence[str] = (), limit: int = SMALL_ROWS
+) -> DataFrame:
+    """One row per run with its rows, share of missing input cells, label metrics, ranking metrics and root mean squared error.
+
+    The scored rows of all runs are read once: metrics and missing cells come from counts per run, truth, prediction
+    and score. A null run is a run of its own; no rows give no runs; without `inputs` the share is NULL.
+    """
+    by = list(by)
+    if not by:
+        raise ValueError("evaluate_runs needs at least one column that tells runs apart")
+    numeric = ("double", "float")
+    lost = [(clean(col(c)) if df.schema[c].dataType.typeName() in numeric else col(c)).isNull().cast("long") for c in inputs]
+    keys, names, back = _keys(by)
+    facts = [col(truth).alias("truth"), col(prediction).alias("prediction"), clean(col(score)).alias("score")]
+    counted = df.groupBy(*keys, *facts).agg(F.count("*").alias("n"), F.sum(sum(lost[1:], lost[0]) if lost else F.lit(0)).alias("lost"))
+    counted = checkpointed(counted)
+    gap, n = clean(F.col("prediction")) - clean(F.col("truth")), F.sum("n")
+    share = F.sum("lost") / (n * len(lost)) if lost else F.lit(None).cast("double")
+    known = F.sum(F.when(gap.isNotNull(), F.col("n")))
+    rows = counted.groupBy(*names).agg(n.alias("rows"), share.alias("missing_rate"), F.sqrt(F.sum(gap * gap * F.col("n")) / known).alias("rmse"))
+    labels = class_metrics(counted, "truth", "prediction", "n", by=names)
+    ranks = ranking_metrics(counted, "truth", "score", limit, "n", by=names)
+    for other in (labels, ranks):
+        twin = other.select(*[F.col(b).alias(f"{b}x") for b in names], *[c for c in other.columns if c not in names])
+        same = [F.col(b).eqNullSafe(F.col(f"{b}x")) for b in names]
+        rows = rows.join(twin, same).drop(*[f"{b}x" for b in names])
+    return rows.select(*back, *[c for c in rows.columns if c not in names])
+
+
 # fixed values: scorer names
 SCORERS = ["accuracy", "f1", "neg_root_mean_squared_error"]
 
@@ -244,7 +286,7 @@ def paired_summary(left: DataFrame, right: DataFrame, pair: str, value: str) ->
     diff = joined.select("pair", (F.col("a") - F.col("b")).alias("d"))
     got = diff.agg(F.count("*").alias("rows"), F.count("d").alias("n"), F.avg("d").alias("mean"), F.stddev_samp("d").alias("sd")).first()
     if got["rows"] == 0 or got["rows"] != got["n"]:
-        raise ValueError("paired samples must have equal non-zero length")
+        raise ValueError("a paired comparison takes one value on each side for every pair, and at least one pair")
     median = quantiles(diff, {"d": F.col("d")}, [0.5], rows=got["rows"])["d"][0]
     facts = signed_rank_facts(diff, "d").first()
     n, mean, sd = got["n"], got["mean"], got["sd"]

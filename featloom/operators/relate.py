@@ -233,7 +233,7 @@ def feature_definitions(
 ) -> list[Feature]:
     """Frozen definitions for the target entity; raw dates and texts are inputs only."""
     if target not in es.entities:
-        raise ValueError("target entity must be specified")
+        raise ValueError(f"name one of {sorted(es.entities)} as the target")
     unknown = [p for p in agg if p not in AGGREGATIONS] + [p for p in transform if p not in TRANSFORMS]
     if unknown:
         raise ValueError(f"unknown primitives: {unknown}")
@@ -425,7 +425,7 @@ def _distinct(features: Iterable[Feature]) -> list[Feature]:
 def compute_features(es: EntitySet, features: Sequence[Feature], sanitise: bool = False) -> DataFrame:
     """Key plus the defined columns, in definition order."""
     if not features:
-        raise ValueError("feature definitions must not be empty")
+        raise ValueError("there is no feature definition to apply")
     target = features[0].entity
     key = es.entities[target].key
     table = _Synthesis(es, features).entity_table(target, features)

@@ -34,7 +34,7 @@ def duplicate_keys(df: DataFrame, key: str) -> DataFrame:
 
 def _check_fraction(fraction: float) -> None:
     if not 0 < fraction < 1:
-        raise ValueError("test_size must be between zero and one")
+        raise ValueError(f"a share of test rows lies strictly between 0 and 1, not at {fraction}")
 
 
 def _first_rows(
