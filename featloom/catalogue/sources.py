@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from featloom.catalogue.base import query, shaped, table
 from featloom.core import rows_frame, scratch_path
 from featloom.sources import files, registry
+from featloom.sources.buckets import BucketedTable
 
 
 @query("a1_read_csv", "SELECT c_custkey, c_name, CAST(c_nationkey AS BIGINT) AS c_nationkey, c_acctbal, c_mktsegment FROM customer")
@@ -112,9 +113,9 @@ def a8(spark, d):
 
 
 def _fingerprint_sql(source: str, columns: list[str]) -> str:
-    cells = ", ".join(f"coalesce(CAST({c} AS VARCHAR), '\\N')" for c in columns)
+    cells = ", ".join(f"coalesce(length(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')" for c in columns)
     return f"""
-    WITH g AS (SELECT md5(concat_ws(chr(1), {cells})) AS h FROM {source}),
+    WITH g AS (SELECT md5(concat({cells})) AS h FROM {source}),
     s AS (SELECT count(*) AS rows, bit_xor(('0x' || substr(h, 1, 15))::BIGINT) AS x,
       sum(('0x' || substr(h, 17, 15))::BIGINT) AS y FROM g)
     SELECT rows, upper(md5(concat_ws('|', CAST(rows AS VARCHAR), CAST(x AS VARCHAR), CAST(y AS VARCHAR)))) AS md5"""
@@ -148,17 +149,16 @@ def a10(spark, d):
     return shaped(registry.dataset_info(fused))
 
 
-@query(
-    "a11_keyed_upsert",
-    """WITH u AS (SELECT o_orderkey, o_totalprice + 1 AS o_totalprice, 2 AS version FROM orders WHERE o_orderstatus = 'F'
+_UPSERT_SQL = """WITH u AS (SELECT o_orderkey, o_totalprice + 1 AS o_totalprice, 2 AS version FROM orders WHERE o_orderstatus = 'F'
       UNION ALL SELECT o_orderkey + 1000000000, o_totalprice, 1 FROM orders WHERE o_orderstatus = 'P'
       UNION ALL SELECT o_orderkey, o_totalprice + 5, 1 FROM orders WHERE o_orderstatus = 'F')
     SELECT o_orderkey, round(o_totalprice, 2) AS o_totalprice, CAST(0 AS BIGINT) AS version FROM orders
       WHERE o_orderkey NOT IN (SELECT o_orderkey FROM u)
     UNION ALL SELECT o_orderkey, round(o_totalprice, 2), CAST(version AS BIGINT) FROM u
-      WHERE NOT (version = 1 AND o_orderkey < 1000000000)""",
-)
-def a11(spark, d):
+      WHERE NOT (version = 1 AND o_orderkey < 1000000000)"""
+
+
+def _upserts(spark, d):
     orders = table(spark, d, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus", F.lit(0).alias("version"))
     done, part = orders.where("o_orderstatus = 'F'"), orders.where("o_orderstatus = 'P'")
     price = F.col("o_totalprice")
@@ -167,4 +167,19 @@ def a11(spark, d):
         .unionByName(part.select((F.col("o_orderkey") + 1000000000).alias("o_orderkey"), "o_totalprice", F.lit(1).alias("version")))
         .unionByName(done.select("o_orderkey", (price + 5).alias("o_totalprice"), F.lit(1).alias("version")))
     )
-    return shaped(registry.keyed_upsert(orders.drop("o_orderstatus"), updates, ["o_orderkey"], latest_by="version"), 2)
+    return orders.drop("o_orderstatus"), updates
+
+
+@query("a11_keyed_upsert", _UPSERT_SQL)
+def a11(spark, d):
+    orders, updates = _upserts(spark, d)
+    return shaped(registry.keyed_upsert(orders, updates, ["o_orderkey"], latest_by="version"), 2)
+
+
+@query("a11_bucket_merge", _UPSERT_SQL)
+def a11_buckets(spark, d):
+    orders, updates = _upserts(spark, d)
+    table_ = BucketedTable(spark, scratch_path(spark, "register"), ["o_orderkey"], buckets=32)
+    table_.merge(orders)
+    table_.merge(updates, latest_by="version")
+    return shaped(table_.read(), 2)

@@ -10,13 +10,12 @@ from pyspark.sql import types as T
 
 from featloom.core import col
 
-_NULL_MARK = "\\N"
-
 
 def row_digest(df: DataFrame) -> Column:
-    """MD5 of a row's values, unambiguous about NULL."""
-    parts = [F.coalesce(col(c).cast("string"), F.lit(_NULL_MARK)) for c in df.columns]
-    return F.md5(F.concat_ws("\u0001", *parts))
+    """MD5 of a row's values; every value is preceded by its length and NULL is a dash, so no two rows read alike."""
+    text = lambda c: col(c).cast("string")
+    parts = [F.coalesce(F.concat(F.length(text(c)).cast("string"), F.lit(":"), text(c)), F.lit("-")) for c in df.columns]
+    return F.md5(F.concat(*parts))
 
 
 def _digest_number(digest: Column, start: int) -> Column:
@@ -80,16 +79,25 @@ def dataset_info(df: DataFrame) -> DataFrame:
 def keyed_upsert(
     base: DataFrame, updates: DataFrame, keys: Sequence[str], latest_by: str | None = None
 ) -> DataFrame:
-    """Replace matched keys, insert new ones; the last update of a key wins."""
+    """Replace matched keys, insert new ones; null is a key like any other.
+
+    Of several updates of one key the one with the greatest `latest_by` wins, then the one with the greatest other values
+    in column order; null is the least value.
+    """
     keys = list(keys)
-    if latest_by:
+    rest = [c for c in updates.columns if c not in keys]
+    ids = [col(k) for k in keys]
+    if rest:
         # an aggregate, not a window: a hot key is reduced before the shuffle
-        rest = [c for c in updates.columns if c not in keys]
-        newest = F.max_by(F.struct(*[col(c) for c in rest]), col(latest_by)).alias("_new")
-        updates = updates.groupBy(*[col(k) for k in keys]).agg(newest).select(*[col(k) for k in keys], "_new.*")
+        ordered = sorted(rest, key=lambda c: c != latest_by)
+        newest = F.max(F.struct(*[col(c).alias(c) for c in ordered])).alias("_new")
+        updates = updates.groupBy(*ids).agg(newest).select(*ids, "_new.*")
     else:
         updates = updates.dropDuplicates(keys)
-    kept = base.join(updates.select(*[col(k) for k in keys]), keys, "left_anti")
+    names = [f"_key{i}" for i in range(len(keys))]
+    known = updates.select(*[c.alias(n) for c, n in zip(ids, names, strict=True)])
+    same = [c.eqNullSafe(F.col(n)) for c, n in zip(ids, names, strict=True)]
+    kept = base.join(known, same, "left_anti")
     return kept.unionByName(updates.select(*[col(c) for c in base.columns]))
 
 

@@ -10,7 +10,7 @@ from featloom.operators.prepare import fit_baseline
 from featloom.operators.sampling import nearest, oversample
 from featloom.plans import parse
 from featloom.plans.select import Candidate, PlanSelector, SelectionConfig, run_comparison
-from featloom.sources import files, registry
+from featloom.sources import buckets, files, registry
 from featloom.streaming.scoring import read_submissions, score_stream, write_scores
 
 CONTEXT = parse.ValidationContext("target", "CLASSIFICATION", protected=frozenset(["age"]), ids=frozenset(["id"]), sentinels={"pdays": -1})
@@ -184,6 +184,46 @@ def test_fingerprint_ignores_order_only(spark):
         registry.sanitise_names(spark.createDataFrame([(1, 2)], "`a.b` int, `a_b` int"))
 
 
+def test_row_digests_tell_rows_apart(spark):
+    rows = [(None, "c"), ("\\N", "c"), ("-", "c"), ("a\u0001b", "c"), ("a", "b\u0001c"), ("1:a", "c"), ("", "c"), ("c", None), ("ä", "c")]
+    df = spark.createDataFrame(rows, "a string, b string")
+    assert df.select(registry.row_digest(df).alias("h")).distinct().count() == len(rows)
+
+
+def test_the_last_update_of_a_key_wins(spark):
+    base = spark.createDataFrame([(1, "old", 0), (None, "old", 0), (3, "old", 0)], "k int, s string, v int")
+    updates = spark.createDataFrame([(1, "a", 2), (1, "z", 1), (1, "b", 2), (None, "n", None), (None, None, None), (4, "x", None)], "k int, s string, v int")
+    for frame in (updates, updates.orderBy(F.desc("s")).repartition(3)):
+        assert {tuple(r) for r in registry.keyed_upsert(base, frame, ["k"], "v").collect()} == {(1, "b", 2), (None, "n", None), (3, "old", 0), (4, "x", None)}
+        assert {r["s"] for r in registry.keyed_upsert(base, frame, ["k"]).collect()} == {"z", "n", "old", "x"}
+
+
+def test_a_merge_rewrites_touched_buckets_only(spark, tmp_path):
+    path = str(tmp_path / "t")
+    held = buckets.BucketedTable(spark, path, ["k"], buckets=8)
+    with pytest.raises(ValueError, match="no complete merge"):
+        held.read()
+    base = spark.range(200).select(F.when(F.col("id") > 0, F.col("id")).alias("k"), F.lit("old").alias("s"))
+    assert held.merge(base.limit(0)) == [] and held.generations() == []
+    assert held.merge(base) == list(range(8))
+    before = set(held.read().inputFiles())
+    updates = spark.createDataFrame([(5, "first", 1), (5, "second", 2), (None, "n", 1), (900, "new", 1)], "k int, s string, at int")
+    touched = held.merge(updates, latest_by="at")
+    after = set(held.read().inputFiles())
+    assert 0 < len(touched) < 8 and {f.split("_bucket=")[1].split("/")[0] for f in after - before} == set(map(str, touched))
+    assert all(f in after for f in before if int(f.split("_bucket=")[1].split("/")[0]) not in touched)
+    got = {r["k"]: r["s"] for r in held.read().collect()}
+    assert held.read().columns == ["k", "s"] and held.read().count() == len(got) == 201
+    assert (got[5], got[None], got[900]) == ("second", "n", "new") and list(got.values()).count("old") == 198
+    assert held.read(1).where("s = 'old'").count() == 200
+    # A merge that got no manifest doesn't count.
+    base.withColumn("_bucket", F.lit(1)).write.partitionBy("_bucket").parquet(f"{path}/data/generation=3")
+    assert held.read().count() == 201 and held.merge(updates.limit(0), "at") == [] and held.merge(updates, "at") == touched
+    assert held.read().count() == 201 and held.generations() == [1, 2, 3]
+    with pytest.raises(ValueError, match="buckets by"):
+        buckets.BucketedTable(spark, path, ["k"], buckets=4).read()
+
+
 def test_register_is_complete():
     queries, oracles = entry.queries(), entry.oracle_sql()
     assert set(oracles) <= set(queries) and len(queries) > 150
