@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 
 from featloom.core import clean, col
 
+# columns up to which all pairs are summed in one pass and sent to the driver (4 x 8 bytes each)
+NARROW = 512
+_HELD_BYTES = 64 << 20
+
 
 @dataclass(frozen=True)
 class Gram:
@@ -73,44 +77,43 @@ def gram(df: DataFrame, columns: Sequence[str]) -> Gram:
 
 @dataclass(frozen=True)
 class ClassGrams:
-    """Row counts, sums and products per class, around a common centre."""
+    """Row counts and sums per class, products over all classes, and the extreme variances of each class."""
 
-    classes: list
     n: np.ndarray
     s: np.ndarray
     xy: np.ndarray
+    spans: list[tuple[float, float]]  # smallest and largest positive eigenvalue of a class's covariance
 
     def discriminant_roots(self) -> list[float]:
         """Eigenvalues of inv(Sw) Sb; the pseudo-inverse covers a singular Sw."""
-        if len(self.classes) < 2:
+        if len(self.n) < 2:
             return []
         total = self.n.sum()
         mean = self.s.sum(0) / total
-        within = (self.xy - np.einsum("ci,cj->cij", self.s, self.s) / self.n[:, None, None]).sum(0)
+        within = self.xy - (self.s / self.n[:, None]).T @ self.s
         gaps = self.s / self.n[:, None] - mean
-        between = np.einsum("c,ci,cj->ij", self.n, gaps, gaps)
+        between = (gaps * self.n[:, None]).T @ gaps
         values, vectors = np.linalg.eigh(within)
         keep = values > 1e-12 * max(values.max(), 1e-300)
         white = vectors[:, keep] / np.sqrt(values[keep])
         roots = np.linalg.eigvalsh(white.T @ between @ white)[::-1]
-        count = min(len(self.classes) - 1, self.s.shape[1])
+        count = min(len(self.n) - 1, self.s.shape[1])
         return [float(max(r, 0.0)) for r in roots[:count]]
 
     def spread_ratio(self) -> float:
         """Largest over smallest positive eigenvalue of the class covariances."""
-        found, used = [], 0
-        if len(self.classes) < 2:
+        if len(self.n) < 2 or (self.n > 1).sum() < 2 or not self.spans:
             return 1.0
-        for n, s, xy in zip(self.n, self.s, self.xy, strict=True):
-            if n > 1:
-                used += 1
-                values = np.linalg.eigvalsh((xy - np.outer(s, s) / n) / (n - 1))
-                found += [v for v in values if v > 0]
-        return float(max(found) / min(found)) if used >= 2 and found else 1.0
+        return float(max(high for _, high in self.spans) / min(low for low, _ in self.spans))
 
 
 def class_grams(df: DataFrame, columns: Sequence[str], target: str) -> ClassGrams:
-    """Per-class sums with missing values as 0, reduced inside the tasks."""
+    """Per-class sums with missing values as 0.
+
+    Tasks reduce their rows to sums per class and pass these on when they exceed a fixed size; the products of a
+    class are added up, and its eigenvalues taken, on executors. The driver gets the products over all classes,
+    and per class its row count, its sums and two eigenvalues.
+    """
     d = len(columns)
     filled = df.where(col(target).isNotNull()).select(
         col(target).cast("string").alias("_class"),
@@ -118,6 +121,7 @@ def class_grams(df: DataFrame, columns: Sequence[str], target: str) -> ClassGram
     )
     shift = np.array(_centres(filled, [f"c{i}" for i in range(d)]))
     width = 1 + d + d * d
+    most = max(1, _HELD_BYTES // (8 * width))
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[str, np.ndarray] = {}
@@ -127,19 +131,53 @@ def class_grams(df: DataFrame, columns: Sequence[str], target: str) -> ClassGram
             for i, name in enumerate(names):
                 part = x[codes == i]
                 flat = np.concatenate([[len(part)], part.sum(0), (part.T @ part).ravel()])
-                sums[name] = sums.get(name, 0.0) + flat
-        for name, flat in sums.items():
-            yield pd.DataFrame({"_class": name, "cell": np.arange(width), "v": flat})
-
-    rows = (
-        filled.mapInPandas(partial, "_class string, cell int, v double")
-        .groupBy("_class", "cell")
-        .agg(F.sum("v").alias("v"))
-        .collect()
-    )
-    found: dict[str, np.ndarray] = {}
-    for r in rows:
-        found.setdefault(r["_class"], np.zeros(width))[r["cell"]] = r["v"]
-    names = sorted(found)
-    table = np.array([found[c] for c in names]) if names else np.zeros((0, width))
-    return ClassGrams(names, table[:, 0], table[:, 1 : 1 + d], table[:, 1 + d :].reshape(-1, d, d))
+                sums[name] = sums[name] + flat if name in sums else flat
+                if len(sums) > most:
+                    yield from _class_rows(sums)
+                    sums = {}
+        yield from _class_rows(sums)
+
+    def reduce(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # sorted by class: one class is held at a time
+        products, name, sums = np.zeros((d, d)), None, None
+        for batch in batches:
+            for key, v in zip(batch["_class"], batch["v"], strict=True):
+                if key == name:
+                    sums = sums + v
+                    continue
+                if name is not None:
+                    products += sums[1 + d :].reshape(d, d)
+                    yield _class_summary(name, sums, d)
+                name, sums = key, np.array(v, dtype=float)
+        if name is not None:
+            products += sums[1 + d :].reshape(d, d)
+            yield _class_summary(name, sums, d)
+        yield pd.DataFrame({"_class": pd.Series([None] * d, dtype=object), "place": np.arange(d), "v": list(products)})
+
+    partials = filled.mapInPandas(partial, "_class string, v array<double>")
+    reduced = partials.repartition("_class").sortWithinPartitions("_class").mapInPandas(reduce, "_class string, place int, v array<double>")
+    n, s, spans, xy = [], [], [], np.zeros((d, d))
+    for r in sorted(reduced.collect(), key=lambda r: (r["_class"] is None, r["_class"] or "", r["place"])):
+        if r["_class"] is None:
+            xy[r["place"]] += np.array(r["v"])
+            continue
+        n.append(r["v"][0])
+        s.append(r["v"][3:])
+        if r["v"][2] > 0:
+            spans.append((r["v"][1], r["v"][2]))
+    return ClassGrams(np.array(n), np.array(s).reshape(-1, d), xy, spans)
+
+
+def _class_rows(sums: dict[str, np.ndarray]) -> Iterator[pd.DataFrame]:
+    for name, flat in sums.items():
+        yield pd.DataFrame({"_class": [name], "v": [flat]})
+
+
+def _class_summary(name: str, sums: np.ndarray, d: int) -> pd.DataFrame:
+    n, s, low, high = sums[0], sums[1 : 1 + d], 0.0, 0.0
+    if n > 1:
+        values = np.linalg.eigvalsh((sums[1 + d :].reshape(d, d) - np.outer(s, s) / n) / (n - 1))
+        positive = values[values > 0]
+        if len(positive):
+            low, high = positive.min(), positive.max()
+    return pd.DataFrame({"_class": [name], "place": [0], "v": [np.concatenate([[n, low, high], s])]})

@@ -23,8 +23,9 @@ from pyspark.sql import types as T
 from featloom.core import checked_broadcast, checkpointed, clean, col, is_numeric, nan_to_null, numeric_columns, require_columns, rows_frame
 from featloom.functions.columns import negative_as_missing, zero_as_missing
 from featloom.functions.ordering import SMALL_ROWS, global_row_number, quantiles
-from featloom.operators.gram import gram
+from featloom.operators.gram import NARROW, gram
 from featloom.operators.ordered import backward_fill, discrete_cosine, forward_fill
+from featloom.operators.wide import centre, leading_components, packed
 from featloom.plans.plan import Plan
 
 # ------------------------------------------------------------ small methods
@@ -149,6 +150,11 @@ def pca_components(df: DataFrame, columns: Sequence[str], max_components: int =
     bad = [c for c in columns if not is_numeric(df.schema[c].dataType)]
     if bad:
         raise TypeError("PCA requires numeric data")
+    prefix = prefix or columns[0]
+    names = [f"{prefix}_pca_component_{k + 1}" for k in range(max_components)]
+    kept = [col(c) for c in df.columns if c not in columns]
+    if len(columns) > NARROW:
+        return _wide_components(df, columns, kept, names)
     stats = df.agg(
         F.count("*").alias("rows"),
         *[F.avg(clean(col(c))).alias(f"m{i}") for i, c in enumerate(columns)],
@@ -161,13 +167,35 @@ def pca_components(df: DataFrame, columns: Sequence[str], max_components: int =
     cov = np.nan_to_num(gram(df.select(*[s.alias(f"z{i}") for i, s in enumerate(scaled)]), [f"z{i}" for i in range(len(columns))]).covariance())
     values, vectors = np.linalg.eigh(cov)
     vectors = vectors[:, np.argsort(values)[::-1][:n]]
-    prefix = prefix or columns[0]
     out = []
     for k in range(n):
-        v = vectors[:, k] * np.sign(vectors[np.argmax(np.abs(vectors[:, k])), k])
+        v = _signed(vectors[:, k])
         terms = [s * F.lit(float(w)) for s, w in zip(scaled, v, strict=True)]
-        out.append(sum(terms[1:], terms[0]).alias(f"{prefix}_pca_component_{k + 1}"))
-    return df.select(*[col(c) for c in df.columns if c not in columns], *out)
+        out.append(sum(terms[1:], terms[0]).alias(names[k]))
+    return df.select(*kept, *out)
+
+
+def _signed(v: np.ndarray) -> np.ndarray:
+    return v * np.sign(v[np.argmax(np.abs(v))])
+
+
+def _wide_components(df: DataFrame, columns: Sequence[str], kept: Sequence[Column], names: Sequence[str]) -> DataFrame:
+    """Components of many columns; a missing value stands at its column's mean while they are fitted."""
+    d = len(columns)
+    x = packed(df, columns)
+    rows = x.count()
+    middle = centre(x, d)
+    sd = np.where(middle.sd > 0, middle.sd, 1.0)
+    n = min(rows, d, len(names))
+    vectors = leading_components(x, d, n, middle.mean, sd, rows).vectors
+    numbers = F.array(*[clean(col(c)) for c in columns])
+    out = []
+    for k in range(n):
+        weight = _signed(vectors[:, k]) / sd
+        products = F.zip_with(numbers, F.lit([float(w) for w in weight]), lambda a, w: a * w)
+        total = F.aggregate(products, F.lit(0.0), lambda s, v: s + v)
+        out.append((total - F.lit(float(weight @ middle.mean))).alias(names[k]))
+    return df.select(*kept, *out)
 
 
 def dummies(df: DataFrame, columns: Sequence[str], drop_first: bool = True, fill_rounded_mean: bool = False) -> DataFrame:

@@ -30,7 +30,8 @@ from featloom.core import (
 )
 from featloom.functions.columns import entropy_term
 from featloom.functions.ordering import SMALL_ROWS, order_statistics, quantiles
-from featloom.operators.gram import class_grams, gram
+from featloom.operators.gram import NARROW, class_grams, gram
+from featloom.operators.wide import covariance_bands, named_pairs
 from featloom.sources.registry import type_label
 
 # fixed values: the datetime formats tried on text columns, in order
@@ -761,6 +762,10 @@ def min_max_normalise(df: DataFrame, columns: Sequence[str] | None = None) -> Da
 def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Full Pearson matrix in long form (a, b, r)."""
     columns = list(columns) if columns is not None else numeric_columns(df)
+    if len(columns) > NARROW:
+        pairs = named_pairs(covariance_bands(df, columns), columns)
+        mirrored = pairs.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"), "r")
+        return pairs.select("a", "b", "r").unionByName(mirrored)
     r = gram(nan_to_null(df), columns).correlation()
     rows = [
         (a, b, None if math.isnan(r[i, j]) else float(r[i, j])) for i, a in enumerate(columns) for j, b in enumerate(columns)

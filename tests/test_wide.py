@@ -1,0 +1,112 @@
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from featloom.operators import prepare, profile, wide
+
+
+def frame(spark, values):
+    d = values.shape[1]
+    rows = [tuple(None if np.isnan(v) else float(v) for v in row) for row in values]
+    return spark.createDataFrame(rows, ", ".join(f"x{i} double" for i in range(d))).repartition(3)
+
+
+def test_bands_agree_with_pairwise_sums(spark):
+    rng = np.random.default_rng(3)
+    values = rng.standard_normal((60, 9)) @ rng.standard_normal((9, 9)) + 1000.0
+    values[rng.random(values.shape) < 0.2] = np.nan
+    values[:, 7] = 5.0
+    values[:-1, 8] = np.nan
+    df = frame(spark, values)
+    # so few bytes that every band has one or two rows of the matrix
+    bands = wide.covariance_bands(df, df.columns, task_bytes=700)
+    got = {(r["i"], r["j"]): r for r in bands.collect()}
+    assert len(got) == 45
+    for (i, j), r in got.items():
+        both = ~np.isnan(values[:, i]) & ~np.isnan(values[:, j])
+        a, b = values[both, i], values[both, j]
+        if both.sum() < 2:
+            assert r["cov"] is None and r["r"] is None
+            continue
+        assert r["cov"] == pytest.approx(np.cov(a, b)[0, 1], abs=1e-8)
+        if a.std() > 0 and b.std() > 0:
+            assert r["r"] == pytest.approx(np.corrcoef(a, b)[0, 1], abs=1e-9)
+        else:
+            assert r["r"] is None
+    names = wide.named_pairs(bands, df.columns).where("a = 'x0' and b = 'x1'").first()
+    assert names["cov"] == got[(0, 1)]["cov"]
+
+
+def test_bands_of_empty_and_null_tables(spark):
+    empty = spark.createDataFrame([], "a double, b double")
+    assert [r["cov"] for r in wide.covariance_bands(empty, ["a", "b"]).collect()] == [None] * 3
+    assert wide.covariance_bands(empty, []).count() == 0
+
+
+def test_components_of_many_columns(spark):
+    """Thousands of columns: eigenvalues and vectors as from the whole matrix, in few passes."""
+    d, rows = 2000, 400
+    rng = np.random.default_rng(5)
+    values = rng.standard_normal((rows, 12)) * np.linspace(9, 2, 12) @ rng.standard_normal((12, d)) + 0.1 * rng.standard_normal((rows, d))
+    x = spark.createDataFrame([(row.tolist(),) for row in values], "x array<double>").repartition(4)
+    middle = wide.centre(x, d)
+    assert np.allclose(middle.mean, values.mean(0)) and np.allclose(middle.sd, values.std(0))
+    found = wide.leading_components(x, d, 5, middle.mean, middle.sd, rows)
+    z = (values - values.mean(0)) / values.std(0)
+    truth = np.linalg.svd(z, compute_uv=False)[:5] ** 2 / (rows - 1)
+    assert np.allclose(found.values, truth, rtol=1e-8) and found.passes < 20
+    assert np.allclose(found.vectors.T @ found.vectors, np.eye(5), atol=1e-9)
+
+
+def test_components_of_low_rank_and_full_basis(spark):
+    values = np.outer(np.arange(6.0), [1.0, 2.0, -1.0])
+    x = spark.createDataFrame([(row.tolist(),) for row in values], "x array<double>")
+    found = wide.leading_components(x, 3, 3, values.mean(0), np.ones(3), 6)
+    assert found.values == pytest.approx([21.0, 0.0, 0.0], abs=1e-9)
+
+
+def test_restarts_and_limit(spark):
+    d, rows = 300, 600
+    values = np.random.default_rng(9).standard_normal((rows, d))
+    x = spark.createDataFrame([(row.tolist(),) for row in values], "x array<double>").coalesce(2)
+    truth = np.linalg.eigvalsh(np.cov(values.T))[::-1]
+    found = wide.leading_components(x, d, 1, values.mean(0), np.ones(d), rows, tolerance=1e-7)
+    assert found.values == pytest.approx(truth[:1], rel=1e-7)
+    with pytest.raises(RuntimeError, match="2 passes"):
+        wide.leading_components(x, d, 1, values.mean(0), np.ones(d), rows, limit=2)
+
+
+def test_narrow_and_wide_projection_agree(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    df = frame(spark, rng.standard_normal((80, 6)) @ rng.standard_normal((6, 6))).withColumn("id", F.monotonically_increasing_id()).checkpoint()
+    columns = [c for c in df.columns if c != "id"]
+    narrow = prepare.pca_components(df, columns, 2, prefix="p").orderBy("id").toPandas()
+    monkeypatch.setattr(prepare, "NARROW", 3)
+    broad = prepare.pca_components(df, columns, 2, prefix="p").orderBy("id").toPandas()
+    assert list(narrow.columns) == list(broad.columns)
+    assert np.allclose(narrow.drop(columns="id"), broad.drop(columns="id"), atol=1e-6)
+
+
+def test_correlations_of_wide_tables_stay_a_table(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    df = frame(spark, rng.standard_normal((40, 5)) @ rng.standard_normal((5, 5)))
+    order = lambda rows: sorted((r["a"], r["b"], round(r["r"], 9)) for r in rows)
+    narrow = order(profile.correlation_matrix(df).collect())
+    monkeypatch.setattr(profile, "NARROW", 3)
+    assert order(profile.correlation_matrix(df).collect()) == narrow
+
+
+def test_many_classes_leave_small_sums(spark):
+    """Class covariances are reduced on executors, in several flushes and several partial sums per class."""
+    rng = np.random.default_rng(4)
+    names = [f"c{i % 7}" for i in range(210)]
+    values = rng.standard_normal((210, 4)) * 2 + np.arange(210)[:, None] % 7
+    rows = [(n, *map(float, v)) for n, v in zip(names, values, strict=True)]
+    df = spark.createDataFrame(rows, "y string, a double, b double, c double, d double").repartition(5)
+    got = {(r["measure"], r["column"]): r["value"] for r in profile.measures(df, "y", ["SD_RATIO", "W_LAMBDA"]).collect()}
+    label = np.array(names)
+    spectra = np.concatenate([np.linalg.eigvalsh(np.cov(values[label == c].T)) for c in np.unique(label)])
+    within = sum((label == c).sum() * np.cov(values[label == c].T, bias=True) for c in np.unique(label))
+    total = len(values) * np.cov(values.T, bias=True)
+    assert got[("SD_RATIO", None)] == pytest.approx(spectra.max() / spectra.min())
+    assert got[("W_LAMBDA", None)] == pytest.approx(np.linalg.det(within) / np.linalg.det(total))
