@@ -141,6 +141,52 @@ _register(
 _register("m40_w_lambda", "W_LAMBDA", None)
 
 
+# two columns have closed forms: quantity and tax, by flag
+_TWO = LINES + """, g AS (SELECT flag, CAST(count(*) AS DOUBLE) AS n, sum(coalesce(quantity, 0)) AS a, sum(coalesce(tax, 0)) AS b, sum(pow(coalesce(quantity, 0), 2)) AS aa,
+  sum(coalesce(quantity, 0) * coalesce(tax, 0)) AS ab, sum(pow(coalesce(tax, 0), 2)) AS bb FROM t WHERE flag IS NOT NULL GROUP BY flag),
+c AS (SELECT flag, n, aa - a * a / n AS p, ab - a * b / n AS q, bb - b * b / n AS r FROM g),
+w AS (SELECT sum(p) AS p, sum(q) AS q, sum(r) AS r FROM c),
+s AS (SELECT sum(aa) - sum(a) * sum(a) / sum(n) AS p, sum(ab) - sum(a) * sum(b) / sum(n) AS q, sum(bb) - sum(b) * sum(b) / sum(n) AS r FROM g),
+k AS (SELECT (w.p * w.r - w.q * w.q) / (s.p * s.r - s.q * s.q) AS ratio,
+  ((s.p - w.p) * w.r - 2 * (s.q - w.q) * w.q + (s.r - w.r) * w.p) / (w.p * w.r - w.q * w.q) AS tr,
+  ((s.p - w.p) * (s.r - w.r) - pow(s.q - w.q, 2)) / (w.p * w.r - w.q * w.q) AS det FROM w, s),
+e AS (SELECT flag, (p + r + m * sqrt(pow(p - r, 2) + 4 * q * q)) / 2 / (n - 1) AS v FROM c, (VALUES (1), (-1)) x(m) WHERE n > 1)
+"""
+_HEAD = "SELECT '$' AS measure, "
+
+
+def _two(name: str, measure: str, sql: str, digits: int = 6) -> None:
+    @query(name, _TWO + sql.replace("$", measure))
+    def run(spark, d):
+        pair = lines(spark, d).select("quantity", "tax", TARGET)
+        families = {c: FAMILIES[c] for c in pair.columns}
+        got = profile.measures(pair, TARGET, [measure], families=families)
+        return shaped(got.withColumnRenamed("column", "attribute"), digits)
+
+
+_two("m40_two_columns", "W_LAMBDA", _HEAD + "CAST(NULL AS VARCHAR) AS attribute, round(ratio, 6) AS value FROM k")
+_two("m37_two_columns", "SD_RATIO", _HEAD + "CAST(NULL AS VARCHAR) AS attribute, round(max(v) / min(v), 1) AS value FROM e WHERE v > 0", 1)
+_two(
+    "m17_two_columns", "CAN_COR",
+    _HEAD + "attribute, round(sqrt(x / (1 + x)), 6) AS value FROM (SELECT CASE WHEN m = 1 THEN '0' ELSE '1' END AS attribute, greatest(0, (tr + m * sqrt(tr * tr - 4 * det)) / 2) AS x FROM k, (VALUES (1), (-1)) v(m))",
+)
+_two(
+    "m21_two_columns", "EIGHENVALUES",
+    _HEAD + """CASE WHEN m = 1 THEN '0' ELSE '1' END AS attribute, round((p + r + m * sqrt(pow(p - r, 2) + 4 * q * q)) / 2, 6) AS value
+    FROM (SELECT var_samp(quantity) AS p, covar_samp(quantity, tax) AS q, var_samp(tax) AS r FROM t), (VALUES (1), (-1)) v(m)""",
+)
+
+
+@query(
+    "m21_invariants",
+    LINES + "SELECT round(" + " + ".join(f"var_samp({c})" for c in NUM) + ", 2) AS trace, round(sqrt("
+    + " + ".join(f"pow(covar_samp({a}, {b}), 2)" for a in NUM for b in NUM) + "), 2) AS norm FROM t",
+)
+def m21_invariants(spark, d):
+    found = profile.measures(lines(spark, d), TARGET, ["EIGHENVALUES"], families=FAMILIES)
+    return shaped(found.agg(F.sum("value").alias("trace"), F.sqrt(F.sum(F.pow("value", F.lit(2)))).alias("norm")), 2)
+
+
 def _entropy(keys: str, where: str = "true") -> str:
     return f"(SELECT -sum(p * log2(p + 1e-10)) FROM (SELECT count(*) / (SELECT CAST(count(*) AS DOUBLE) FROM t WHERE {where}) AS p FROM t WHERE {where} GROUP BY {keys}))"
 

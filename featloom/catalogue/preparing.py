@@ -91,6 +91,21 @@ def h11(spark, d):
     return prepare.pca_components(lines, ["l_quantity", "l_extendedprice", "l_discount", "l_tax"], 3, prefix="line")
 
 
+_PCA = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+@query(
+    "h11_row_norms",
+    "WITH m AS (SELECT " + ", ".join(f"avg({c}) AS m{i}, stddev_pop({c}) AS s{i}" for i, c in enumerate(_PCA)) + " FROM lineitem)"
+    " SELECT l_orderkey, l_linenumber, round(sqrt(" + " + ".join(f"pow(({c} - m{i}) / s{i}, 2)" for i, c in enumerate(_PCA)) + "), 5) AS norm FROM lineitem, m",
+)
+def h11_norms(spark, d):
+    # all components together keep every row's length, which no vectors but orthonormal ones do
+    found = prepare.pca_components(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", *_PCA), _PCA, 4, prefix="line")
+    parts = [F.pow(F.col(f"line_pca_component_{k}"), 2) for k in range(1, 5)]
+    return shaped(found.select("l_orderkey", "l_linenumber", F.sqrt(sum(parts[1:], parts[0])).alias("norm")), 5)
+
+
 @query("h12_discretise_target", "SELECT o_orderkey, CASE WHEN o_totalprice <= q[2] THEN 0 WHEN o_totalprice <= q[3] THEN 1 ELSE 2 END::BIGINT AS o_totalprice FROM orders, (SELECT quantile_cont(o_totalprice, [0, 0.5, 0.9, 1]) AS q FROM orders)")
 def h12(spark, d):
     orders = table(spark, d, "orders").select("o_orderkey", "o_totalprice")

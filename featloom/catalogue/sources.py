@@ -112,6 +112,39 @@ def a8(spark, d):
     return files.validate_files(digests, manifest)
 
 
+def _supplier_files(spark, d):
+    """One text file per nation, its lines in order."""
+    path = scratch_path(spark, "suppliers")
+    lines = table(spark, d, "supplier").select("s_nationkey", "s_suppkey", F.concat_ws("|", "s_suppkey", "s_name", "s_acctbal").alias("value"))
+    ordered = lines.repartition("s_nationkey").sortWithinPartitions("s_nationkey", "s_suppkey")
+    ordered.select("s_nationkey", "value").write.partitionBy("s_nationkey").text(path)
+    return path
+
+
+_SUPPLIERS = """WITH f AS (SELECT s_nationkey, string_agg(concat_ws('|', s_suppkey, s_name, s_acctbal) || chr(10), '' ORDER BY s_suppkey) AS t FROM supplier GROUP BY s_nationkey)
+"""
+
+
+@query("a8_file_digests", _SUPPLIERS + "SELECT CAST(length(t) AS BIGINT) AS bytes, sha256(t) AS sha256 FROM f")
+def a8_digests(spark, d):
+    # half of the files lie above the size that is hashed as one value
+    found = files.file_digests(spark, f"{_supplier_files(spark, d)}/*", "*.txt", whole_bytes=200)
+    return shaped(found.select("bytes", "sha256"))
+
+
+@query(
+    "a8_file_trees",
+    _SUPPLIERS + """, c AS (SELECT s_nationkey, i, sha256(substr(t, 64 * i + 1, 64)) AS h FROM f, unnest(range((length(t) + 63) // 64)) u(i)),
+    l AS (SELECT s_nationkey, i // 3 AS i, sha256(string_agg(h, '' ORDER BY i)) AS h FROM c GROUP BY s_nationkey, i // 3)
+    SELECT CAST(length(t) AS BIGINT) AS bytes, string_agg(h, '' ORDER BY i) AS level FROM l JOIN f USING (s_nationkey) GROUP BY s_nationkey, t""",
+)
+def a8_trees(spark, d):
+    chunks = files.chunk_digests(spark, f"{_supplier_files(spark, d)}/*", "*.txt", chunk_bytes=64)
+    level = files.tree_level(chunks, 3)
+    nodes = F.array_sort(F.collect_list(F.struct("chunk", "sha256")))
+    return shaped(level.groupBy("path", "bytes").agg(nodes.alias("n")).select("bytes", F.array_join(F.transform("n", lambda x: x["sha256"]), "").alias("level")))
+
+
 def _fingerprint_sql(source: str, columns: list[str]) -> str:
     cells = ", ".join(f"coalesce(length(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')" for c in columns)
     return f"""

@@ -436,12 +436,12 @@ class FittedPreparation:
 
     def fit_resample_training(self, df: DataFrame, key: str | None = None, seed: int = 42) -> DataFrame:
         """Transformed training rows with classes balanced by the plan's samplers."""
-        from featloom.operators.sampling import oversample
+        from featloom.operators.sampling import resample
 
         require_columns(df, [self.target])
         out = self.transform(df)
         for method in self.sampling_methods:
-            out = oversample(out, self.target, self.output_columns, method, key=key, seed=seed)
+            out = resample(out, self.target, self.output_columns, method, key=key, seed=seed)
         return out
 
     def manifest_frame(self, df: DataFrame) -> DataFrame:

@@ -8,7 +8,8 @@ Gram job. Only per-column scalars reach the driver.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 from functools import cached_property
 
 import numpy as np
@@ -366,6 +367,32 @@ def normal_test_p(n: int, skew: float, excess_kurtosis: float) -> float:
     return math.exp(-(z1 * z1 + z2 * z2) / 2)
 
 
+@dataclass(frozen=True)
+class Measure:
+    """A measure as partial aggregates and a value made of their results."""
+
+    over: str
+    aggregates: Callable[..., dict[str, Column]]
+    value: Callable[[dict], float | None]
+
+
+DECLARED: dict[str, Measure] = {}
+
+
+def register_measure(name: str, aggregates: Callable[..., dict[str, Column]], value: Callable[[dict], float | None], over: str = NUMERIC) -> None:
+    """Add a measure that any request may name.
+
+    `aggregates` gives named aggregates of one column ("numeric" or "categorical") or, over "table", of a dict of all
+    columns; `value` gets their results by name. The aggregates of all measures of a request run in one pass. Names of
+    the built-in measures are refused; registering one's own name again replaces the measure.
+    """
+    if name in [*SIMPLE, *STATISTICAL, *INFORMATION]:
+        raise ValueError(f"{name} is a built-in measure")
+    if over not in (NUMERIC, CATEGORICAL, "table"):
+        raise ValueError(f"a measure is over numeric or categorical columns or the table, not {over}")
+    DECLARED[name] = Measure(over, aggregates, value)
+
+
 class TableProfile:
     """Measures of a table; every job runs once and only when needed."""
 
@@ -398,24 +425,59 @@ class TableProfile:
         return [c for c in self.attributes if self.families[c] == CATEGORICAL]
 
     @cached_property
-    def counts(self) -> dict:
-        """Rows, nulls per column and rows with any null."""
+    def _sums(self) -> dict:
+        """The partial aggregates of all chosen measures, in one pass; equal ones are made once."""
+        aggs = self._count_aggregates() if _FROM_COUNTS & set(self._names) else {}
+        aggs.update(self._moment_aggregates())
+        for name in self._names:
+            if name in DECLARED:
+                aggs.update(self._declared_aggregates(name))
+        if not aggs:
+            return {}
+        got = self.df.agg(*[a.alias(k) for k, a in aggs.items()]).first()
+        return dict(zip(aggs, got, strict=True))
+
+    def _declared_aggregates(self, name: str) -> dict[str, Column]:
+        measure = DECLARED[name]
+        return {f"{name}/{i}/{k}": a for i, (_, v) in enumerate(self._inputs(measure)) for k, a in measure.aggregates(v).items()}
+
+    def _inputs(self, measure: Measure) -> list[tuple[str | None, object]]:
+        """What a declared measure is made of: each column of its family, or all of them at once."""
+        numbers = {c: clean(col(c)) for c in self.num}
+        texts = {c: col(c) for c in self.cat}
+        if measure.over == "table":
+            return [(None, {**numbers, **texts})]
+        return list((numbers if measure.over == NUMERIC else texts).items())
+
+    def _declared(self, name: str) -> list[tuple[str | None, float | None]]:
+        measure = DECLARED[name]
+        out = []
+        for i, (c, v) in enumerate(self._inputs(measure)):
+            out.append((c, measure.value({k: self._sums[f"{name}/{i}/{k}"] for k in measure.aggregates(v)})))
+        return out
+
+    def _count_aggregates(self) -> dict[str, Column]:
         columns = self.df.columns
         any_null = F.lit(False)
         for c in columns:
             any_null = any_null | col(c).isNull()
-        aggs = [F.count("*").alias("rows"), F.count_if(any_null).alias("null_rows")]
-        aggs += [F.count(col(c)).alias(f"n{i}") for i, c in enumerate(columns)]
-        got = self.df.agg(*aggs).first()
+        aggs = {"rows": F.count("*"), "null_rows": F.count_if(any_null)}
+        return {**aggs, **{f"n{i}": F.count(col(c)) for i, c in enumerate(columns)}}
+
+    @cached_property
+    def counts(self) -> dict:
+        """Rows, nulls per column and rows with any null."""
+        got = self._sums
+        if "rows" not in got:
+            got = self.df.agg(*[a.alias(k) for k, a in self._count_aggregates().items()]).first().asDict()
         return {
             "rows": got["rows"],
             "null_rows": got["null_rows"],
-            "nulls": {c: got["rows"] - got[f"n{i}"] for i, c in enumerate(columns)},
+            "nulls": {c: got["rows"] - got[f"n{i}"] for i, c in enumerate(self.df.columns)},
         }
 
-    @cached_property
-    def moments(self) -> dict[str, dict]:
-        """The moments the chosen measures need, in one aggregate."""
+    def _moment_aggregates(self) -> dict[str, Column]:
+        """The moments that the chosen measures need."""
 
         def made(v: Column) -> dict[str, Column]:
             positive = F.when(v > 0, v)
@@ -426,11 +488,15 @@ class TableProfile:
             }
 
         keys = sorted({k for name in self._names for k in _FROM_MOMENTS.get(name, ())})
-        aggs = [made(clean(col(c)))[k].alias(f"{k}{i}") for i, c in enumerate(self.num) for k in keys]
-        if not aggs:
-            return {}
-        got = self.df.agg(*aggs).first()
-        return {c: {k: got[f"{k}{i}"] for k in keys} for i, c in enumerate(self.num)}
+        return {f"{k}/{i}": made(clean(col(c)))[k] for i, c in enumerate(self.num) for k in keys}
+
+    @cached_property
+    def moments(self) -> dict[str, dict]:
+        found: dict[str, dict] = {c: {} for c in self.num}
+        for key in self._moment_aggregates():
+            k, i = key.split("/")
+            found[self.num[int(i)]][k] = self._sums[key]
+        return found
 
     @cached_property
     def quartiles(self) -> dict[str, list[float | None]]:
@@ -507,7 +573,8 @@ class TableProfile:
         chosen = list(names) if names is not None else [*SIMPLE, *STATISTICAL, *INFORMATION]
         if not set(chosen) <= set(self._names):
             self._names = tuple(chosen)
-            self.__dict__.pop("moments", None)
+            for made in ("_sums", "moments"):
+                self.__dict__.pop(made, None)
         out: list[Row3] = []
         for name in chosen:
             if name in NEEDS_TARGET and self.target is None:
@@ -519,7 +586,33 @@ class TableProfile:
         return out
 
     def frame(self, names: Sequence[str] | None = None) -> DataFrame:
-        return rows_frame(self.df.sparkSession, self.rows(names), "measure string, column string, value double")
+        """Rows (measure, column, value); the pairs of a table with many columns don't pass the driver."""
+        chosen = list(names) if names is not None else [*SIMPLE, *STATISTICAL, *INFORMATION]
+        apart = [n for n in chosen if n in _PAIRS] if any(n in _PAIRS for n in chosen) and len(self.num) > NARROW else []
+        out = rows_frame(self.df.sparkSession, self.rows([n for n in chosen if n not in apart] if apart else names), "measure string, column string, value double")
+        for name in apart:
+            value = F.abs(F.col("r" if name == "COR" else "cov"))
+            pairs = named_pairs(self.bands.where("i < j"), self.num)
+            found = pairs.select(F.lit(name).alias("measure"), F.concat_ws("|", "a", "b").alias("column"), value.alias("value"))
+            out = out.unionByName(found.where("value <> 0"))
+        return out
+
+    @cached_property
+    def bands(self) -> DataFrame:
+        return covariance_bands(self.df, self.num)
+
+    def _covariances(self) -> np.ndarray:
+        """The whole matrix on the driver, for the spectrum; refused where it doesn't fit."""
+        d = len(self.num)
+        if d <= NARROW:
+            return self.pairs.covariance()
+        if d > SPECTRUM:
+            raise ValueError(f"all eigenvalues of {d} columns need a matrix of {8 * d * d >> 20} MB; use leading_components")
+        out = np.zeros((d, d))
+        for r in self.bands.groupBy("i").agg(F.array_sort(F.collect_list(F.struct("j", "cov"))).alias("row")).toLocalIterator():
+            cells = np.array([np.nan if c["cov"] is None else c["cov"] for c in r["row"]])
+            out[r["i"], r["i"] :] = out[r["i"] :, r["i"]] = cells
+        return out
 
     def _per_column(self, value) -> list[tuple[str | None, float | None]]:
         return [(c, value(c)) for c in self.num] or [(None, 0.0)]
@@ -528,6 +621,8 @@ class TableProfile:
         num, cat = self.num, self.cat
         d = len(self.attributes)
         one = lambda v: [(None, v)]
+        if name in DECLARED:
+            return self._declared(name)
         m = self.moments if name in _FROM_MOMENTS else {}
         match name:
             case "ATTR_TO_INST":
@@ -576,13 +671,16 @@ class TableProfile:
             case "NR_COR_ATTR":
                 if len(num) < 2:
                     return one(0)
+                if len(num) > NARROW:
+                    high = self.bands.where("i < j and abs(r) > 0.8").count()
+                    return one(high / (len(num) * (len(num) - 1) // 2))
                 got = self.pairs.correlation()
                 high = sum(abs(got[i, j]) > 0.8 for i in range(len(num)) for j in range(i + 1, len(num)))
                 return one(high / (len(num) * (len(num) - 1) // 2))
             case "EIGHENVALUES":
                 if not num:
                     return one(0)
-                values = np.linalg.eigvalsh(np.nan_to_num(self.pairs.covariance()))[::-1]
+                values = np.linalg.eigvalsh(np.nan_to_num(self._covariances()))[::-1]
                 return [(str(i), v) for i, v in enumerate(values) if v >= 0]
             case "CAN_COR":
                 roots = self.class_sums.discriminant_roots() if num else []
@@ -649,6 +747,13 @@ class TableProfile:
         raise ValueError(f"unknown measure: {name}")
 
 
+# columns up to which all eigenvalues are taken on the driver, from a matrix of 128 MB
+SPECTRUM = 4096
+_PAIRS = ("COR", "COV")
+_FROM_COUNTS = {
+    "ATTR_TO_INST", "INST_TO_ATTR", "INST_TO_CLASS", "NR_ATTR_MISSING", "NR_INST", "NR_INST_MISSING", "NR_MISSING",
+    "IQR", "MAD", "MEDIAN", "NR_OUTLIERS",
+}
 # the moments each measure is made of
 _FROM_MOMENTS = {
     "G_MEAN": ("log", "pos"),

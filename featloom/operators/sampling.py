@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,10 +12,53 @@ from pyspark.sql import Window
 from featloom.core import col
 from featloom.functions.ordering import running_sums
 from featloom.operators.metric_tree import nearest
+from featloom.plans.plan import SAMPLING
 
 _BATCH = 10_000
 
 
+@dataclass(frozen=True)
+class Sampler:
+    """A function of (df, target, classes, features, key, seed); `classes` holds the aggregates by class."""
+
+    take: Callable[..., DataFrame]
+    aggregates: Callable[[], Mapping[str, Column]] | None
+
+
+_SAMPLERS: dict[str, Sampler] = {}
+
+
+def register_sampler(method: str, aggregates: Callable[[], Mapping[str, Column]] | None = None):
+    """Add a sampler `f(df, target, classes, features, key, seed) -> df` that plans and `resample` may name.
+
+    `aggregates` names sums that are made per class, in one pass, before the sampler is called; without it
+    `classes` is empty.
+    """
+
+    def decorate(function: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+        _SAMPLERS[method] = Sampler(function, aggregates)
+        if method not in SAMPLING:
+            SAMPLING.append(method)
+        return function
+
+    return decorate
+
+
+def resample(
+    df: DataFrame, target: str, features: Sequence[str], method: str, key: str | None = None, seed: int = 42
+) -> DataFrame:
+    """Rows chosen or made by a registered sampler."""
+    if method not in _SAMPLERS:
+        raise ValueError(f"unsupported sampler: {method}")
+    sampler, classes = _SAMPLERS[method], {}
+    if sampler.aggregates is not None:
+        sums = sampler.aggregates()
+        grouped = df.groupBy(col(target).alias("class")).agg(*[a.alias(k) for k, a in sums.items()])
+        # one row per class, as for the samplers that raise one class after another
+        classes = {r["class"]: {k: r[k] for k in sums} for r in grouped.toLocalIterator()}
+    return sampler.take(df, target, classes, features, key, seed)
+
+
 def _uniform(*parts: Column) -> Column:
     """Reproducible number in [0, 1)."""
     return F.pmod(F.xxhash64(*parts), F.lit(1 << 30)) / F.lit(float(1 << 30))
@@ -112,3 +156,13 @@ def _synthetic(mine, seeds, seed_rows, wanted, k, df, target, label, features, s
     return rows.select(
         *[F.get("v", i).alias(c) for i, c in enumerate(features)], F.lit(label).cast(df.schema[target].dataType).alias(target)
     )
+
+
+@register_sampler("SMOTE")
+def _smote(df, target, classes, features, key, seed):
+    return oversample(df, target, features, "SMOTE", key=key, seed=seed)
+
+
+@register_sampler("BORDERLINE_SMOTE")
+def _borderline(df, target, classes, features, key, seed):
+    return oversample(df, target, features, "BORDERLINE_SMOTE", key=key, seed=seed)

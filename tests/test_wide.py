@@ -110,3 +110,23 @@ def test_many_classes_leave_small_sums(spark):
     total = len(values) * np.cov(values.T, bias=True)
     assert got[("SD_RATIO", None)] == pytest.approx(spectra.max() / spectra.min())
     assert got[("W_LAMBDA", None)] == pytest.approx(np.linalg.det(within) / np.linalg.det(total))
+
+
+def test_pair_measures_of_wide_tables(spark, monkeypatch):
+    values = np.random.default_rng(8).standard_normal((50, 5)) @ np.diag([1, 2, 3, 4, 5.0])
+    values[:, 4] = 2 * values[:, 0] + 0.01 * values[:, 4]
+    df = frame(spark, values)
+    names = ["COV", "MEAN", "COR", "NR_COR_ATTR", "EIGHENVALUES"]
+    numeric = {c: "numeric" for c in df.columns}
+
+    def found():
+        return {(r["measure"], r["column"]): r["value"] for r in profile.measures(df, None, names, families=numeric).collect()}
+
+    narrow = found()
+    monkeypatch.setattr(profile, "NARROW", 3)
+    broad = found()
+    assert narrow.keys() == broad.keys() and narrow[("NR_COR_ATTR", None)] == 0.1
+    assert all(broad[k] == pytest.approx(v, rel=1e-9, abs=1e-12) for k, v in narrow.items())
+    monkeypatch.setattr(profile, "SPECTRUM", 4)
+    with pytest.raises(ValueError, match="all eigenvalues of 5 columns"):
+        found()
