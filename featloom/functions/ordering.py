@@ -233,8 +233,8 @@ def hash_order(key: str | Sequence[str], seed: int | str) -> Column:
 
 def hash_cuts(
     df: DataFrame, key: str, seed: int | str, quotas, strata: Sequence[str] = ()
-) -> list[dict]:
-    """Hash position of the last row inside each quota, per stratum.
+) -> list[dict] | None:
+    """Hash position of the last row inside each quota, per stratum; None if there are too many strata for the driver.
 
     `quotas(n)` lists ascending row counts for a stratum of n rows. A first
     count by hash prefix finds the prefix each quota ends in, a second pass
@@ -255,7 +255,8 @@ def hash_cuts(
     running = counts.withColumn("_upto", F.sum("count").over(w))
     sizes = small_rows(running.groupBy(*names).agg(F.max("_upto").alias("_n")))
     if sizes is None:
-        raise ValueError("too many strata to split by")
+        counts.unpersist()
+        return None
     cuts = {tuple(r[n] for n in names): {"n": r["_n"], "cuts": {}} for r in sizes}
     asked = {
         stratum: [(j, int(quota)) for j, quota in enumerate(quotas(v["n"])) if quota > 0] for stratum, v in cuts.items()

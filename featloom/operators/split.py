@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from featloom.core import col, require_columns, rows_frame
 from featloom.functions.ordering import cut_number, hash_cuts, quantiles, running_sums
+from featloom.functions.strata import number_in_strata
 
 
 @dataclass(frozen=True)
@@ -38,10 +39,18 @@ def _check_fraction(fraction: float) -> None:
 
 
 def _first_rows(
-    df: DataFrame, key: str, seed: int | str, quota: Callable[[int], int], strata: Sequence[str] = ()
+    df: DataFrame, key: str, seed: int | str, quota: Callable[[int], int], strata: Sequence[str] = (),
+    column_quota: Callable[[Column], Column] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """The first quota(n) rows of each stratum in hash order, and the rest."""
+    """The first quota(n) rows of each stratum in hash order, and the rest.
+
+    `column_quota` is the same quota as a column, for strata that are too many for the driver.
+    """
     parts = hash_cuts(df, key, seed, lambda n: [quota(n)], strata)
+    if parts is None:
+        numbered, beyond = number_in_strata(df, key, seed, lambda n: [column_quota(n)], strata, "_side")
+        first = (F.col("_side") == 0) & F.lit(beyond > 0)
+        return numbered.where(first).drop("_side"), numbered.where(~first).drop("_side")
     numbered = cut_number(df, key, seed, parts, strata, "_side")
     first = (F.col("_side") == 0) if any(p["cuts"] for p in parts) else F.lit(False)
     return numbered.where(first).drop("_side"), numbered.where(~first).drop("_side")
@@ -64,7 +73,7 @@ def stratified_split(
         return random_split(df, key, test_size, seed)
     _check_fraction(test_size)
     require_columns(df, [target])
-    test, train = _first_rows(df, key, seed, lambda n: round(n * test_size), [target])
+    test, train = _first_rows(df, key, seed, lambda n: round(n * test_size), [target], lambda n: F.rint(n * test_size))
     return train, test
 
 
@@ -83,6 +92,8 @@ def stratified_folds(
         raise ValueError("at least two folds are required")
     # fold i ends at row n * (i + 1) / folds of its class
     parts = hash_cuts(df, key, seed, lambda n: [n * i // folds for i in range(1, folds)], [target])
+    if parts is None:
+        return number_in_strata(df, key, seed, lambda n: [F.floor(n * i / folds) for i in range(1, folds)], [target], name)[0]
     return cut_number(df, key, seed, parts, [target], name)
 
 

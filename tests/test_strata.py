@@ -1,0 +1,46 @@
+from pyspark.sql import functions as F
+
+from featloom.functions import ordering, strata
+from featloom.operators.split import stratified_folds, stratified_split
+
+
+def strata_of(spark):
+    """Half of the rows in one stratum, a null stratum, and strata of one to five rows."""
+    i = F.col("id")
+    y = F.when(i % 2 == 0, "hot").when(i % 31 != 1, F.concat(F.lit("s"), (F.sqrt(i * 7) / 2).cast("int").cast("string")))
+    return spark.range(4000).select("id", y.alias("y"))
+
+
+def test_table_of_cuts_agrees_with_cuts_on_the_driver(spark, monkeypatch):
+    df = strata_of(spark)
+    folds = {r["id"]: r["fold"] for r in stratified_folds(df, "id", "y", 3).collect()}
+    _, test = stratified_split(df, "id", "y", 0.25)
+    chosen = {r["id"] for r in test.collect()}
+    monkeypatch.setattr(ordering, "small_rows", lambda frame, limit=5: None)
+    assert {r["id"]: r["fold"] for r in stratified_folds(df, "id", "y", 3).collect()} == folds
+    train, test = stratified_split(df, "id", "y", 0.25)
+    assert {r["id"] for r in test.collect()} == chosen and train.count() == 4000 - len(chosen)
+
+
+def test_strata_of_one_row_and_empty_tables(spark, monkeypatch):
+    monkeypatch.setattr(ordering, "small_rows", lambda frame, limit=5: None)
+    df = spark.range(20).select("id", F.col("id").alias("y"))
+    train, test = stratified_split(df, "id", "y", 0.25)
+    assert test.count() == 0 and train.count() == 20
+    assert stratified_folds(df.where("id < 0"), "id", "y", 3).count() == 0
+
+
+def test_a_million_strata(spark):
+    df = spark.range(1_500_000).select("id", F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id") % 1_000_003).alias("y"))
+    got = stratified_folds(df, "id", "y", 2)
+    sizes = got.groupBy("y").agg(F.count("*").alias("n"), F.count_if(F.col("fold") == 0).alias("first"))
+    bad, total, most = sizes.agg(F.count_if(F.col("first") != F.floor(F.col("n") / 2)), F.sum("n"), F.count("*")).first()
+    assert bad == 0 and total == 1_500_000 and most > 750_000
+
+
+def test_hot_rows_are_spread_in_the_join(spark):
+    df = strata_of(spark)
+    numbered, _ = strata.number_in_strata(df, "id", 1, lambda n: [F.floor(n / 2)], ["y"], "side")
+    plan = numbered._jdf.queryExecution().toString()
+    assert "BroadcastHashJoin" in plan and "_salt" in plan
+    assert numbered.where("y = 'hot' and side = 0").count() == 1000
