@@ -162,3 +162,33 @@ def test_all_runs_are_evaluated_at_once_as_each_alone(spark):
     assert m.evaluate_runs(df.limit(0), ["run"], "truth", "guess", "chance").count() == 0
     with pytest.raises(ValueError, match="tells runs apart"):
         m.evaluate_runs(df, [], "truth", "guess", "chance")
+
+
+def test_intersections_of_dense_and_sparse_blocks(spark, monkeypatch):
+    import pyarrow as pa
+
+    from featloom.operators import set_similarity as s
+
+    rng = random.Random(5)
+    monkeypatch.setattr(s, "CELLS", 700)
+    for universe, most in ((25, 20), (3000, 6)):
+        left, right = ([[f"e{e}" for e in rng.sample(range(universe), rng.randrange(most))] for _ in range(n)] for n in (90, 70))
+        known = pa.array(sorted({e for own in left for e in own}))
+        coded = [s._coded(pa.chunked_array([pa.array(sets, pa.list_(pa.string()))]), known) for sets in (left, right)]
+        parts = [(first, both.tolist()) for first, both in s._intersections(*coded, len(known))]
+        assert [first for first, _ in parts] == list(range(0, 70, 7))
+        assert [row for _, both in parts for row in both] == [[len(set(a) & set(b)) for a in left] for b in right]
+
+
+def test_many_distinct_sets_of_few_elements(spark):
+    # All sets share elements, so a meeting of each set with small blocks would be millions of rows.
+    n = 6_000
+    held = [F.when((F.col("id") + 1).bitwiseAND(1 << i) > 0, F.lit(f"e{i}")) for i in range(13)]
+    sets = spark.range(n).select("id", F.array_compact(F.array(*held)).alias("s"))
+    got = m.mean_jaccard(sets, "id", "s").first()["mean_jaccard"]
+    import numpy as np
+
+    bits = ((np.arange(1, n + 1)[:, None] >> np.arange(13)) & 1).astype(float)
+    both, size = bits @ bits.T, bits.sum(1)
+    score = both / (size[:, None] + size[None, :] - both)
+    assert got == pytest.approx((score.sum() - n) / (n * (n - 1)), rel=1e-9)
