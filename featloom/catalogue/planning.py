@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from featloom.catalogue.base import query, shaped, table
 from featloom.catalogue.rows import priced
+from featloom.core import spread
 from featloom.plans import parse
 
 _HEAD = '{"data_quality_report": {"overall_quality": "good", "summary": "s", "issues": [], "strengths": []}, "modeling_approaches": [{"task_type": "'
@@ -13,12 +14,14 @@ _MIDDLE = (
     '", "recommended_algorithm": {"name": "n", "reason": "r", "params": {"depth": 3}}, "evaluation_metrics": ["f1"], '
     '"cross_validation": {"method": "k_fold", "folds": 5, "stratified": true}, "data_cleaning": {"missing_values": [{"column": "'
 )
+#: Parts of one task: each becomes a text of some hundred characters that is parsed twice.
+PART_ROWS = 10_000
 _TAIL = '], "extraction": []}, "test_size": 0.2, "validation_size": 0.1}]}'
 
 
 def plan_texts(spark, d):
     """One text per part: plain, tagged, broken, misnamed, junk or doubled."""
-    part = table(spark, d, "part")
+    part = spread(table(spark, d, "part"), PART_ROWS)
     kind = F.col("p_partkey") % 6
     column = F.element_at(F.array(*[F.lit(c) for c in ("size", "kind", "absent", "p_partkey", "price")]), (F.col("p_size") % 5 + 1).cast("int"))
     task = F.when(F.col("p_partkey") % 11 == 0, "Regression").otherwise("classification")
