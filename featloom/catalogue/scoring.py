@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from featloom.catalogue.base import query, shaped, table
-from featloom.core import checkpointed, scratch_path
+from featloom.core import scratch_path, written
 from featloom.operators import model as k
 from featloom.operators import relate
 from featloom.operators.metrics import classification_metrics
@@ -32,7 +32,7 @@ def parts(spark, d):
     # the outcome is the price of the order's lines, which the other features only hint at
     kept = ["o_orderkey", "o_orderstatus", "o_orderpriority", "o_totalprice", "COUNT_lines", "SUM_lines_l_quantity", "MEAN_lines_l_discount", "SUM_lines_l_extendedprice"]
     # the joins run once, not once per fitted scalar
-    return outcome_partitions(checkpointed(fused.select(*kept)), "o_orderkey", "SUM_lines_l_extendedprice")
+    return outcome_partitions(written(fused.select(*kept), "fused"), "o_orderkey", "SUM_lines_l_extendedprice")
 
 
 def flagship(spark, d):

@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from featloom.core import col, require_columns, rows_frame
+from featloom.core import col, require_columns, rows_frame, written
 from featloom.functions.ordering import cut_number, hash_cuts, quantiles, running_sums
 from featloom.functions.strata import number_in_strata
 
@@ -105,7 +105,8 @@ def outcome_partitions(
     require_unique_key(df, key)
     source_rows = df.count()
     eligible = df.where(col(key).isNotNull() & col(outcome).isNotNull())
-    train, test = random_split(eligible, key, test_size, seed)
+    # every fact, feature and model reads the parts again, so their rows are chosen once
+    train, test = (written(p, "part") for p in random_split(eligible, key, test_size, seed))
     threshold = quantiles(train, {"t": col(outcome)}, [quantile])["t"][0]
 
     def labelled(part: DataFrame) -> DataFrame:

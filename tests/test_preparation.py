@@ -189,3 +189,32 @@ def test_metrics_of_three_classes(spark):
     assert abs(got["accuracy"] - 10 / 12) < 1e-12 and abs(got["balanced_accuracy"] - (1 + 0.5 + 1) / 3) < 1e-12 and got["f1"] is None
     two = class_metrics(spark.createDataFrame([(1, 1.0), (0, 1.0), (0, 0.0)], "t int, p double"), "t", "p").first()
     assert abs(two["accuracy"] - 2 / 3) < 1e-12 and two["precision"] == 0.5
+
+
+def test_parts_are_chosen_once_and_read_by_column(spark):
+    from featloom.core import written
+    from featloom.operators.split import outcome_partitions
+
+    df = spark.range(50).select("id", (F.col("id") % 7).alias("SUM(a.b, c)"), F.col("id").cast("double").alias("y"))
+    got = outcome_partitions(df, "id", "y")
+    for part, rows in ((got.train, 40), (got.test, 10)):
+        assert part.count() == rows and part.columns == ["id", "SUM(a.b, c)", "target"]
+        plan = part._jdf.queryExecution().executedPlan().toString()
+        assert "md5" not in plan and "parquet" in plan.lower()
+    odd = spark.createDataFrame([(1, 2, None)], "a int, A int, b void")
+    assert written(odd.drop("b").toDF("a", "A"), "x").collect() == [(1, 2)] and written(odd.select("b"), "x").collect() == [(None,)]
+
+
+def test_ranks_of_a_column_share_a_sketch(spark):
+    from featloom.functions.ordering import order_statistics
+
+    df = spark.range(5_000).select((F.col("id") * 7919 % 5000).cast("double").alias("v"), (F.col("id") % 2).cast("double").alias("w"))
+    seen = []
+    real = F.percentile_approx
+    try:
+        F.percentile_approx = lambda *a: seen.append(a) or real(*a)
+        got = order_statistics(df, {"v": F.col("v"), "w": F.col("w")}, {"v": range(0, 5000, 500), "w": [0, 2499, 2500, 4999]}, limit=300)
+    finally:
+        F.percentile_approx = real
+    assert len(seen) < 14 and [got["v", r] for r in range(0, 5000, 500)] == [float(r) for r in range(0, 5000, 500)]
+    assert [got["w", r] for r in (0, 2499, 2500, 4999)] == [0, 0, 1, 1]
