@@ -7,6 +7,7 @@ from featloom.catalogue.scoring import _step, _text
 from featloom.functions.regex import regex_matches
 from featloom.operators import model as k
 from featloom.operators.prepare import fit_baseline
+from featloom.operators import metric_tree
 from featloom.operators.sampling import nearest, oversample
 from featloom.plans import parse
 from featloom.plans.select import Candidate, PlanSelector, SelectionConfig, run_comparison
@@ -142,6 +143,34 @@ def test_compared_distances_grow_slower_than_the_square(spark):
     assert met[0] < 400 * 400 / 2 and met[1] < 1600 * 1600 / 8 and met[1] < 8 * met[0]
 
 
+def test_no_row_is_made_for_a_query_and_a_leaf(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    points = rng.normal(0, 1, (200, 32))
+    points[100:130] = points[100]
+    df = spark.createDataFrame([(f"{i:03d}", [float(x) for x in p]) for i, p in enumerate(points)], "id string, vec array<double>")
+    most = []
+
+    def counted(keep):
+        def call(*args):
+            kept = keep(*args)
+            most.append(kept.count())
+            return kept
+
+        return call
+
+    for name in ("written", "checkpointed"):
+        if hasattr(metric_tree, name):
+            monkeypatch.setattr(metric_tree, name, counted(getattr(metric_tree, name)))
+    got = {}
+    for r in nearest(df, df, 3, chunk=20).collect():
+        got.setdefault(int(r["id"]), []).append((r["distance"], int(r["other"])))
+    # In 32 dimensions no ball can be left out, so each query concerns more than 10 leaves.
+    assert max(most) < 200 * 5
+    gap = np.sqrt(((points[:, None, :] - points[None, :, :]) ** 2).sum(-1))
+    want = np.argsort(gap, axis=1, kind="stable")[:, :3]
+    assert all(sorted(got[i]) == [(gap[i, j], j) for j in want[i]] for i in range(200))
+
+
 def test_nearest_of_few_equal_and_no_points(spark):
     line = spark.createDataFrame([("a", [0.0]), ("b", [1.0]), ("c", [1.0]), ("d", [5.0])], "id string, vec array<double>")
     got = [(r["id"], r["other"], r["distance"]) for r in nearest(line, line, 3, chunk=1).collect()]
