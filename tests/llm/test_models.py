@@ -88,6 +88,28 @@ def test_toxic_words_are_learned(spark):
     assert toxicity.scored(docs.limit(0), fitted).count() == 0
 
 
+def test_every_labelled_row_is_learned_from(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "PART", 2_000)
+    # More rows than the bounds of the old sample: each positive text has a word of its own group, clean ones are alike.
+    docs = spark.range(6_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("ba do ki lu "), F.when(F.col("id") % 3 == 0, F.lit("grobo")).otherwise(F.lit("mena"))).alias("text"), F.lit("xx").alias("lang"))
+    labels = docs.select("doc_id", (F.col("doc_id") % 3 == 0).cast("int").alias("toxic"))
+    rows = toxicity.labelled_words(docs.repartition(3), labels, "doc_id", "text", "lang", "toxic")
+    assert rows.count() == 6_000 and rows.rdd.getNumPartitions() == 3
+    used = rows.where("NOT held")
+    counts, bucket = toxicity._bucket_counts(used), toxicity.buckets_of(b"grobo")[0]
+    assert counts[1, bucket] == used.where("label = 1").count() and counts[0, bucket] == 0
+    fitted = toxicity.Toxicity(rows, rounds=2)
+    assert toxicity.scored(docs, fitted).where((F.col("score") >= 0.3) != (F.col("doc_id") % 3 == 0)).count() == 0
+    scores = [(n, s, y) for n, part in (("", range(9)), ("xx", range(60))) for s, y in ((round(i / 60, 3), int(i % 7 > 2)) for i in part)]
+    got = toxicity._thresholds(spark.createDataFrame(scores, "name string, score double, label int"))
+    for name in ("", "xx"):
+        own = sorted({s for n, s, _ in scores if n == name}, reverse=True)
+        f1 = {s: 2 * sum(y for n, t, y in scores if n == name and t >= s) / (sum(n == name and t >= s for n, t, _ in scores) + sum(y for n, _, y in scores if n == name)) for s in own}
+        best = max(own, key=lambda s: (f1[s], s))
+        below = max((s for s in own if s < best), default=best)
+        assert math.isclose(got[name], (best + below) / 2)
+
+
 def test_pieces_of_a_long_text_score_like_the_whole():
     model = toxicity.Convolution()
     step = toxicity.PIECE - max(toxicity.WIDTHS) + 1
