@@ -221,12 +221,12 @@ def labelled_words(docs: DataFrame, labels: DataFrame, key: str, text: str, lang
     held = F.pmod(F.xxhash64("__key", F.lit(4)), F.lit(HELD)) == 0
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo: dict[bytes, tuple] = {}
+        memo: dict[bytes, bytes] = {}
         for batch in batches:
             out = []
             for body in batch.column(3).to_pylist():
-                ids = [memo.get(w) or memo.setdefault(w, buckets_of(w)) for w in words_of(body)]
-                out.append(zlib.compress(np.array(ids, np.uint16).tobytes(), 1))
+                ids = b"".join([memo.get(w) or memo.setdefault(w, np.array(buckets_of(w), np.uint16).tobytes()) for w in words_of(body)])
+                out.append(zlib.compress(ids, 1))
                 if len(memo) > 200_000:
                     memo.clear()
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(out, pa.binary())], ["held", "label", "lang", "buckets"])
