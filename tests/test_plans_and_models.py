@@ -7,7 +7,7 @@ from featloom.catalogue.scoring import _step, _text
 from featloom.functions.regex import regex_matches
 from featloom.operators import model as k
 from featloom.operators.prepare import fit_baseline
-from featloom.operators import metric_tree
+from featloom.operators import metric_tree, sampling
 from featloom.operators.sampling import nearest, oversample
 from featloom.plans import parse
 from featloom.plans.select import Candidate, PlanSelector, SelectionConfig, run_comparison
@@ -179,6 +179,17 @@ def test_nearest_of_few_equal_and_no_points(spark):
     assert nearest(line, line.limit(0), 3).count() == 0 and nearest(line.limit(0), line, 3).count() == 0
 
 
+def test_borderline_rows_are_searched_once(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = [[float(x) for x in rng.normal(0, 1, 8)] + [int(i % 4 == 0)] for i in range(160)]
+    df = spark.createDataFrame(rows, ", ".join(f"x{i} double" for i in range(8)) + ", y int")
+    met = spark.sparkContext.accumulator(0)
+    monkeypatch.setattr(sampling, "nearest", lambda queries, points, k: nearest(queries, points, k, chunk=20, counter=met))
+    assert oversample(df, "y", [f"x{i}" for i in range(8)], "BORDERLINE_SMOTE").groupBy("y").count().where("count = 120").count() == 2
+    # 40 rows of the class meet all rows, and those in danger meet the class, at most once each.
+    assert 0 < met.value <= 40 * 160 + 40 * 40
+
+
 def test_oversampled_rows_lie_between_class_rows(spark):
     rows = [(i, float(i), 0.0, 0) for i in range(30)] + [(100 + i, 50.0, 1.0, 1) for i in range(6)] + [(200, 60.0, 1.0, 1)]
     df = spark.createDataFrame(rows, "id int, x double, z double, y int")
